@@ -41,7 +41,7 @@ def cores(spark: SparkSession) -> int:
     return max(spark.sparkContext.defaultParallelism, 1)
 
 
-def spread(df: DataFrame, per_core: int = 2) -> DataFrame:
-    """Enough partitions for every core where a small input would give a few tasks of Python work; an input that already has them stays unshuffled."""
-    wanted = per_core * cores(df.sparkSession)
-    return df if df.rdd.getNumPartitions() >= wanted else df.repartition(wanted)
+def spread(df: DataFrame) -> DataFrame:
+    """A scan with fewer partitions than cores is dealt out to all cores for Python work; one that has them stays unshuffled."""
+    n = cores(df.sparkSession)
+    return df if df.rdd.getNumPartitions() >= n else df.repartition(2 * n)
