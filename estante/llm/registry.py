@@ -1,0 +1,50 @@
+"""Every query of this subpackage, by name, with its SQL where SQL can express it."""
+
+from __future__ import annotations
+
+from estante.llm import encoding, ranking, tokens
+from estante.runtime import table
+
+
+def p3_found(spark, d):
+    return ranking.head_found(table(spark, d, "resultados"))
+
+
+def p3_ranking(spark, d):
+    return ranking.one_ranking(table(spark, d, "resultados")).select("query_id", "chunk_id", "projection", "position")
+
+
+def p7_found(spark, d):
+    return encoding.garbled_found(table(spark, d, "perguntas"))
+
+
+def p7_restored(spark, d):
+    return encoding.garbled(table(spark, d, "perguntas")).select("line_no", "campo", "restored", "layers")
+
+
+def p8_ids(spark, d):
+    return tokens.token_ids(table(spark, d, "documents"))
+
+
+def p9_containers(spark, d):
+    return tokens.fill_containers(table(spark, d, "documents"))
+
+
+def p10_found(spark, d):
+    return tokens.oversized_found(table(spark, d, "documents"))
+
+
+def p10_pieces(spark, d):
+    return tokens.split_oversized(table(spark, d, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_ranking, p7_found, p7_restored, p8_ids, p9_containers, p10_found, p10_pieces)}
+
+SQL = {
+    # the definition of the chunks that head a ranking beyond dispute, stated on the ranks alone
+    "p3_found": """
+        WITH r AS (SELECT query_id, chunk_id, strategy, min(rank) AS rank FROM resultados
+                   WHERE strategy IN ('cosseno', 'bm25', 'reordenador') GROUP BY 1, 2, 3)
+        SELECT query_id, chunk_id FROM r GROUP BY 1, 2
+        HAVING count(*) = 3 AND max(rank) <= 2 AND count(*) FILTER (WHERE rank = 1) >= 2""",
+}
