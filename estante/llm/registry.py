@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from estante.llm import encoding, ranking, tokens
+from estante.llm import encoding, ranking, tokens, vectors
 from estante.runtime import table
 
 
@@ -14,6 +14,10 @@ def p3_ranking(spark, d):
     return ranking.one_ranking(table(spark, d, "resultados")).select("query_id", "chunk_id", "projection", "position")
 
 
+def p6_found(spark, d):
+    return vectors.neighbours_found(table(spark, d, "vetores"))
+
+
 def p7_found(spark, d):
     return encoding.garbled_found(table(spark, d, "perguntas"))
 
@@ -38,7 +42,7 @@ def p10_pieces(spark, d):
     return tokens.split_oversized(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_ranking, p7_found, p7_restored, p8_ids, p9_containers, p10_found, p10_pieces)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_ranking, p6_found, p7_found, p7_restored, p8_ids, p9_containers, p10_found, p10_pieces)}
 
 SQL = {
     # the definition of the chunks that head a ranking beyond dispute, stated on the ranks alone
