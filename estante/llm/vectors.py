@@ -1,6 +1,6 @@
 """The k most similar vectors of every vector: an inverted file of coarse centroids with product-quantised residuals.
 
-Coarse centroids and residual codebooks are fitted on a bounded sample (`SAMPLE_PER_CELL` a cell, at most `MOST_CELLS` cells);
+Coarse centroids and residual codebooks are fitted on a bounded sample (`SAMPLE_PER_CELL` a cell, at most `MOST_CELLS` cells; `BOOK_SAMPLE` residuals);
 every vector is indexed and every vector asks. Cells lie in balanced groups of neighbouring cells, so a vector is sent once
 to each group that holds one of its `PROBES` nearest cells. In its group the asymmetric distance tables of a query score the
 codes of each probed cell, the `RERANK` best are scored again with the exact vectors, and the lists of a query's groups merge.
@@ -26,7 +26,7 @@ from estante.runtime import cores, cut, maybe_broadcast, spread
 
 DIMENSION, MODEL, K = 64, "codex-vetor-2", 5
 CELL, MOST_CELLS, SAMPLE_PER_CELL = 128, 4096, 40
-PROBES, RERANK, SUBSPACES, CODES = 4, 20, 16, 256
+PROBES, RERANK, SUBSPACES, CODES, BOOK_SAMPLE = 5, 48, 32, 64, 16_384
 GROUP_ROWS, HOT = 6_000, 4_096
 _SEED = 20
 
@@ -88,9 +88,9 @@ class Index:
         self.centroids = spherical_kmeans(sample, cells).astype(np.float32)
         home = np.concatenate([(part @ self.centroids.T).argmax(1) for part in np.array_split(sample, max(1, len(sample) // 8192))])
         self.group = balanced_groups(self.centroids, np.bincount(home, minlength=cells) + 1.0, groups)
-        residual = sample - self.centroids[home]
+        residual = (sample - self.centroids[home])[:BOOK_SAMPLE]
         width = sample.shape[1] // SUBSPACES
-        self.books = np.stack([kmeans(residual[:, s * width : (s + 1) * width], min(CODES, len(sample))) for s in range(SUBSPACES)]).astype(np.float32)
+        self.books = np.stack([kmeans(residual[:, s * width : (s + 1) * width], CODES) for s in range(SUBSPACES)]).astype(np.float32)
 
     def probe(self, x: np.ndarray, probes: int) -> np.ndarray:
         s = x @ self.centroids.T
