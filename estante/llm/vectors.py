@@ -2,7 +2,7 @@
 
 Coarse centroids and residual codebooks are fitted on a bounded sample (`SAMPLE_PER_CELL` a cell, at most `MOST_CELLS` cells; `BOOK_SAMPLE` residuals);
 every vector is indexed and every vector asks. Cells lie in balanced groups of neighbouring cells, so a vector is sent once
-to each group that holds one of its `PROBES` nearest cells. In its group the asymmetric distance tables of a query score the
+to each group that holds a cell it probes: of its `PROBES` nearest cells, those about as near as the first (`NEAR`). In its group the asymmetric distance tables of a query score the
 codes of each probed cell, the `RERANK` best are scored again with the exact vectors, and the lists of a query's groups merge.
 
 Equal vectors form one class that is indexed once, with its first k + 1 ids: members of a class have cosine 1 to each other,
@@ -26,7 +26,9 @@ from estante.runtime import cores, cut, maybe_broadcast, spread
 
 DIMENSION, MODEL, K = 64, "codex-vetor-2", 5
 CELL, MOST_CELLS, SAMPLE_PER_CELL = 128, 4096, 40
-PROBES, RERANK, SUBSPACES, CODES, BOOK_SAMPLE = 5, 48, 32, 64, 16_384
+PROBES, RERANK, SUBSPACES, CODES, BOOK_SAMPLE = 8, 48, 32, 64, 16_384
+#: A cell beyond the nearest is probed if its centroid is at least so near, as a share of the nearest one's cosine.
+NEAR = 0.7
 GROUP_ROWS, HOT = 6_000, 4_096
 _SEED = 20
 
@@ -96,7 +98,10 @@ class Index:
         s = x @ self.centroids.T
         p = min(probes, s.shape[1])
         top = np.argpartition(-s, p - 1, axis=1)[:, :p]
-        return np.take_along_axis(top, np.argsort(-np.take_along_axis(s, top, 1), axis=1), 1)
+        near = np.take_along_axis(s, top, 1)
+        order = np.argsort(-near, axis=1)
+        near, top = np.take_along_axis(near, order, 1), np.take_along_axis(top, order, 1)
+        return np.where((near >= NEAR * near[:, :1]) | (np.arange(p) == 0), top, -1)  # -1: not probed
 
     def encode(self, residual: np.ndarray) -> np.ndarray:
         width = residual.shape[1] // SUBSPACES
@@ -198,8 +203,8 @@ def neighbours(vetores: DataFrame, k: int = K, probes: int = PROBES, rerank: int
             groups = index.group[near]
             h, ids, out = b["h"].to_numpy(), b["ids"].to_numpy(), []
             for i in range(len(b)):
-                for g in dict.fromkeys(groups[i].tolist()):
-                    mine = near[i][groups[i] == g]
+                for g in dict.fromkeys(groups[i][near[i] >= 0].tolist()):
+                    mine = near[i][(groups[i] == g) & (near[i] >= 0)]
                     out.append((g, h[i], ids[i], x[i].tobytes(), int(near[i][0]) if g == groups[i][0] else -1, mine))
             yield pd.DataFrame(out, columns=["g", "h", "ids", "x", "home", "probes"])
 
