@@ -4,7 +4,8 @@ A record is the set of its word shingles. Shingles have one global order, by ris
 size (any order is right, a good one is fast), and three classes: rare shingles are indexed singly, frequent ones in pairs and very
 frequent ones in triples, each within hash buckets of its class. The prefix of a record is extended until more shingles than
 a similar record may lack would have to vanish to destroy all its combinations; two similar records then share at least
-one. Records that share a combination and whose sizes allow it are verified on the whole sets.
+one. Records that share a combination are verified on the whole sets if their sizes and parity bitmaps allow it: two bitmaps
+differ in at most as many bits as the sets in shingles, so this test loses nothing.
 
 Equal sets are indexed once, so copies produce no candidates. Records of few shingles, for which the extended prefix may not
 exist, meet each other (only) through plain prefixes of single shingles.
@@ -29,7 +30,9 @@ from estante.runtime import cut, spread
 #: Cells of the frequency sketch: 8 MB as broadcast, whatever the input.
 SKETCH = 1 << 21
 #: (greatest sketch count, shingles in a combination, hash buckets) of the classes.
-CLASSES = ((24, 1, 1), (768, 2, 8), (2**62, 3, 4))
+CLASSES = ((32, 1, 1), (1024, 2, 16), (2**62, 3, 4))
+#: Bits of the parity bitmap that goes with each signature, in longs.
+LONGS = 4
 _SLACK = sum((k - 1) * m for _, k, m in CLASSES)
 _MASK = (1 << 64) - 1
 
@@ -59,22 +62,23 @@ def small(threshold: float) -> int:
 
 
 def signatures(grams: np.ndarray, counts: np.ndarray, threshold: float) -> list[int]:
-    """Hashes of the combinations in the extended prefix of a set, and of its plain prefix if the set may meet a small one."""
+    """Hashes of the combinations in the extended prefix of a set, and of its plain prefix if the set may meet a small one. Shingles that occur in no other set (count 1) count in the prefix but need no entry."""
     n, limit = len(grams), small(threshold)
     spare = n - math.ceil(threshold * n - 1e-9)
     order = np.lexsort((grams, counts))
     g, c = grams[order].tolist(), counts[order].tolist()
     out = []
     if n * threshold <= limit + 1e-9:
-        out += [_mix(0, t) for t in g[: spare + 1]]
+        out += [_mix(0, t) for t, count in zip(g[: spare + 1], c) if count > 1]
     if n > limit:
         held: dict[tuple[int, int], list[int]] = {}
         missing = spare + 1
         for t, count in zip(g, c):
             k, m = next((k, m) for most, k, m in CLASSES if count <= most)
             bucket = held.setdefault((k, (t >> 17) % m), [])
-            bucket.append(t)
-            if len(bucket) >= k:
+            if k > 1 or count > 1:
+                bucket.append(t)
+            if k == 1 or len(bucket) >= k:
                 missing -= 1
                 if missing == 0:
                     break
@@ -83,6 +87,12 @@ def signatures(grams: np.ndarray, counts: np.ndarray, threshold: float) -> list[
     return out
 
 
+def parity(grams: np.ndarray) -> np.ndarray:
+    """How often each of 64 * LONGS hash bits occurs in the set, modulo 2, as longs."""
+    odd = np.bincount((grams >> 40) & (64 * LONGS - 1), minlength=64 * LONGS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def frequency_sketch(sets: DataFrame, cells: int = SKETCH) -> np.ndarray:
     """How often each hash cell occurs over all sets. At most `cells` rows reach the driver."""
     counts = sets.select(F.explode("grams").alias("g")).groupBy(F.pmod("g", F.lit(cells)).cast("int").alias("cell")).count().toArrow()
@@ -93,24 +103,30 @@ def frequency_sketch(sets: DataFrame, cells: int = SKETCH) -> np.ndarray:
 
 def similar_sets(sets: DataFrame, threshold: float) -> DataFrame:
     """(a, b, similarity) of every two sets (sid, grams) at or over the threshold, a < b."""
+    names = [f"p{i}" for i in range(LONGS)]
     sketch = sets.sparkSession.sparkContext.broadcast(frequency_sketch(sets))
 
+    share = (1 - threshold) / (1 + threshold)
+
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = sketch.value
         for b in batches:
-            sid, size, sig = [], [], []
+            sid, size, sig, bits = [], [], [], []
             for s, grams in zip(b.column(0).to_pylist(), b.column(1)):
                 g = grams.values.to_numpy()
                 got = signatures(g, counts[np.mod(g, len(counts))], threshold)
                 sig += got
                 sid += [s] * len(got)
                 size += [len(g)] * len(got)
-            yield pa.RecordBatch.from_arrays([pa.array(sig, pa.int64()), pa.array(sid, pa.int64()), pa.array(size, pa.int32())], names=["sig", "sid", "size"])
-
-    signed = spread(sets.select("sid", "grams")).mapInArrow(sign, "sig bigint, sid bigint, size int")
-    left = signed.select("sig", F.col("sid").alias("a"), F.col("size").alias("na"))
-    right = signed.select("sig", F.col("sid").alias("b"), F.col("size").alias("nb"))
-    allowed = (F.col("a") < F.col("b")) & (F.col("na") >= threshold * F.col("nb") - 1e-9) & (F.col("nb") >= threshold * F.col("na") - 1e-9)
+                bits.append(np.repeat(parity(g)[:, None], len(got), axis=1))
+            longs = np.concatenate(bits, axis=1) if bits else np.empty((LONGS, 0), dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(sig, pa.int64()), pa.array(sid, pa.int64()), pa.array(size, pa.int32()), *map(pa.array, longs)], names=["sig", "sid", "size", *names])
+
+    signed = spread(sets.select("sid", "grams")).mapInArrow(sign, "sig bigint, sid bigint, size int, " + ", ".join(f"{x} bigint" for x in names))
+    left = signed.select("sig", F.col("sid").alias("a"), F.col("size").alias("na"), *[F.col(x).alias(f"{x}a") for x in names])
+    right = signed.select("sig", F.col("sid").alias("b"), F.col("size").alias("nb"), *[F.col(x).alias(f"{x}b") for x in names])
+    apart = sum((F.bit_count(F.col(f"{x}a").bitwiseXOR(F.col(f"{x}b"))) for x in names), F.lit(0))
+    allowed = (F.col("a") < F.col("b")) & (F.col("na") >= threshold * F.col("nb") - 1e-9) & (F.col("nb") >= threshold * F.col("na") - 1e-9) & (apart <= share * (F.col("na") + F.col("nb")) + 1e-9)
     pairs = left.join(right, "sig").where(allowed).select("a", "b").distinct()
     whole = pairs.join(sets.select(F.col("sid").alias("a"), F.col("grams").alias("ga")), "a").join(sets.select(F.col("sid").alias("b"), F.col("grams").alias("gb")), "b")
     common = whole.select("a", "b", F.size(F.array_intersect("ga", "gb")).alias("both"), (F.size("ga") + F.size("gb")).alias("total"))
