@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from estante.llm import encoding, neardup, ranking, tokens, vectors
+from estante.llm import encoding, neardup, ranking, scanned, tokens, vectors
 from estante.runtime import table
 
 
+def p1_found(spark, d):
+    return scanned.noise_found(table(spark, d, "blocos"), table(spark, d, "chunks"), table(spark, d, "livros"))
+
+
 def p3_found(spark, d):
     return ranking.head_found(table(spark, d, "resultados"))
 
@@ -46,7 +50,7 @@ def p10_pieces(spark, d):
     return tokens.split_oversized(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_ranking, p5_found, p6_found, p7_found, p7_restored, p8_ids, p9_containers, p10_found, p10_pieces)}
+QUERIES = {f.__name__: f for f in (p1_found, p3_found, p3_ranking, p5_found, p6_found, p7_found, p7_restored, p8_ids, p9_containers, p10_found, p10_pieces)}
 
 SQL = {
     # the definition of the chunks that head a ranking beyond dispute, stated on the ranks alone
