@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from estante.llm import encoding, neardup, ranking, scanned, tokens, vectors
+from estante.llm import encoding, markup, neardup, ranking, scanned, tokens, vectors
 from estante.runtime import table
 
 
@@ -18,6 +18,14 @@ def p3_ranking(spark, d):
     return ranking.one_ranking(table(spark, d, "resultados")).select("query_id", "chunk_id", "projection", "position")
 
 
+def p4_found(spark, d):
+    return markup.markup_found(table(spark, d, "chunks"), table(spark, d, "blocos"))
+
+
+def p4_clean(spark, d):
+    return markup.cleaned(table(spark, d, "chunks"), table(spark, d, "blocos"))
+
+
 def p5_found(spark, d):
     return neardup.near_duplicate_pairs(table(spark, d, "chunks"))
 
@@ -50,7 +58,7 @@ def p10_pieces(spark, d):
     return tokens.split_oversized(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p3_found, p3_ranking, p5_found, p6_found, p7_found, p7_restored, p8_ids, p9_containers, p10_found, p10_pieces)}
+QUERIES = {f.__name__: f for f in (p1_found, p3_found, p3_ranking, p4_found, p4_clean, p5_found, p6_found, p7_found, p7_restored, p8_ids, p9_containers, p10_found, p10_pieces)}
 
 SQL = {
     # the definition of the chunks that head a ranking beyond dispute, stated on the ranks alone
