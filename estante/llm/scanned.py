@@ -42,15 +42,19 @@ def texts(blocos: DataFrame, chunks: DataFrame) -> DataFrame:
 
 
 def forms(text: Column) -> Column:
-    """The word forms of a text with line-end hyphens joined; forms without a small letter or with a page's markup marks are left out."""
-    joined = F.regexp_replace(text, _BREAK, "")
-    return F.filter(F.regexp_extract_all(joined, F.lit(_FORM), F.lit(0)), lambda w: w.rlike(r"\p{Ll}"))
+    """The word forms of a text as they are written, with line-end hyphens joined."""
+    return F.regexp_extract_all(F.regexp_replace(text, _BREAK, ""), F.lit(_FORM), F.lit(0))
 
 
-def vocabulary(rows: DataFrame) -> DataFrame:
-    """(form, n, low): how often each form, in small letters, occurs in all texts, and how often without a capital; names are hardly ever without."""
-    each = rows.select(F.explode(forms(F.col("texto"))).alias("w")).select(F.lower("w").alias("form"), (F.lower("w") == F.col("w")).cast("bigint").alias("low"))
-    return each.groupBy("form").agg(F.count("*").alias("n"), F.sum("low").alias("low"))
+def written_forms(rows: DataFrame) -> DataFrame:
+    """(written, n): how often each form occurs in all texts. Case and alphabet are looked at per distinct form, not per word of the corpus; forms without a small letter are left out."""
+    return rows.select(F.explode(forms(F.col("texto"))).alias("written")).groupBy("written").agg(F.count("*").alias("n")).where(F.col("written").rlike(r"\p{Ll}"))
+
+
+def vocabulary(written: DataFrame) -> DataFrame:
+    """(form, n, low): forms in small letters, how often each occurs, and how often without a capital; names are hardly ever without."""
+    low = F.when(F.lower("written") == F.col("written"), F.col("n")).otherwise(0)
+    return written.groupBy(F.lower("written").alias("form")).agg(F.sum("n").alias("n"), F.sum(low).alias("low"))
 
 
 # --- misread characters ---------------------------------------------------------------------------------------------------
@@ -101,10 +105,11 @@ def misread(words: DataFrame, ratio: int = RATIO) -> DataFrame:
     return kept.groupBy("form").agg(F.max_by("repaired", F.struct(F.col("score"), F.col("m"), F.col("repaired"))).alias("repaired"))
 
 
-def ocr_rows(rows: DataFrame, words: DataFrame, bad: DataFrame) -> DataFrame:
+def ocr_rows(rows: DataFrame, written: DataFrame, words: DataFrame, bad: DataFrame) -> DataFrame:
     """(tabela, chave) of texts with a misread form, or with a word whose letters stand apart."""
-    each = rows.select("tabela", "chave", F.explode(F.array_distinct(F.transform(forms(F.col("texto")), lambda w: F.lower(w)))).alias("form"))
-    wrong = each.join(maybe_broadcast(bad.select("form")), "form", "left_semi").select("tabela", "chave")
+    misread_as = written.join(bad.select("form"), F.lower("written") == F.col("form"), "left_semi").select("written")
+    each = rows.select("tabela", "chave", F.explode(forms(F.col("texto"))).alias("written"))
+    wrong = each.join(maybe_broadcast(cut(misread_as)), "written", "left_semi").select("tabela", "chave")
     apart = spaced(rows).select("tabela", "chave", F.explode(_trims(F.regexp_replace("letras", r"\s", ""))).alias("form"))
     # a real word: as frequent as an ordinary one, which no chance run of one-letter words is
     known = words.where((F.col("n") >= 5) & (F.length("form") >= 3)).select("form")
@@ -235,10 +240,11 @@ def hyphen_rows(breaks: DataFrame, words: DataFrame) -> DataFrame:
 def noise_found(blocos: DataFrame, chunks: DataFrame, livros: DataFrame | None = None) -> DataFrame:
     """(tabela, chave, ruido): one row for each text and kind of noise in it."""
     rows = texts(blocos, chunks)
-    words = cut(vocabulary(rows))
+    written = cut(written_forms(rows))
+    words = cut(vocabulary(written))
     lines = line_rows(rows)
     templates = cut(furniture(lines, livros))
     bad = cut(misread(words))
     page = lines.join(maybe_broadcast(templates), ["template", "edge", "on_page"], "left_semi").select("tabela", "chave")
-    kinds = {"hifen": hyphen_rows(hyphen_breaks(rows, templates), words), "ocr": ocr_rows(rows, words, bad), "mobilia": page}
+    kinds = {"hifen": hyphen_rows(hyphen_breaks(rows, templates), words), "ocr": ocr_rows(rows, written, words, bad), "mobilia": page}
     return reduce(DataFrame.unionByName, [d.withColumn("ruido", F.lit(k)) for k, d in kinds.items()]).distinct()
