@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from estante.operators import packed
+from estante.plans import documents, evaluation, retrieval
 from estante.runtime import table
 
 
@@ -10,6 +11,6 @@ def p2_found(spark, d):
     return packed.packed_found(table(spark, d, "perguntas"))
 
 
-QUERIES = {"p2_found": p2_found}
-SQL: dict[str, str] = {}
-FLAGSHIP = p2_found
+QUERIES = {"p2_found": p2_found} | documents.QUERIES | retrieval.QUERIES | evaluation.QUERIES
+SQL: dict[str, str] = documents.SQL | retrieval.SQL | evaluation.SQL
+FLAGSHIP = retrieval.rrf_hybrid_topk
