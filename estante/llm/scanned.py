@@ -28,7 +28,7 @@ from estante.runtime import cut, maybe_broadcast
 
 RATIO, TRAIN_RATIO, TRAIN_FREQUENT, TRAIN_RARE, TRAIN_LINES = 12, 30, 20_000, 6_000, 4_000
 _HYPHEN = "[-\\u00AD\\u00AC\\u2010]"
-_BREAK = r"(?<=[\p{L}@|])" + _HYPHEN + r"[ \t]*(?:\r?\n[ \t]*)+(?=[\p{L}\p{N}@|])"
+_BREAK = _HYPHEN + r"(?<=[\p{L}@|].)[ \t]*(?:\r?\n[ \t]*)+(?=[\p{L}\p{N}@|])"
 _FORM = r"[\p{L}\p{N}@|]+(?:-[\p{L}\p{N}@|]+)*"
 _SPACED = r"(?<![\p{L}\p{N}-])(?:\p{Ll}[ \n]{1,2}){2,}\p{Ll}(?![\p{L}\p{N}])"
 ROWS = "tabela string, chave string, texto string, pagina int"
@@ -134,8 +134,8 @@ def line_rows(rows: DataFrame) -> DataFrame:
     """(tabela, chave, i, n, linha, template, ...) of the lines that can be furniture: short, not ending as a sentence does, starting with no small letter but of "p." or "pág."."""
     lines = F.filter(F.split("texto", r"\r?\n|\r"), lambda x: F.trim(x) != "")
     # only lines that pass are exploded
-    numbered = F.transform(lines, lambda x, i: F.struct(i.alias("i"), F.trim(F.regexp_replace(x, r"[\t ]", " ")).alias("linha")))
-    able = F.filter(numbered, lambda s: (F.length(s["linha"]) <= 90) & ~s["linha"].rlike(r"[.,;:!?]$|^\p{Ll}(?!\. ?\p{N}|ág)|[<>{}\\`*#=]|^\||\|$"))
+    numbered = F.filter(F.transform(lines, lambda x, i: F.struct(i.alias("i"), F.trim(F.translate(x, "\t\u00a0", "  ")).alias("linha"))), lambda s: F.length(s["linha"]) <= 90)
+    able = F.filter(numbered, lambda s: ~s["linha"].rlike(r"[.,;:!?]$|^\p{Ll}(?!\. ?\p{N}|ág)|[<>{}\\`*#=]|^\||\|$"))
     out = rows.select("tabela", "chave", "pagina", F.size(lines).alias("n"), F.explode(able).alias("s")).select("tabela", "chave", "pagina", "n", "s.i", "s.linha")
     template = F.regexp_replace("linha", r"\p{N}+", "9")
     number = F.regexp_extract("linha", r"(\p{N}+)", 1)
@@ -199,7 +199,8 @@ def hyphen_breaks(rows: DataFrame, templates: DataFrame) -> DataFrame:
     """(tabela, chave, joined, compound) of every line that ends in a cut word and the next line that is not furniture."""
     lines = F.filter(F.split("texto", r"\r?\n|\r"), lambda x: F.trim(x) != "")
     ends = r"([\p{L}@|][\p{L}\p{N}@|-]*|[\p{N}@|][\p{L}\p{N}@|-]*\p{L}[\p{L}\p{N}@|]*)" + _HYPHEN + r"[ \t]*$"
-    held = rows.select("tabela", "chave", lines.alias("l")).select("tabela", "chave", F.explode(F.filter(F.transform("l", lambda x, i: F.struct(x.alias("x"), F.slice(F.col("l"), i + 2, 3).alias("next"))), lambda s: s["x"].rlike(ends))).alias("s"))
+    broken = rows.where(F.col("texto").rlike(_HYPHEN + r"[ \t]*[\r\n]"))
+    held = broken.select("tabela", "chave", lines.alias("l")).select("tabela", "chave", F.explode(F.filter(F.transform("l", lambda x, i: F.struct(x.alias("x"), F.slice(F.col("l"), i + 2, 3).alias("next"))), lambda s: s["x"].rlike(ends))).alias("s"))
     a = F.regexp_extract("s.x", ends, 1)
     tries = held.select("tabela", "chave", a.alias("a"), F.monotonically_increasing_id().alias("id"), F.posexplode("s.next").alias("k", "b"))
     known = templates.select("template").distinct().withColumn("is_furniture", F.lit(True))
@@ -242,7 +243,7 @@ def noise_found(blocos: DataFrame, chunks: DataFrame, livros: DataFrame | None =
     rows = texts(blocos, chunks)
     written = cut(written_forms(rows))
     words = cut(vocabulary(written))
-    lines = line_rows(rows)
+    lines = cut(line_rows(rows))
     templates = cut(furniture(lines, livros))
     bad = cut(misread(words))
     page = lines.join(maybe_broadcast(templates), ["template", "edge", "on_page"], "left_semi").select("tabela", "chave")
