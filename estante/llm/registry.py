@@ -10,6 +10,10 @@ def p1_found(spark, d):
     return scanned.noise_found(table(spark, d, "blocos"), table(spark, d, "chunks"), table(spark, d, "livros"))
 
 
+def p1_repaired(spark, d):
+    return scanned.repaired(table(spark, d, "blocos"), table(spark, d, "chunks"), table(spark, d, "livros"))
+
+
 def p3_found(spark, d):
     return ranking.head_found(table(spark, d, "resultados"))
 
@@ -58,7 +62,7 @@ def p10_pieces(spark, d):
     return tokens.split_oversized(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p3_found, p3_ranking, p4_found, p4_clean, p5_found, p6_found, p7_found, p7_restored, p8_ids, p9_containers, p10_found, p10_pieces)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_repaired, p3_found, p3_ranking, p4_found, p4_clean, p5_found, p6_found, p7_found, p7_restored, p8_ids, p9_containers, p10_found, p10_pieces)}
 
 SQL = {
     # the definition of the chunks that head a ranking beyond dispute, stated on the ranks alone

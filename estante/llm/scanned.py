@@ -105,15 +105,15 @@ def misread(words: DataFrame, ratio: int = RATIO) -> DataFrame:
     return kept.groupBy("form").agg(F.max_by("repaired", F.struct(F.col("score"), F.col("m"), F.col("repaired"))).alias("repaired"))
 
 
-def ocr_rows(rows: DataFrame, written: DataFrame, words: DataFrame, bad: DataFrame) -> DataFrame:
-    """(tabela, chave) of texts with a misread form, or with a word whose letters stand apart."""
-    misread_as = written.join(bad.select("form"), F.lower("written") == F.col("form"), "left_semi").select("written")
+def ocr_words(rows: DataFrame, written: DataFrame, words: DataFrame, bad: DataFrame) -> DataFrame:
+    """(tabela, chave, wrong, right) of every misread form of a text, and of every word whose letters stand apart."""
+    misread_as = written.join(bad, F.lower("written") == F.col("form")).select("written", F.col("repaired").alias("right"))
     each = rows.select("tabela", "chave", F.explode(forms(F.col("texto"))).alias("written"))
-    wrong = each.join(maybe_broadcast(cut(misread_as)), "written", "left_semi").select("tabela", "chave")
-    apart = spaced(rows).select("tabela", "chave", F.explode(_trims(F.regexp_replace("letras", r"\s", ""))).alias("form"))
+    wrong = each.join(maybe_broadcast(cut(misread_as)), "written").select("tabela", "chave", F.col("written").alias("wrong"), "right")
+    apart = spaced(rows).select("tabela", "chave", F.col("letras").alias("wrong"), F.explode(_trims(F.regexp_replace("letras", r"\s", ""))).alias("right"))
     # a real word: as frequent as an ordinary one, which no chance run of one-letter words is
-    known = words.where((F.col("n") >= 5) & (F.length("form") >= 3)).select("form")
-    return wrong.unionByName(apart.join(known, "form", "left_semi").select("tabela", "chave"))
+    known = words.where((F.col("n") >= 5) & (F.length("form") >= 3)).select(F.col("form").alias("right"))
+    return wrong.unionByName(apart.join(known, "right", "left_semi").select("tabela", "chave", "wrong", "right"))
 
 
 def spaced(rows: DataFrame) -> DataFrame:
@@ -218,7 +218,7 @@ def join_features(joined: int, compound: int) -> list[str]:
 
 
 def hyphen_rows(breaks: DataFrame, words: DataFrame) -> DataFrame:
-    """(tabela, chave) of texts with a word to join; a compound that is written with the hyphen elsewhere keeps it."""
+    """(tabela, chave, joined) of words to join; a compound that is written with the hyphen elsewhere keeps it."""
     sample = words.where(F.col("n") >= 2).orderBy(F.xxhash64("form")).limit(TRAIN_FREQUENT).toPandas()
     data = [(join_features(0, n) if "-" in w else join_features(n, 0), "keep" if "-" in w else "join") for w, n in zip(sample["form"], sample["n"])]
     data += [(join_features(n // 12, n), "keep") for n in (12, 50, 200, 1000, 5000)] * 20 + [(join_features(n, n // 400), "join") for n in (400, 800, 2000, 5000)] * 20 + [(join_features(0, 0), "join")] * 20
@@ -232,20 +232,90 @@ def hyphen_rows(breaks: DataFrame, words: DataFrame) -> DataFrame:
             yes = [model.predict(join_features(int(x), int(y))) == "join" for x, y in zip(b["nj"], b["nh"])]
             yield b.loc[yes, ["joined", "compound"]]
 
-    return breaks.join(counted.mapInPandas(run, "joined string, compound string"), ["joined", "compound"], "left_semi").select("tabela", "chave")
+    return breaks.join(counted.mapInPandas(run, "joined string, compound string"), ["joined", "compound"], "left_semi").select("tabela", "chave", "joined")
 
 
 # --- together -------------------------------------------------------------------------------------------------------------
 
 
+class Found:
+    """What is known of a corpus's noise, each part a table written once: lines of furniture, misread words, words to join, compounds to keep."""
+
+    def __init__(self, rows: DataFrame, livros: DataFrame | None) -> None:
+        written = cut(written_forms(rows))
+        words = cut(vocabulary(written))
+        lines = cut(line_rows(rows))
+        templates = cut(furniture(lines, livros))
+        bad = cut(misread(words))
+        self.lines = lines.join(maybe_broadcast(templates), ["template", "edge", "on_page"], "left_semi")
+        self.words = ocr_words(rows, written, words, bad)
+        self.breaks = hyphen_breaks(rows, templates)
+        self.joined = hyphen_rows(self.breaks, words)
+
+
 def noise_found(blocos: DataFrame, chunks: DataFrame, livros: DataFrame | None = None) -> DataFrame:
     """(tabela, chave, ruido): one row for each text and kind of noise in it."""
+    found = Found(texts(blocos, chunks), livros)
+    kinds = {"hifen": found.joined, "ocr": found.words, "mobilia": found.lines}
+    return reduce(DataFrame.unionByName, [d.select("tabela", "chave", F.lit(k).alias("ruido")) for k, d in kinds.items()]).distinct()
+
+
+_LINE_HYPHEN = re.compile(r"(\w+(?:-\w+)*)[-\u00ad\u00ac\u2010][ \t]*\n[ \t]*(\w+)")
+
+
+def repair_text(text: str, furniture_lines: set[int], wrong: list[tuple[str, str]], joins: set[str]) -> str:
+    """A text without furniture, its words repaired and joined, its lines run together to paragraphs."""
+    lines = [x for x in re.split(r"\r?\n|\r", text)]
+    place, kept = -1, []
+    for x in lines:
+        if x.strip():
+            place += 1
+            if place in furniture_lines:
+                continue
+        kept.append(x.strip())
+    out = "\n".join(kept)
+    for a, b in sorted(wrong, key=lambda w: -len(w[0])):
+        if " " in a or "\n" in a:  # the letters of a word, apart; one-letter words beside it stay
+            letters = [re.escape(c) for c in b]
+            out = re.sub(r"(?<!\w)" + r"[ \n]{1,2}".join(letters) + r"(?!\w)", b, out)
+    out = _LINE_HYPHEN.sub(lambda m: m[1] + m[2] if (m[1] + m[2]).lower() in joins else f"{m[1]}-{m[2]}", out)
+    for a, b in wrong:
+        if " " not in a and "\n" not in a:
+            cased = b.capitalize() if a[:1].isupper() else b
+            out = re.sub(rf"(?<![\w@|]){re.escape(a)}(?![\w@|])", cased, out)
+    paragraphs = []
+    width = max((len(x) for x in kept), default=0)
+    for block in re.split(r"\n[ \t]*\n", out):
+        done, held, last = [], "", ""
+        for line in filter(None, (x.strip() for x in block.split("\n"))):
+            # a line was broken for want of room if the next word would not have fitted
+            full = len(last) + 1 + len(line.split(" ", 1)[0]) > width
+            if held and not last.isupper() and (full or line[0].islower()):
+                held = f"{held} {line}"
+            else:
+                done += [held] if held else []
+                held = line
+            last = line
+        if held:
+            paragraphs.append("\n".join([*done, held]))
+    return "\n\n".join(paragraphs)
+
+
+def repaired(blocos: DataFrame, chunks: DataFrame, livros: DataFrame | None = None) -> DataFrame:
+    """(tabela, chave, texto): every text as continuous paragraphs. Each text meets only its own repairs, by join; no table of all repairs travels."""
     rows = texts(blocos, chunks)
-    written = cut(written_forms(rows))
-    words = cut(vocabulary(written))
-    lines = cut(line_rows(rows))
-    templates = cut(furniture(lines, livros))
-    bad = cut(misread(words))
-    page = lines.join(maybe_broadcast(templates), ["template", "edge", "on_page"], "left_semi").select("tabela", "chave")
-    kinds = {"hifen": hyphen_rows(hyphen_breaks(rows, templates), words), "ocr": ocr_rows(rows, written, words, bad), "mobilia": page}
-    return reduce(DataFrame.unionByName, [d.withColumn("ruido", F.lit(k)) for k, d in kinds.items()]).distinct()
+    found = Found(rows, livros)
+    by = ["tabela", "chave"]
+    once = rows.groupBy(*by).agg(F.min("texto").alias("texto"))
+    marks = found.lines.groupBy(*by).agg(F.collect_set("i").alias("moveis"))
+    words = found.words.groupBy(*by).agg(F.collect_set(F.struct("wrong", "right")).alias("palavras"))
+    joins = found.joined.groupBy(*by).agg(F.collect_set("joined").alias("juntas"))
+    noisy = once.join(marks, by, "left").join(words, by, "left").join(joins, by, "left")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            some = lambda v: [] if v is None else list(v)
+            done = [repair_text(t, set(some(m)), [(w["wrong"], w["right"]) for w in some(p)], set(some(j))) for t, m, p, j in zip(b["texto"], b["moveis"], b["palavras"], b["juntas"])]
+            yield b[by].assign(texto=done)
+
+    return noisy.mapInPandas(run, "tabela string, chave string, texto string")
