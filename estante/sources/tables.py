@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from estante.functions import text as X
 from estante.operators import search
 
-CHUNKS = T.StructType.fromDDL("chunk_id string, ordinal int, text string, entity_name string, page_start int, page_end int, book string, strategy string, is_fallback boolean")
+CHUNKS = {"chunk_id": "string", "ordinal": "int", "text": "string", "entity_name": "string", "page_start": "int", "page_end": "int", "book": "string", "strategy": "string", "is_fallback": "boolean"}
 #: Field names of a chunk in a JSON checkpoint (fixed values).
 JSON_NAMES = {"Id": "chunk_id", "Texto": "text", "NomeEntidade": "entity_name", "PaginaInicio": "page_start", "PaginaFim": "page_end", "Livro": "book", "NomeStrategy": "strategy", "IsFallback": "is_fallback"}
 GOLD = ["id", "pergunta", "tipo", "livro", "resposta_referencia", "paginas_referencia", "chunks_referencia", "respondivel"]
@@ -84,7 +84,7 @@ def write_chunks_json(chunks: DataFrame, path: str, sliced: bool = False) -> Non
 
 
 def read_chunks_json(spark: SparkSession, path: str) -> DataFrame:
-    ddl = ", ".join(f"{k} {CHUNKS[v].dataType.simpleString()}" for k, v in JSON_NAMES.items())
+    ddl = ", ".join(f"{k} {CHUNKS[v]}" for k, v in JSON_NAMES.items())
     raw = spark.read.schema(ddl).option("mode", "FAILFAST").json(path)
     return raw.select(*[F.col(k).alias(v) for k, v in JSON_NAMES.items()])
 

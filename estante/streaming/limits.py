@@ -26,5 +26,5 @@ def rate_limited_stream(events: DataFrame, permits: int = 5, window: str = "minu
         state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + 60_000)
         yield whole[["event_id", "ts", "client", "window_start", "admitted"]]
 
-    once = events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"]).select("event_id", "ts", "client", F.date_trunc(window, "ts").alias("window_start"))
-    return once.groupBy(F.coalesce("client", F.lit("")).alias("who"), "window_start").applyInPandasWithState(count, OUT, "used int", "append", GroupStateTimeout.EventTimeTimeout)
+    once = events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"]).select("event_id", "ts", "client", F.date_trunc(window, "ts").alias("window_start"), F.coalesce("client", F.lit("")).alias("who"))
+    return once.groupBy("who", "window_start").applyInPandasWithState(count, OUT, "used int", "append", GroupStateTimeout.EventTimeTimeout)
