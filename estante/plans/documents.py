@@ -156,6 +156,10 @@ SQL = {
     "book_counts_status": """SELECT book, coalesce(c.n, 0) AS chunks, coalesce(v.n, 0) AS vectors, coalesce(i.n, 0) AS indexed FROM (SELECT book, count(*) AS n FROM chunks GROUP BY 1) c
         FULL JOIN (SELECT book, count(*) AS n FROM vetores WHERE vector IS NOT NULL GROUP BY 1) v USING (book) FULL JOIN (SELECT source AS book, count(*) AS n FROM documents WHERE source IS NOT NULL GROUP BY 1) i USING (book)
         UNION ALL SELECT NULL, 0, 0, count(*) FROM documents WHERE source IS NULL HAVING count(*) > 0""",
+    "boundary_lead_check": r"""
+        WITH n AS (SELECT *, lead(is_fallback) OVER w AS nf, lead(entity_name) OVER w AS nn, regexp_replace(text, '\s+$', '') AS t FROM (SELECT DISTINCT * FROM chunks) WINDOW w AS (PARTITION BY book ORDER BY ordinal NULLS FIRST, chunk_id, page_start NULLS FIRST, page_end NULLS FIRST))
+        SELECT DISTINCT chunk_id, ordinal, book FROM n WHERE NOT is_fallback AND NOT nf AND nn IS NOT NULL
+        AND NOT (regexp_matches(t, '(?i)[.!?:;"''’)\]]$|\bAÇÕES$') OR ends_with(t, 'm') OR ends_with(t, '>') OR regexp_matches(ltrim(string_split(t, chr(10))[-1]), '^[·<-]'))""",
     "page_lookup": "SELECT chunk_id, ordinal, page_start, page_end FROM chunks WHERE book = 'jogador' AND 50 BETWEEN page_start AND coalesce(page_end, page_start)",
     "substring_search": f"SELECT chunk_id, ordinal FROM chunks WHERE contains({ACCENT_FOLD % 'trim(text)'}, 'guardia das mares')",
 }
