@@ -71,4 +71,11 @@ SQL = {
                    WHERE strategy IN ('cosseno', 'bm25', 'reordenador') GROUP BY 1, 2, 3)
         SELECT query_id, chunk_id FROM r GROUP BY 1, 2
         HAVING count(*) = 3 AND max(rank) <= 2 AND count(*) FILTER (WHERE rank = 1) >= 2""",
+    # every pair that shares a sequence of words, counted out
+    "p5_found": r"""
+        WITH w AS (SELECT DISTINCT chunk_id, regexp_extract_all(lower(coalesce(entity_name, '') || ' ' || coalesce(text, '')), '[\p{L}\p{N}]+') AS w FROM chunks),
+        g AS (SELECT DISTINCT chunk_id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS g FROM w),
+        n AS (SELECT chunk_id, count(*) AS n FROM g GROUP BY 1),
+        p AS (SELECT a.chunk_id AS a, b.chunk_id AS b, count(*) AS k FROM g a JOIN g b ON a.g = b.g AND a.chunk_id < b.chunk_id GROUP BY 1, 2)
+        SELECT a AS chunk_a, b AS chunk_b FROM p JOIN n x ON x.chunk_id = a JOIN n y ON y.chunk_id = b WHERE k >= 0.6 * (x.n + y.n - k) - 1e-9""",
 }
