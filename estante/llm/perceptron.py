@@ -96,15 +96,19 @@ class Editor:
         """The learnt operations that can apply here."""
         return [(x, y) for x in (word[i], word[i : i + 2]) for y in self.operations.get(x, ()) if len(x) <= len(word) - i]
 
-    def train(self, pairs: list[tuple[str, str]], words: list[str], share: float = 0.003, support: int = 3) -> Editor:
-        """pairs: (noisy, clean); words: correct ones. An operation is learnt if at least `support` pairs, and this share of all, show it: misreadings repeat, other likenesses between words scatter."""
+    def train(self, pairs: list[tuple[str, str]], words: list[str], share: float = 0.0015, support: int = 3) -> Editor:
+        """pairs: (noisy, clean); words: correct ones. An operation is learnt if at least `support` pairs, and this share of all, show it: misreadings repeat, other likenesses between words scatter. Two pairs do if it reads a sign that no correct word holds, or reverses a learnt one."""
         rows = [(u, *e) for u, v in pairs if (e := edit(u, v)) is not None]
+        # a word that goes on where the noisy one ends was cut off, not misread
+        rows = [(u, i, x, y) for u, i, x, y in rows if not (i + len(x) == len(u) and len(y) > len(x) and y.startswith(x))]
         seen: dict[tuple[str, str], int] = defaultdict(int)
         for _, _, wrong, right in rows:
             seen[wrong, right] += 1
+        ordinary = {c for w in words for c in w}
+        least = max(support, share * len(rows))
         operations: dict[str, list[str]] = defaultdict(list)
         for (x, y), k in sorted(seen.items()):
-            if k >= max(support, share * len(rows)):
+            if k >= least or (k >= 2 and (not set(x) <= ordinary or seen.get((y, x), 0) >= least)):
                 operations[x].append(y)
         self.operations = dict(operations)
         data = []

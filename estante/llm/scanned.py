@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from estante.llm.perceptron import Averaged, Editor, edit
 from estante.runtime import cut, maybe_broadcast
 
-RATIO, TRAIN_RATIO, TRAIN_FREQUENT, TRAIN_RARE, TRAIN_LINES = 12, 30, 20_000, 6_000, 4_000
+RATIO, SURE_RATIO, TRAIN_RATIO, TRAIN_FREQUENT, TRAIN_RARE, TRAIN_LINES = 12, 3, 30, 20_000, 6_000, 4_000
 _HYPHEN = "[-\\u00AD\\u00AC\\u2010]"
 _BREAK = _HYPHEN + r"(?<=[\p{L}@|].)[ \t]*(?:\r?\n[ \t]*)+(?=[\p{L}\p{N}@|])"
 _FORM = r"[\p{L}\p{N}@|]+(?:-[\p{L}\p{N}@|]+)*"
@@ -101,13 +101,16 @@ def misread(words: DataFrame, ratio: int = RATIO) -> DataFrame:
 
     proposed = words.where(F.length("form").between(3, 40) | (F.length("form") == 2) & F.col("form").rlike(r"[^\p{L}]")).mapInPandas(run, "form string, n bigint, repaired string, score double")
     against = words.where((F.col("low") >= 0.3 * F.col("n")) & F.col("form").rlike(r"^[\p{L}-]+$")).select(F.col("form").alias("repaired"), F.col("n").alias("m"))
-    kept = proposed.join(against, "repaired").where(F.col("m") >= ratio * F.col("n"))
+    kept = proposed.join(against, "repaired").where(F.col("m") >= F.when(F.col("form").rlike(r"[^\p{L}-]"), SURE_RATIO).otherwise(ratio) * F.col("n"))
     return kept.groupBy("form").agg(F.max_by("repaired", F.struct(F.col("score"), F.col("m"), F.col("repaired"))).alias("repaired"))
 
 
 def ocr_words(rows: DataFrame, written: DataFrame, words: DataFrame, bad: DataFrame) -> DataFrame:
     """(tabela, chave, wrong, right) of every misread form of a text, and of every word whose letters stand apart."""
-    misread_as = written.join(bad, F.lower("written") == F.col("form")).select("written", F.col("repaired").alias("right"))
+    # a form that is mostly written with a capital is a name that happens to look like a misreading: only its small occurrences count
+    counted = bad.join(words, "form").select("form", "repaired", "n", "low")
+    named = (F.col("written") != F.col("form")) & (2 * F.col("low") < F.col("all")) & (F.col("all") - F.col("low") > 2)
+    misread_as = written.join(counted.withColumnRenamed("n", "all"), F.lower("written") == F.col("form")).where(~named).select("written", F.col("repaired").alias("right"))
     each = rows.select("tabela", "chave", F.explode(forms(F.col("texto"))).alias("written"))
     wrong = each.join(maybe_broadcast(cut(misread_as)), "written").select("tabela", "chave", F.col("written").alias("wrong"), "right")
     apart = spaced(rows).select("tabela", "chave", F.col("letras").alias("wrong"), F.explode(_trims(F.regexp_replace("letras", r"\s", ""))).alias("right"))
