@@ -3,8 +3,9 @@
 Round-trip repair: the text, or its tail from some point on, is re-encoded under a candidate legacy encoding, strictly
 decoded as the intended encoding, and the step is repeated for nested layers while a garbling cost drops.
 
-Defined cases: null, empty and pure ASCII text is not garbled; a replacement character or a stray control byte makes a text
-garbled though not restorable (`restored` is then null); rightly written foreign scripts, capitals and signs stay as they
+Defined cases: null and empty text is not garbled, nor is ASCII text without question marks in place of letters; a replacement
+character, a stray control byte or question marks that stand for letters make a text garbled though not restorable (`restored`
+is then null); question marks after a word, before a blank or the end, are punctuation; rightly written foreign scripts, capitals and signs stay as they
 are; repeated rows give repeated results; any length is read whole.
 """
 
@@ -20,8 +21,11 @@ from pyspark.sql import functions as F
 #: (encoding that was wrongly used, encoding that was meant). Western European text; all pairs are tried at every layer.
 PAIRS = [(w, "utf-8") for w in ("cp1252", "mac_roman", "cp437", "cp850", "cp1251", "cp1250")] + [(w, "cp1252") for w in ("mac_roman", "cp1251", "cp437", "cp850", "cp1250", "cp1253")]
 LAYERS = 3
-#: Java pattern of text worth a look: any sign outside ASCII and ordinary Portuguese letters, an accented capital after a small letter, a lone capital A with tilde.
-SUSPECT = "[^\\x00-\\x7FáàâãéêíóôõúüçÁÀÂÃÉÊÍÓÔÕÚÜÇºª–—]|\\p{Ll}[À-Þ]|(?<!\\p{L})Ã(?!\\p{L})"
+#: Java patterns of text worth a look (SUSPECT is either): any sign outside ASCII and ordinary Portuguese letters, an accented capital after a small letter, a lone capital A with tilde.
+_SIGNS = "[^\\x00-\\x7FáàâãéêíóôõúüçÁÀÂÃÉÊÍÓÔÕÚÜÇºª–—]|\\p{Ll}[À-Þ]|(?<!\\p{L})Ã(?!\\p{L})"
+#: Question marks that stand for lost letters, in Java and Python alike: inside a word, at its start, at its end before a comma or the like, or for a word before a small letter.
+_ASKED = r"(?<=[A-Za-zÀ-ÿ])\?+(?!\w*=)(?=[a-zß-ÿ])|(?<=[A-ZÀ-Þ])\?+(?=[A-ZÀ-Þ])|(?<![^\s(\['-])\?+(?=[A-Za-zÀ-ÿ])|(?<=[A-Za-zÀ-ÿ0-9])\?{2,}(?=[,;:])|(?<!\S)\?{2,}(?=\s+[a-zß-ÿ])"
+SUSPECT = f"{_SIGNS}|{_ASKED}"
 
 _FOREIGN = "ƒıŒœŸŽžŠšþÞðÐßøØåÅæÆÌÈÙÛÒËÏìîïûëòùäÄÿÝýʼ˙ˆ˜ĂăÎŞşŢţŁłĐđŐőŰűŔŕěĚřŘťŤůŮńŃ"
 _BAD = [
@@ -35,13 +39,14 @@ _BAD = [
     (1, re.compile(r"(?<!\w)Ã(?!\w)|\dÂ(?!\w)")),
     (1, re.compile(r"(?<!\w)[·‚„‡È˙](?=\s)|\d[∫™є║](?!\w)")),
 ]
+_NO_LETTER = re.compile(_ASKED)
 #: Signs that no repair removes: the original byte is gone.
 _LOST = re.compile(r"�|[\x80-\x9f]")
 
 
 def cost(text: str) -> int:
     """How garbled a text looks: 0 for clean text."""
-    return sum(w * len(p.findall(text)) for w, p in _BAD)
+    return sum(w * len(p.findall(text)) for w, p in _BAD) + len(_NO_LETTER.findall(text))
 
 
 def _first_bad(text: str) -> int:
@@ -115,10 +120,10 @@ def _judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         rows = []
         for key, field, text in zip(b["line_no"], b["campo"], b["texto"]):
-            lost = bool(_LOST.search(text))
+            lost = bool(_LOST.search(text) or _NO_LETTER.search(text))
             best, c, layers = repair(text)
-            if layers or lost:
-                rows.append((key, field, text, best if c == 0 and not _LOST.search(best) else None, layers))
+            if layers or lost or c:
+                rows.append((key, field, text, best if c == 0 and not _LOST.search(best) and not _NO_LETTER.search(text) else None, layers))
         yield pd.DataFrame(rows, columns=["line_no", "campo", "texto", "restored", "layers"])
 
 

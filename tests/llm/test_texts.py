@@ -37,6 +37,15 @@ def test_garbled_fields(spark):
     assert encoding.garbled_found(df.limit(0)).count() == 0
 
 
+def test_letters_lost_to_question_marks(spark):
+    lost = ["Em qual p??gina est?? a descri????o", "N??o existe nos c??dices", "?? poss??vel", "PS??QUICO", "a p?gina", "no m??s, j??; fim", "??ncora", "Você n??o leu??", "aÃ§Ã£o n??o"]
+    clean = ["Você leu??", "Você leu?? Sim.", "Quem? Onde?! Por quê???", "http://x.y/z?id=1", "(?)", "Leu ?? Sim", "leu???...", "?"]
+    df = spark.createDataFrame([(i, t, None) for i, t in enumerate(lost + clean)], "line_no bigint, pergunta string, resposta_referencia string")
+    got = {r.line_no: r.restored for r in encoding.garbled(df).collect()}
+    assert got == {i: None for i in range(len(lost))}
+    assert all(encoding.cost(t) > 0 for t in lost) and not any(encoding.cost(t) for t in clean)
+
+
 def test_perceptron_and_editor_on_held_out_words():
     assert edit("cscada", "escada") == (0, "c", "e") and edit("tumo", "turno") == (2, "m", "rn") and edit("abc", "xyz") is None
     rng = random.Random(1)
