@@ -1,7 +1,8 @@
 """Retrieval for batches of questions: BM25, exact cosine, reciprocal rank fusion and their comparison.
 
-A question is a row, and a search takes a bounded set of them against all rows: documents stay where they are, each batch is scored
-against every question by one matrix product, and only the k best of a batch travel to the final ranking.
+A question is a row, and a search takes any number of them against all rows, in passes of about `A_PASS` questions whose rankings
+are united: documents stay where they are, each batch is scored against the questions of a pass by matrix products, and only the k
+best of a batch travel to the final ranking.
 
 Ties end by ordinal (or id) ascending, on scores rounded to six places. Questions without a searchable term find nothing;
 repeated terms of a question count once per occurrence; empty tables give no rows.
@@ -10,6 +11,7 @@ repeated terms of a question count once per occurrence; empty tables give no row
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -17,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from estante.functions import text as T
-from estante.runtime import cut
+from estante.runtime import cut, maybe_broadcast
 
 K1, B, FLOOR = 1.2, 0.75, 1e-6
 RRF_K, LEG_DEPTH = 60, 50
@@ -60,15 +62,25 @@ def query_terms(questions: DataFrame, key: str = "query_id", text: str = "query_
     return questions.where(T.searchable(F.col(text))).select(F.col(key).alias("query_id"), F.explode(T.tokens(F.col(text))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
 
 
-MOST_QUESTIONS, BLOCK = 2_000, 256
+A_PASS, BLOCK = 2_000, 256
 
 
-def _bounded(questions: DataFrame, most: int) -> None:
-    """A stated set of questions meets all rows, so the questions travel and must be few; more is an error, to be split by the caller."""
-    if questions.limit(most + 1).count() > most:
+def _bounded(questions: DataFrame, most: int | None) -> None:
+    """More questions than a bound that the caller states are an error; without one any number is answered."""
+    if most is not None and questions.limit(most + 1).count() > most:
         raise ValueError("too many questions for one search; split them")
 
 
+def _in_passes(asked: DataFrame, a_pass: int, search: Callable[[pd.DataFrame], DataFrame]) -> DataFrame | None:
+    """The united hits of every pass; asked, written once, has a query_id, whose rows all meet in one pass. Several passes are each written before the next, so that the driver holds one pass's questions; none gives None."""
+    n = -(-asked.select("query_id").distinct().count() // a_pass)
+    if n <= 1:
+        return search(asked.orderBy("query_id").toPandas()) if n else None
+    part = F.pmod(F.xxhash64("query_id"), F.lit(n))
+    hits = [cut(search(rows)) for i in range(n) if len(rows := asked.where(part == i).orderBy("query_id").toPandas())]
+    return reduce(DataFrame.unionByName, hits)
+
+
 def _best(scores: np.ndarray, keys: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(question, row) of the k best of every column, by score, then key; scores of -inf do not count."""
     q, r = [], []
@@ -84,44 +96,49 @@ def _best(scores: np.ndarray, keys: np.ndarray, k: int) -> tuple[np.ndarray, np.
     return np.array(q, dtype=np.int64), np.array(r, dtype=np.int64)
 
 
-def bm25(questions: DataFrame, rows: DataFrame, k: int, key: str = "chunk_id", text: str = "text", most_questions: int = MOST_QUESTIONS) -> DataFrame:
-    """(query_id, key, score, rank). Each document meets all questions at once as a row of term weights times the questions' matrix; only the k best of every batch and question go on to the final ranking."""
+def bm25(questions: DataFrame, rows: DataFrame, k: int, key: str = "chunk_id", text: str = "text", most_questions: int | None = None, a_pass: int = A_PASS) -> DataFrame:
+    """(query_id, key, score, rank). Each document meets all questions of a pass at once as a row of term weights times the questions' matrix; only the k best of every batch and question go on to the final ranking."""
     _bounded(questions, most_questions)
     terms = cut(query_terms(questions))
-    wanted = F.broadcast(terms.select("term").distinct())  # bounded by the questions' bound
+    wanted = maybe_broadcast(cut(terms.select("term").distinct()))
     # only asked terms leave a document's row, with its length
     tokenised = rows.select(key, T.tokens(F.col(text)).alias("terms")).select(key, F.size("terms").cast("bigint").alias("len"), "terms")
     hit = cut(tokenised.select(key, "len", F.explode("terms").alias("term")).join(wanted, "term").groupBy(key, "len").agg(F.collect_list("term").alias("terms")))
     stats = doc_lengths(rows, key, text).agg(F.count("*").alias("n_docs"), F.avg("len").alias("avgdl")).first()
     idf = F.log((F.lit(stats["n_docs"]) - F.col("n") + 0.5) / (F.col("n") + 0.5))
     df = hit.select(F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
-    asked = terms.join(F.broadcast(df), "term").select("query_id", "term", (F.col("qtf") * F.when(idf > 0, idf).otherwise(FLOOR)).alias("w")).orderBy("query_id").toPandas()
-    blocks = []
-    ids = asked["query_id"].unique()
-    for at in range(0, len(ids), BLOCK):
-        part = asked[asked["query_id"].isin(ids[at : at + BLOCK])]
-        q, place = pd.factorize(part["query_id"])[0], {t: i for i, t in enumerate(part["term"].unique())}
-        w = np.zeros((len(place), q.max() + 1))
-        w[part["term"].map(place), q] = part["w"]
-        blocks.append((ids[at : at + BLOCK], place, w))
+    asked = terms.join(df, "term").select("query_id", "term", (F.col("qtf") * F.when(idf > 0, idf).otherwise(FLOOR)).alias("w"))
     avgdl, kind = stats["avgdl"], rows.schema[key].dataType.simpleString()
     query_kind = terms.schema["query_id"].dataType.simpleString()
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            keys, length = b[key].to_numpy(), b["len"].to_numpy(dtype=float)
-            for names, place, w in blocks:
-                at = [(i, place[t]) for i, ts in enumerate(b["terms"]) for t in ts if t in place]
-                if not at:
-                    continue
-                tf = np.zeros((len(b), len(place)))
-                np.add.at(tf, tuple(np.array(at).T), 1)
-                part = tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / avgdl)[:, None])
-                scores = np.where((tf > 0).astype(np.float32) @ (w > 0).astype(np.float32) > 0, np.round(part @ w, PLACES), -np.inf)
-                q, r = _best(scores, keys, k)
-                yield pd.DataFrame({"query_id": names[q], key: keys[r], "score": scores[r, q]})
-
-    return top_k(hit.mapInPandas(score, f"query_id {query_kind}, {key} {kind}, score double"), k, key)
+    def one_pass(asked: pd.DataFrame) -> DataFrame:
+        blocks = []
+        ids = asked["query_id"].unique()
+        for at in range(0, len(ids), BLOCK):
+            part = asked[asked["query_id"].isin(ids[at : at + BLOCK])]
+            q, place = pd.factorize(part["query_id"])[0], {t: i for i, t in enumerate(part["term"].unique())}
+            w = np.zeros((len(place), q.max() + 1))
+            w[part["term"].map(place), q] = part["w"]
+            blocks.append((ids[at : at + BLOCK], place, w))
+
+        def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                keys, length = b[key].to_numpy(), b["len"].to_numpy(dtype=float)
+                for names, place, w in blocks:
+                    at = [(i, place[t]) for i, ts in enumerate(b["terms"]) for t in ts if t in place]
+                    if not at:
+                        continue
+                    tf = np.zeros((len(b), len(place)))
+                    np.add.at(tf, tuple(np.array(at).T), 1)
+                    part = tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / avgdl)[:, None])
+                    scores = np.where((tf > 0).astype(np.float32) @ (w > 0).astype(np.float32) > 0, np.round(part @ w, PLACES), -np.inf)
+                    q, r = _best(scores, keys, k)
+                    yield pd.DataFrame({"query_id": names[q], key: keys[r], "score": scores[r, q]})
+
+        return top_k(hit.mapInPandas(score, f"query_id {query_kind}, {key} {kind}, score double"), k, key)
+
+    found = _in_passes(cut(asked), a_pass, one_pass)
+    return found if found is not None else terms.select("query_id").crossJoin(rows.select(key)).limit(0).selectExpr("query_id", key, "0.0D as score", "1 as rank")
 
 
 # --- dense ----------------------------------------------------------------------------------------------------------------
@@ -133,29 +150,31 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
-def cosine_top_k(questions: DataFrame, vectors: DataFrame, k: int, key: str = "chunk_id", vector: str = "vector", most_questions: int = MOST_QUESTIONS) -> DataFrame:
+def cosine_top_k(questions: DataFrame, vectors: DataFrame, k: int, key: str = "chunk_id", vector: str = "vector", most_questions: int | None = None, a_pass: int = A_PASS) -> DataFrame:
     """(query_id, key, score, rank): the exact k nearest of each question vector (query_id, qvec). Every batch of vectors is one matrix product
-    with all questions; only its k best per question go on. Null vectors and vectors of length zero take no part."""
+    with a block of questions; only its k best per question go on. Null vectors and vectors of length zero take no part."""
     _bounded(questions, most_questions)
-    asked = questions.where("qvec is not null").toPandas()
-    if not len(asked):
-        return questions.select("query_id").crossJoin(vectors.select(key)).limit(0).selectExpr("query_id", key, "0.0D as score", "1 as rank")
     kind, query_kind = vectors.schema[key].dataType.simpleString(), questions.schema["query_id"].dataType.simpleString()
-    names, q_all = asked["query_id"].to_numpy(), _units(np.stack(asked["qvec"].to_numpy()).astype(float))
+    usable = vectors.where(F.col(vector).isNotNull()).select(key, vector)
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            if not len(b):
-                continue
-            keys, x = b[key].to_numpy(), _units(np.stack(b[vector].to_numpy()).astype(float))
-            for at in range(0, len(names), BLOCK):
-                s = np.round(x @ q_all[at : at + BLOCK].T, PLACES) + 0.0
-                s[np.isnan(s)] = -np.inf
-                q, r = _best(s, keys, k)
-                yield pd.DataFrame({"query_id": names[at : at + BLOCK][q], key: keys[r], "score": s[r, q]})
+    def one_pass(asked: pd.DataFrame) -> DataFrame:
+        names, q_all = asked["query_id"].to_numpy(), _units(np.stack(asked["qvec"].to_numpy()).astype(float))
 
-    usable = vectors.where(F.col(vector).isNotNull()).select(key, vector)
-    return top_k(usable.mapInPandas(score, f"query_id {query_kind}, {key} {kind}, score double"), k, key)
+        def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                if not len(b):
+                    continue
+                keys, x = b[key].to_numpy(), _units(np.stack(b[vector].to_numpy()).astype(float))
+                for at in range(0, len(names), BLOCK):
+                    s = np.round(x @ q_all[at : at + BLOCK].T, PLACES) + 0.0
+                    s[np.isnan(s)] = -np.inf
+                    q, r = _best(s, keys, k)
+                    yield pd.DataFrame({"query_id": names[at : at + BLOCK][q], key: keys[r], "score": s[r, q]})
+
+        return top_k(usable.mapInPandas(score, f"query_id {query_kind}, {key} {kind}, score double"), k, key)
+
+    found = _in_passes(cut(questions.where("qvec is not null").select("query_id", "qvec")), a_pass, one_pass)
+    return found if found is not None else questions.select("query_id").crossJoin(vectors.select(key)).limit(0).selectExpr("query_id", key, "0.0D as score", "1 as rank")
 
 
 def _units(x: np.ndarray) -> np.ndarray:

@@ -64,6 +64,21 @@ def test_cosine_refuses_unbounded_questions(spark):
         search.cosine_top_k(q, v, 5, most_questions=4)
 
 
+def test_any_number_of_questions_in_passes(spark):
+    n = 2_100
+    words = ["dragão", "torre", "azul norte", "vermelho"]
+    q = spark.createDataFrame([(str(i), words[i % 4]) for i in range(n)], "query_id string, query_text string")
+    hits = {(r.query_id, r.chunk_id, r.score, r["rank"]) for r in search.bm25(q, corpus(spark), 2).collect()}
+    few = {(int(r.query_id), r.chunk_id, r.score, r["rank"]) for r in search.bm25(q.where("int(query_id) < 4"), corpus(spark), 2).collect()}
+    assert hits == {(str(i), c, s, k) for i in range(n) for j, c, s, k in few if j == i % 4}
+    v = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 2.0]), ("c", [1.0, 1.0])], "chunk_id string, vector array<double>")
+    qv = spark.range(n).select(F.col("id").alias("query_id"), F.array(F.lit(1.0), (F.col("id") % 3).cast("double")).alias("qvec"))
+    near = search.cosine_top_k(qv, v, 2).collect()
+    assert len({(r.query_id, r["rank"]) for r in near}) == len(near) == 2 * n and all(r.chunk_id == "acc"[r.query_id % 3] for r in near if r["rank"] == 1 and r.query_id % 3 < 2)
+    by_one = {tuple(r) for r in search.cosine_top_k(qv.limit(7), v, 2, a_pass=2).collect()}
+    assert by_one == {tuple(r) for r in search.cosine_top_k(qv.limit(7), v, 2).collect()}
+
+
 def test_embedder_interface(spark):
     df = spark.createDataFrame([(i, "x" * i) for i in range(70)], "k int, t string")
     got = embedding.embed(df, "k", "t", lambda texts: [[float(len(t)), 1.0] for t in texts], dimension=2)
