@@ -30,7 +30,9 @@ RATIO, SURE_RATIO, TRAIN_RATIO, TRAIN_FREQUENT, TRAIN_RARE, TRAIN_LINES = 12, 3,
 _HYPHEN = "[-\\u00AD\\u00AC\\u2010]"
 _BREAK = _HYPHEN + r"(?<=[\p{L}@|].)[ \t]*(?:\r?\n[ \t]*)+(?=[\p{L}\p{N}@|])"
 _FORM = r"[\p{L}\p{N}@|]+(?:-[\p{L}\p{N}@|]+)*"
-_SPACED = r"(?<![\p{L}\p{N}-])(?:\p{Ll}[ \n]{1,2}){2,}\p{Ll}(?![\p{L}\p{N}])"
+_SPACED = r"(?<![\p{L}\p{N}@|-])(?:\p{Ll}[ \n]{1,2}){2,}\p{Ll}(?![\p{L}\p{N}@|])"
+#: A line that ends in a single letter and, up to three lines on, one that begins with a single letter: letters may stand apart around furniture.
+_AROUND = r"(?<![\p{L}\p{N}-])\p{Ll}[ \t]*(?:\r?\n|\r)(?:[^\r\n]*(?:\r?\n|\r)){1,3}[ \t]*\p{Ll}(?![\p{L}\p{N}])"
 ROWS = "tabela string, chave string, texto string, pagina int"
 
 
@@ -105,7 +107,7 @@ def misread(words: DataFrame, ratio: int = RATIO) -> DataFrame:
     return kept.groupBy("form").agg(F.max_by("repaired", F.struct(F.col("score"), F.col("m"), F.col("repaired"))).alias("repaired"))
 
 
-def ocr_words(rows: DataFrame, written: DataFrame, words: DataFrame, bad: DataFrame) -> DataFrame:
+def ocr_words(rows: DataFrame, written: DataFrame, words: DataFrame, bad: DataFrame, lines: DataFrame) -> DataFrame:
     """(tabela, chave, wrong, right) of every misread form of a text, and of every word whose letters stand apart."""
     # a form that is mostly written with a capital is a name that happens to look like a misreading: only its small occurrences count
     counted = bad.join(words, "form").select("form", "repaired", "n", "low")
@@ -113,19 +115,60 @@ def ocr_words(rows: DataFrame, written: DataFrame, words: DataFrame, bad: DataFr
     misread_as = written.join(counted.withColumnRenamed("n", "all"), F.lower("written") == F.col("form")).where(~named).select("written", F.col("repaired").alias("right"))
     each = rows.select("tabela", "chave", F.explode(forms(F.col("texto"))).alias("written"))
     wrong = each.join(maybe_broadcast(cut(misread_as)), "written").select("tabela", "chave", F.col("written").alias("wrong"), "right")
-    apart = spaced(rows).select("tabela", "chave", F.col("letras").alias("wrong"), F.explode(_trims(F.regexp_replace("letras", r"\s", ""))).alias("right"))
-    # a real word: as frequent as an ordinary one, which no chance run of one-letter words is
-    known = words.where((F.col("n") >= 5) & (F.length("form") >= 3)).select(F.col("form").alias("right"))
-    return wrong.unionByName(apart.join(known, "right", "left_semi").select("tabela", "chave", "wrong", "right"))
+    return wrong.unionByName(apart_words(spaced(rows).unionByName(spaced(without_furniture(rows, lines))), words))
 
 
 def spaced(rows: DataFrame) -> DataFrame:
     return rows.select("tabela", "chave", F.explode(F.regexp_extract_all("texto", F.lit(_SPACED), F.lit(0))).alias("letras"))
 
 
-def _trims(j: Column) -> Column:
-    n = F.length(j)
-    return F.filter(F.array(j, F.substr(j, F.lit(2)), F.substr(j, F.lit(1), n - 1), F.substr(j, F.lit(2), n - 2)), lambda x: F.length(x) >= F.when(x == j, 3).otherwise(4))
+def without_furniture(rows: DataFrame, lines: DataFrame) -> DataFrame:
+    """The texts whose letters may stand apart around a line of furniture, without their furniture."""
+    by = ["tabela", "chave"]
+    moved = lines.groupBy(*by).agg(F.collect_set("i").alias("moveis"))
+    kept = F.filter(F.filter(F.split("texto", r"\r?\n|\r"), lambda x: F.trim(x) != ""), lambda x, i: ~F.array_contains("moveis", i))
+    return rows.where(F.col("texto").rlike(_AROUND)).join(moved, by).select(*by, F.array_join(F.transform(kept, F.trim), "\n").alias("texto"))
+
+
+_ONE_LETTER = frozenset("aoeéàó")
+
+
+def segment(letters: str, known: dict[str, int]) -> list[str]:
+    """The words of letters that stand apart: all of them known words or words of one letter, but for one letter at either end that may
+    belong to what stands beside. Fewest words win, then longest; at least one has three letters (seen five times) or more. Else none."""
+    n = len(letters)
+    best: list[tuple[int, int, list[str], int] | None] = [(0, 0, [], 0)] + [None] * n
+    longest = max(map(len, known), default=0)
+    for i in range(n):
+        if (held := best[i]) is None:
+            continue
+        alone = letters[i] in _ONE_LETTER
+        ways = [(i + 1, 1 if alone else 3, [])] if alone or i in (0, n - 1) else []
+        for j in range(i + 2, min(n, i + longest) + 1):
+            w = letters[i:j]
+            if known.get(w, 0) >= (1 if len(w) >= 4 else 5):
+                ways.append((j, 1 if len(w) >= 3 else 2, [w]))
+        for j, c, w in ways:
+            new = (held[0] + c, held[1] - sum(len(x) ** 2 for x in w), held[2] + w, held[3] + (c == 3))
+            if best[j] is None or new < best[j]:
+                best[j] = new
+    _, _, found, strange = best[n] or (0, 0, [], 0)
+    return found if any(len(w) >= (4 if strange else 3) for w in found) else []
+
+
+def apart_words(runs: DataFrame, words: DataFrame) -> DataFrame:
+    """(tabela, chave, wrong, right): every word of the runs of letters that stand apart. Each distinct run meets, by join, the words that it can hold."""
+    runs = cut(runs.withColumn("j", F.regexp_replace("letras", r"\s", "")))
+    pieces = F.expr("flatten(transform(sequence(1, length(j) - 1), i -> transform(sequence(2, least(40, length(j) - i + 1)), k -> substring(j, i, k))))")
+    tried = runs.select("j").distinct().select("j", F.explode(F.array_distinct(pieces)).alias("form"))
+    held = tried.join(words.select("form", "n"), "form").groupBy("j").agg(F.collect_list(F.struct("form", "n")).alias("known"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [(j, w) for j, known in zip(b["j"], b["known"]) for w in dict.fromkeys(segment(j, {x["form"]: x["n"] for x in known}))]
+            yield pd.DataFrame(rows, columns=["j", "right"])
+
+    return runs.join(held.mapInPandas(run, "j string, right string"), "j").select("tabela", "chave", F.col("letras").alias("wrong"), "right")
 
 
 # --- furniture ------------------------------------------------------------------------------------------------------------
@@ -251,7 +294,7 @@ class Found:
         templates = cut(furniture(lines, livros))
         bad = cut(misread(words))
         self.lines = lines.join(maybe_broadcast(templates), ["template", "edge", "on_page"], "left_semi")
-        self.words = ocr_words(rows, written, words, bad)
+        self.words = ocr_words(rows, written, words, bad, self.lines)
         self.breaks = hyphen_breaks(rows, templates)
         self.joined = hyphen_rows(self.breaks, words)
 

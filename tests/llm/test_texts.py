@@ -89,6 +89,19 @@ def test_noise_of_scanned_pages(spark):
     assert "CRÔNICAS" not in fixed["d#2"] and fixed["c0"] == "a ponte vigia"
 
 
+def test_letters_apart_beside_other_words(spark):
+    known = {"guarda": 60, "atravessa": 60, "vigia": 60, "senha": 1, "do": 9, "sol": 9, "lar": 2}
+    for letters, words in {"eaguarda": ["guarda"], "guardaatravessaa": ["guarda", "atravessa"], "asenhao": ["senha"], "dosol": ["do", "sol"], "sguardas": ["guarda"], "aoe": [], "abcd": [], "olar": [], "xsol": [], "": []}.items():
+        assert scanned.segment(letters, known) == words
+    texts = ["se a g u a r d a e a noite", "p o n t e p e d r a", "o m e r c a d o a gu@rda", "fica e a p o n\n— 7 —\nt e coberta", "s e n t i n e l a e o", "a e o"]
+    rows = [("d", i, "paragraph", 7, None, t) for i, t in enumerate(texts)]
+    b, c, books = scanned_tables(spark, rows)
+    got = {r.chave for r in scanned.noise_found(b, c, books).collect() if r.ruido == "ocr"}
+    assert got >= {f"d#{i}" for i in range(5)} and "d#5" not in got
+    fixed = {r.chave: r.texto for r in scanned.repaired(b, c, books).collect()}
+    assert fixed["d#1"] == "ponte pedra" and fixed["d#4"] == "sentinela e o" and "ponte" in fixed["d#3"]
+
+
 def test_scanned_of_nothing(spark):
     b, c, books = scanned_tables(spark, [], [])
     assert scanned.noise_found(b.limit(0), c, books).count() == 0
