@@ -93,7 +93,8 @@ def train_editor(words: DataFrame) -> Editor:
 
 
 def misread(words: DataFrame, ratio: int = RATIO) -> DataFrame:
-    """(form, repaired): forms that the editor turns into a form at least `ratio` times as frequent."""
+    """(form, repaired): forms that the editor turns into a form at least `ratio` times as frequent. That form must stand without a capital in
+    30 % of its occurrences, or, if the misread one holds a digit or sign, `ratio` times as often as the misread one occurs."""
     editor = train_editor(words)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -102,8 +103,10 @@ def misread(words: DataFrame, ratio: int = RATIO) -> DataFrame:
             yield pd.DataFrame(rows, columns=["form", "n", "repaired", "score"])
 
     proposed = words.where(F.length("form").between(3, 40) | (F.length("form") == 2) & F.col("form").rlike(r"[^\p{L}]")).mapInPandas(run, "form string, n bigint, repaired string, score double")
-    against = words.where((F.col("low") >= 0.3 * F.col("n")) & F.col("form").rlike(r"^[\p{L}-]+$")).select(F.col("form").alias("repaired"), F.col("n").alias("m"))
-    kept = proposed.join(against, "repaired").where(F.col("m") >= F.when(F.col("form").rlike(r"[^\p{L}-]"), SURE_RATIO).otherwise(ratio) * F.col("n"))
+    against = words.where((F.col("low") > 0) & F.col("form").rlike(r"^[\p{L}-]+$")).select(F.col("form").alias("repaired"), F.col("n").alias("m"), "low")
+    signs = F.col("form").rlike(r"[^\p{L}-]")
+    ordinary = F.col("low") >= 0.3 * F.col("m")
+    kept = proposed.join(against, "repaired").where(F.when(signs, ordinary & (F.col("m") >= SURE_RATIO * F.col("n")) | (F.col("low") >= ratio * F.col("n"))).otherwise(ordinary & (F.col("m") >= ratio * F.col("n"))))
     return kept.groupBy("form").agg(F.max_by("repaired", F.struct(F.col("score"), F.col("m"), F.col("repaired"))).alias("repaired"))
 
 

@@ -102,6 +102,13 @@ def test_letters_apart_beside_other_words(spark):
     assert fixed["d#1"] == "ponte pedra" and fixed["d#4"] == "sentinela e o" and "ponte" in fixed["d#3"]
 
 
+def test_misread_words_that_mostly_stand_capitalised(spark):
+    plain = {"ponte": 600, "mercado": 600, "coberto": 600, "torneio": 600, "p0nte": 1, "mercad0": 1, "c0berto": 1, "t0rneio": 1}
+    rows = [(w, n, n) for w, n in plain.items()] + [("tempo", 2700, 450), ("temp0", 3, 3), ("vellio", 2700, 4), ("velli0", 3, 3)]
+    got = {r.form: r.repaired for r in scanned.misread(spark.createDataFrame(rows, "form string, n bigint, low bigint")).collect()}
+    assert got == {"p0nte": "ponte", "mercad0": "mercado", "c0berto": "coberto", "t0rneio": "torneio", "temp0": "tempo"}
+
+
 def test_scanned_of_nothing(spark):
     b, c, books = scanned_tables(spark, [], [])
     assert scanned.noise_found(b.limit(0), c, books).count() == 0
