@@ -67,7 +67,15 @@ def contribution_labels(spark, d):
 
 
 def _passages(spark, d):
-    top = _hits(spark, d).where("strategy = 'bm25' and rank <= 3").select("query_id", "rank", "chunk_id").distinct()
+    """The first three of the lexical list, as the SQL of prompt_assembly and no_context_guard states; rag_answers takes the fused list."""
+    return _with_text(spark, d, _hits(spark, d).where("strategy = 'bm25' and rank <= 3").select("query_id", "rank", "chunk_id").distinct())
+
+
+def _fused_passages(spark, d):
+    return _with_text(spark, d, search.rrf(_hits(spark, d), SHOWN, ["cosseno", "bm25"]).select("query_id", "rank", "chunk_id"))
+
+
+def _with_text(spark, d, top):
     return top.join(_once(spark, d), "chunk_id").select("query_id", "rank", "chunk_id", "book", "page_start", "page_end", "entity_name", "text")
 
 
@@ -86,7 +94,7 @@ def no_context_guard(spark, d):
 
 
 def rag_answers(spark, d):
-    p = rag.prompts(_asked(spark, d), _passages(spark, d).drop("chunk_id"))
+    p = rag.prompts(_asked(spark, d), _fused_passages(spark, d).drop("chunk_id"))
     return rag.answers(p, rag.extractive)
 
 

@@ -110,6 +110,20 @@ def test_prompt_and_guard(spark):
     assert a["0"].answer == "um [1]" and a["0"].note is None and a["1"].answer == "" and a["1"].note == rag.NOTHING_FOUND
 
 
+def test_answers_take_the_fused_passages(spark, tmp_path):
+    hits = [("q", "bm25", f"b{i}", 9.0 - i, i) for i in range(1, 6)] + [("q", "cosseno", f"c{i}", 0.9, i) for i in range(1, 6)] + [("r", "cosseno", "c1", 0.9, 1)]
+    tables = {
+        "resultados": (hits, "query_id string, strategy string, chunk_id string, score double, rank int"),
+        "chunks": ([(f"{x}{i}", i, f"texto {x}{i}", None, None, None, "vau") for x in "bc" for i in range(1, 6)], "chunk_id string, ordinal int, text string, entity_name string, page_start int, page_end int, book string"),
+        "perguntas": ([(1, "q", "Quanto?"), (2, "r", "Onde?"), (3, "s", "Nada?")], "line_no bigint, id string, pergunta string"),
+    }
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    got = {r.query_id: r for r in registry.QUERIES["rag_answers"](spark, str(tmp_path)).collect()}
+    assert {k: r.passages for k, r in got.items()} == {"q": 8, "r": 1, "s": 0}
+    assert got["r"].note is None and got["s"].note == rag.NOTHING_FOUND
+
+
 def test_limits(spark):
     rows = [(i, f"2026-01-01 00:00:{i % 60:02d}", "x", "q") for i in range(8)] + [(0, "2026-01-01 00:00:59", "x", "q"), (50, "2026-01-01 00:01:00", "x", " "), (51, "2026-01-01 00:00:03", None, "z" * 501)]
     e = spark.createDataFrame(rows, "event_id bigint, ts string, client string, question string").withColumn("ts", F.col("ts").cast("timestamp"))
