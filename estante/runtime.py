@@ -9,8 +9,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Largest number of rows that `maybe_broadcast` hints; beyond it Spark joins by shuffle.
-BROADCAST_ROWS = 200_000
+#: Largest number of rows, and of bytes written as JSON, that `maybe_broadcast` hints; beyond either the join is a merge of shuffled sides.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 16 << 20
 
 
 _SHIPPED: set[str] = set()
@@ -36,12 +36,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir; where it is unset (tests, one machine) a folder of our own."""
+    """The shared folder that the cluster names in spark.checkpoint.dir; where it is unset, a folder of our own if the master is local, and an error if it is not."""
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     current = context._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
+    if not named and not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
     context.setCheckpointDir(named or tempfile.mkdtemp(prefix="estante-checkpoint-"))
     return context._jsc.sc().getCheckpointDir().get()
 
@@ -52,9 +54,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def maybe_broadcast(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only if the (already cut) side has at most `most` rows. The check reads `most` + 1 rows, never more."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+def maybe_broadcast(df: DataFrame, most: int = BROADCAST_ROWS, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Hint a broadcast if the (already cut) side is measured to have at most `most` rows and `most_bytes` bytes, else a merge join: Spark's own
+    size estimates, wrong behind Python and arrays, decide nothing. The check reads `most` + 1 rows, never more."""
+    size = F.sum(F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]))))
+    rows, held = df.limit(most + 1).agg(F.count("*"), size).first()
+    return F.broadcast(df) if rows <= most and (held or 0) <= most_bytes else merged(df)
+
+
+def merged(df: DataFrame) -> DataFrame:
+    """A side to be joined by shuffle and merge, whatever Spark thinks its size is."""
+    return df.hint("merge")
 
 
 def cores(spark: SparkSession) -> int:
@@ -62,6 +72,7 @@ def cores(spark: SparkSession) -> int:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """A scan with fewer partitions than cores is dealt out to all cores for Python work; one that has them stays unshuffled."""
+    """A scan (or a written table) with fewer partitions than cores is dealt out to all cores for Python work; one that has them stays
+    unshuffled. Not for other plans: to count their partitions Spark would have to run them."""
     n = cores(df.sparkSession)
     return df if df.rdd.getNumPartitions() >= n else df.repartition(2 * n)
