@@ -79,8 +79,13 @@ def edit(noisy: str, clean: str) -> tuple[int, str, str] | None:
     return (a, wrong, right) if 1 <= len(wrong) <= 2 and len(right) <= 2 else None
 
 
+#: A line end with the hyphen before it, and a blank between letters, as characters that the editor reads.
+BREAK, BLANK = "\u23ce", " "
+
+
 class Editor:
-    """At each place of a word an operation: keep a character, or write something else for the next one or two."""
+    """At each place of a word an operation: keep a character, or write something else for the next one or two. A line end (`BREAK`) is read as
+    one character, for which nothing (the halves join) or a hyphen is written; a blank between letters is kept or deleted."""
 
     def __init__(self) -> None:
         self.model = Averaged()
@@ -92,12 +97,27 @@ class Editor:
         p, c, n = w[i + 1], w[i + 2], w[i + 3]
         return [f"c{c}", f"p{p}{c}", f"n{c}{n}", f"b{p}{c}{n}", f"l{w[i]}{p}{c}", f"r{c}{n}{w[i + 4]}", f"x{c}{'a' if n.isalpha() else n}{'a' if p.isalpha() else p}"]
 
+    @classmethod
+    def break_features(cls, a: str, b: str, joined: int, compound: int) -> list[str]:
+        """The characters about the line end, and how often the joined word and the compound stand unbroken elsewhere."""
+        j, h = min(joined.bit_length(), 12), min(compound.bit_length(), 12)
+        return [*cls.features(a + BREAK + b, len(a)), f"j{j}", f"h{h}", f"h>j{compound > joined}", f"j>h{joined > compound}", f"h>4j{compound > 4 * joined}", f"j>4h{joined > 4 * compound}"]
+
+    @staticmethod
+    def blank_features(letters: str, i: int) -> list[str]:
+        """The letters about a blank before letter i, the blanks between them left out."""
+        w = f"^^^{letters}$$$"
+        a, b = w[i : i + 3], w[i + 3 : i + 6]
+        return [f"c{BLANK}", *(f"<{a[-k:]}" for k in (1, 2, 3)), *(f">{b[:k]}" for k in (1, 2, 3)), f"={a[-1]}{b[0]}", f"={a[-2:]}{b[0]}", f"={a[-1]}{b[:2]}", f"={a[-2:]}{b[:2]}"]
+
     def at(self, word: str, i: int) -> list[tuple[str, str]]:
         """The learnt operations that can apply here."""
         return [(x, y) for x in (word[i], word[i : i + 2]) for y in self.operations.get(x, ()) if len(x) <= len(word) - i]
 
-    def train(self, pairs: list[tuple[str, str]], words: list[str], share: float = 0.0015, support: int = 3) -> Editor:
-        """pairs: (noisy, clean); words: correct ones. An operation is learnt if at least `support` pairs, and this share of all, show it: misreadings repeat, other likenesses between words scatter. Two pairs do if it reads a sign that no correct word holds, or reverses a learnt one."""
+    def train(self, pairs: list[tuple[str, str]], words: list[str], breaks: list[tuple[str, str, int, int, str]] = (), apart: list[list[str]] = (), share: float = 0.0015, support: int = 3) -> Editor:
+        """pairs: (noisy, clean); words: correct ones; breaks: (half, half, count joined, count as a compound, "" or "-"); apart: words in a row,
+        whose letters are read apart. An operation is learnt if at least `support` pairs, and this share of all, show it: misreadings repeat, other
+        likenesses between words scatter. Two pairs do if it reads a sign that no correct word holds, or reverses a learnt one."""
         rows = [(u, *e) for u, v in pairs if (e := edit(u, v)) is not None]
         # a word that goes on where the noisy one ends was cut off, not misread
         rows = [(u, i, x, y) for u, i, x, y in rows if not (i + len(x) == len(u) and len(y) > len(x) and y.startswith(x))]
@@ -117,25 +137,49 @@ class Editor:
                 data += [(self.features(u, i), f"{wrong}>{right}" if i == place else "keep", self.at(u, i)) for i in range(len(u)) if self.at(u, i)]
         for w in words:
             data += [(self.features(w, i), "keep", self.at(w, i)) for i in range(len(w)) if self.at(w, i)]
+        data += [(self.break_features(a, b, j, h), f"{BREAK}>{right}", [(BREAK, ""), (BREAK, "-")]) for a, b, j, h, right in breaks]
+        for row in apart:
+            starts, letters = {sum(map(len, row[:k])) for k in range(len(row))}, "".join(row)
+            data += [(self.blank_features(letters, i), "keep" if i in starts else f"{BLANK}>", [(BLANK, "")]) for i in range(1, len(letters))]
         self.model.train([((f, tuple(f"{x}>{y}" for x, y in ops)), y) for f, y, ops in data], rounds=4, split=True)
         return self
 
+    def joins(self, a: str, b: str, joined: int, compound: int) -> bool:
+        """Whether the halves of a word become one word; else the line end is read as the compound's own hyphen."""
+        s = self.model.scores(self.break_features(a, b, joined, compound))
+        return s.get(f"{BREAK}>", 0.0) > s.get(f"{BREAK}>-", 0.0)
+
+    def closing(self, letters: str) -> list[float]:
+        """For each place between letters that stand apart, the gain of deleting the blank there."""
+        got = (self.model.scores(self.blank_features(letters, i)) for i in range(1, len(letters)))
+        return [s.get(f"{BLANK}>", 0.0) - s.get("keep", 0.0) for s in got]
+
     def proposals(self, word: str, most: int = 16, changes: int = 3) -> list[tuple[str, float]]:
-        """The best edited forms of a word, itself left out, with their scores against keeping every character."""
-        beams: list[list[tuple[float, str, int]]] = [[] for _ in range(len(word) + 1)]
-        beams[0] = [(0.0, "", 0)]
-        for i, c in enumerate(word):
-            beam = beams[i] if len(beams[i]) <= most else heapq.nlargest(most, beams[i])
-            beams[i + 1] += [(s, o + c, k) for s, o, k in beam]
-            ops = self.at(word, i)
-            if not ops:
-                continue
-            got = self.model.scores(self.features(word, i))
-            for x, y in ops:
-                gain = got.get(f"{x}>{y}", 0.0) - got.get("keep", 0.0)
-                beams[i + len(x)] += [(s + gain, o + y, k + 1) for s, o, k in beam if k < changes]
+        """The edited forms of a word, itself left out, with their scores against keeping every character: every form of one change, and of those
+        with more changes (up to `changes`) the ones that `most` best partial forms at each place lead to."""
+        places = []
+        for i in range(len(word)):
+            if ops := self.at(word, i):
+                got = self.model.scores(self.features(word, i))
+                places.append((i, [(x, y, got.get(f"{x}>{y}", 0.0) - got.get("keep", 0.0)) for x, y in ops]))
+        if not places:
+            return []
         best: dict[str, float] = {}
-        for s, o, k in beams[-1]:
-            if k and o != word:
-                best[o] = max(s, best.get(o, -1e9))
+        for i, ops in places:
+            for x, y, gain in ops:
+                o = word[:i] + y + word[i + len(x) :]
+                best[o] = max(gain, best.get(o, -1e9))
+        if len(places) > 1:
+            by = dict(places)
+            beams: list[list[tuple[float, str, int]]] = [[] for _ in range(len(word) + 1)]
+            beams[0] = [(0.0, "", 0)]
+            for i, c in enumerate(word):
+                beam = beams[i] if len(beams[i]) <= most else heapq.nlargest(most, beams[i])
+                beams[i + 1] += [(s, o + c, k) for s, o, k in beam]
+                for x, y, gain in by.get(i, ()):
+                    beams[i + len(x)] += [(s + gain, o + y, k + 1) for s, o, k in beam if k < changes]
+            for s, o, k in beams[-1]:
+                if k:
+                    best[o] = max(s, best.get(o, -1e9))
+        best.pop(word, None)
         return sorted(best.items(), key=lambda z: -z[1])

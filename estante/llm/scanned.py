@@ -1,12 +1,16 @@
 """Noise in text from scanned pages: words cut at line ends, misread characters, running headers and page numbers.
 
-An averaged-perceptron character editor (keep, replace, delete, insert, and a line-join decision) is trained on pairs mined
-from the corpus itself: a rare form and a far more frequent one that differ in one place. It edits distinct word forms, never
-whole texts; an edit counts if it gives a form at least `RATIO` times as frequent. Furniture is decided per line template by a
-perceptron whose features are the line's shape, its place in the block, its page number and how often its template recurs.
+One averaged-perceptron character editor (keep, replace, delete, insert, join lines, close up letters that stand apart) is trained
+on pairs mined from the corpus itself: a rare form and a far more frequent one that differ in one place; words and compounds broken
+at a line end by rule, with their counts; words whose letters are read apart. It edits distinct word forms, never whole texts. What it proposes
+counts if the corpus holds it: a repaired form must be at least `RATIO` times as frequent, a joined word must stand unbroken elsewhere
+(occurrences at a line end are no evidence), and letters that stand apart must make known words.
 
-Counts cover all texts. Training reads bounded samples: `TRAIN_FREQUENT` forms by falling frequency, `TRAIN_RARE` rare
-forms and `TRAIN_LINES` line templates, each chosen by hash.
+Furniture is decided per line template by a perceptron on the line's shape, its place in the block and between its neighbours (does it
+part a sentence?), its page number, and whether it names a book. Its labels come from how a template recurs over the corpus.
+
+Counts cover all texts. Training reads bounded samples: `TRAIN_FREQUENT` forms by falling frequency, `TRAIN_FREQUENT` forms, `TRAIN_RARE` rare
+forms and `TRAIN_LINES` line templates of either label, each chosen by hash.
 
 Defined cases: null and empty texts have no noise; repeated rows count once; compounds that break at their own hyphen, forms in
 capitals, numbers and dice formulas are left alone; texts are read whole; an empty table gives no rows.
@@ -14,6 +18,7 @@ capitals, numbers and dice formulas are left alone; texts are read whole; an emp
 
 from __future__ import annotations
 
+import random
 import re
 from collections import defaultdict
 from collections.abc import Iterator
@@ -24,15 +29,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from estante.llm.perceptron import Averaged, Editor, edit
-from estante.runtime import cut, maybe_broadcast
+from estante.runtime import cut, maybe_broadcast, merged
 
 RATIO, SURE_RATIO, TRAIN_RATIO, TRAIN_FREQUENT, TRAIN_RARE, TRAIN_LINES = 12, 3, 30, 20_000, 6_000, 4_000
 _HYPHEN = "[-\\u00AD\\u00AC\\u2010]"
+_AT_LINE_END = _HYPHEN + r"[ \t]*[\r\n]"
 _BREAK = _HYPHEN + r"(?<=[\p{L}@|].)[ \t]*(?:\r?\n[ \t]*)+(?=[\p{L}\p{N}@|])"
 _FORM = r"[\p{L}\p{N}@|]+(?:-[\p{L}\p{N}@|]+)*"
+_CUT_FORM = _FORM + _HYPHEN + r"[ \t]*(?:\r?\n[ \t]*)+" + _FORM
 _SPACED = r"(?<![\p{L}\p{N}@|-])(?:\p{Ll}[ \n]{1,2}){2,}\p{Ll}(?![\p{L}\p{N}@|])"
 #: A line that ends in a single letter and, up to three lines on, one that begins with a single letter: letters may stand apart around furniture.
 _AROUND = r"(?<![\p{L}\p{N}-])\p{Ll}[ \t]*(?:\r?\n|\r)(?:[^\r\n]*(?:\r?\n|\r)){1,3}[ \t]*\p{Ll}(?![\p{L}\p{N}])"
+_NEWLINE = r"\r?\n|\r"
 ROWS = "tabela string, chave string, texto string, pagina int"
 
 
@@ -43,14 +51,20 @@ def texts(blocos: DataFrame, chunks: DataFrame) -> DataFrame:
     return b.unionByName(c).where("texto is not null")
 
 
-def forms(text: Column) -> Column:
-    """The word forms of a text as they are written, with line-end hyphens joined."""
-    return F.regexp_extract_all(F.regexp_replace(text, _BREAK, ""), F.lit(_FORM), F.lit(0))
+def lines_of(text: Column) -> Column:
+    """The lines of a text without blanks at its ends; the place of a line among them is its number everywhere here."""
+    return F.split(F.btrim(text, F.lit(" \t\r\n\u00a0")), _NEWLINE)
+
+
+def forms(text: Column, broken: str | None = None) -> Column:
+    """The word forms of a text as they are written; those cut at a line end are joined, or left out if `broken` is "out"."""
+    mended = F.regexp_replace(text, _CUT_FORM, " ") if broken == "out" else F.regexp_replace(text, _BREAK, "")
+    return F.regexp_extract_all(F.when(text.rlike(_AT_LINE_END), mended).otherwise(text), F.lit(_FORM), F.lit(0))
 
 
 def written_forms(rows: DataFrame) -> DataFrame:
-    """(written, n): how often each form occurs in all texts. Case and alphabet are looked at per distinct form, not per word of the corpus; forms without a small letter are left out."""
-    return rows.select(F.explode(forms(F.col("texto"))).alias("written")).groupBy("written").agg(F.count("*").alias("n")).where(F.col("written").rlike(r"\p{Ll}"))
+    """(written, n): how often each form occurs in all texts, line ends left out. Case and alphabet are looked at per distinct form, not per word of the corpus; forms without a small letter are left out."""
+    return rows.select(F.explode(forms(F.col("texto"), "out")).alias("written")).groupBy("written").agg(F.count("*").alias("n")).where(F.col("written").rlike(r"\p{Ll}"))
 
 
 def vocabulary(written: DataFrame) -> DataFrame:
@@ -80,7 +94,7 @@ def mined_pairs(frequent: dict[str, int], rare: dict[str, int], ratio: int = TRA
     return out
 
 
-def train_editor(words: DataFrame) -> Editor:
+def train_editor(words: DataFrame, seed: int = 1) -> Editor:
     common = words.where(F.col("low") >= 0.3 * F.col("n"))
     top = common.where(F.length("form") >= 3).orderBy(F.desc("n"), "form").limit(TRAIN_FREQUENT).toPandas()
     frequent = dict(zip(top["form"], top["n"]))
@@ -89,13 +103,33 @@ def train_editor(words: DataFrame) -> Editor:
     # an operation is learnt from correct words too: those to which no mined pair points as misread
     wrong = {u for u, _ in pairs}
     known = [w for w in list(frequent)[: TRAIN_FREQUENT // 5] if w not in wrong and w.isalpha()]
-    return Editor().train(pairs, known)
+    sample = words.where(F.col("n") >= 2).orderBy(F.xxhash64("form")).limit(TRAIN_FREQUENT).toPandas()
+    rng = random.Random(seed)
+    apart = [rng.choices(known, k=rng.randint(1, 3)) for _ in range(min(2_000, 5 * len(known)))] if known else []
+    return Editor().train(pairs, known, broken_words(dict(zip(sample["form"], sample["n"])), rng), apart)
 
 
-def misread(words: DataFrame, ratio: int = RATIO) -> DataFrame:
+def broken_words(counts: dict[str, int], rng: random.Random) -> list[tuple[str, str, int, int, str]]:
+    """Known words and compounds, broken at a line end: a word within, to be joined, a compound at its hyphen, which it keeps. Beside a form's own
+    count stands that of the other writing: as the corpus has it, or a small share of its own, as slips write it."""
+    out = []
+    most = max((n for w, n in counts.items() if "-" not in w), default=1)
+    for w, n in counts.items():
+        if "-" in w.strip("-"):
+            for _ in range(20):
+                a, b = w.rsplit("-", 1)
+                m = min(most, n * rng.choice((1, 1, 3, 10)))
+                out.append((a, b, max(counts.get(a + b, 0), m // rng.choice((10, 40, 10**12))), m, "-"))
+        elif len(w) >= 4 and w.isalpha():
+            k = rng.randint(2, len(w) - 2)
+            out.append((w[:k], w[k:], n, max(counts.get(f"{w[:k]}-{w[k:]}", 0), n // rng.choice((10, 40, 10**12, 10**12))), ""))
+    return [x for x in out if x[2] != x[3] and (x[2] > x[3]) == (x[4] == "")]
+
+
+def misread(words: DataFrame, editor: Editor | None = None, ratio: int = RATIO) -> DataFrame:
     """(form, repaired): forms that the editor turns into a form at least `ratio` times as frequent. That form must stand without a capital in
     30 % of its occurrences, or, if the misread one holds a digit or sign, `ratio` times as often as the misread one occurs."""
-    editor = train_editor(words)
+    editor = editor or train_editor(words)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -106,41 +140,48 @@ def misread(words: DataFrame, ratio: int = RATIO) -> DataFrame:
     against = words.where((F.col("low") > 0) & F.col("form").rlike(r"^[\p{L}-]+$")).select(F.col("form").alias("repaired"), F.col("n").alias("m"), "low")
     signs = F.col("form").rlike(r"[^\p{L}-]")
     ordinary = F.col("low") >= 0.3 * F.col("m")
-    kept = proposed.join(against, "repaired").where(F.when(signs, ordinary & (F.col("m") >= SURE_RATIO * F.col("n")) | (F.col("low") >= ratio * F.col("n"))).otherwise(ordinary & (F.col("m") >= ratio * F.col("n"))))
+    kept = merged(proposed).join(against, "repaired").where(F.when(signs, ordinary & (F.col("m") >= SURE_RATIO * F.col("n")) | (F.col("low") >= ratio * F.col("n"))).otherwise(ordinary & (F.col("m") >= ratio * F.col("n"))))
     return kept.groupBy("form").agg(F.max_by("repaired", F.struct(F.col("score"), F.col("m"), F.col("repaired"))).alias("repaired"))
 
 
-def ocr_words(rows: DataFrame, written: DataFrame, words: DataFrame, bad: DataFrame, lines: DataFrame) -> DataFrame:
+def ocr_words(rows: DataFrame, written: DataFrame, words: DataFrame, bad: DataFrame, lines: DataFrame, editor: Editor) -> DataFrame:
     """(tabela, chave, wrong, right) of every misread form of a text, and of every word whose letters stand apart."""
     # a form that is mostly written with a capital is a name that happens to look like a misreading: only its small occurrences count
-    counted = bad.join(words, "form").select("form", "repaired", "n", "low")
+    counted = merged(bad).join(words, "form").select("form", "repaired", F.col("n").alias("all"), "low")
     named = (F.col("written") != F.col("form")) & (2 * F.col("low") < F.col("all")) & (F.col("all") - F.col("low") > 2)
-    misread_as = written.join(counted.withColumnRenamed("n", "all"), F.lower("written") == F.col("form")).where(~named).select("written", F.col("repaired").alias("right"))
+    misread_as = written.withColumn("form", F.lower("written")).join(merged(counted), "form").where(~named).select("written", F.col("repaired").alias("right"))
     each = rows.select("tabela", "chave", F.explode(forms(F.col("texto"))).alias("written"))
     wrong = each.join(maybe_broadcast(cut(misread_as)), "written").select("tabela", "chave", F.col("written").alias("wrong"), "right")
-    return wrong.unionByName(apart_words(spaced(rows).unionByName(spaced(without_furniture(rows, lines))), words))
+    return wrong.unionByName(apart_words(spaced(rows).unionByName(spaced(without_furniture(rows, lines))), words, editor))
 
 
 def spaced(rows: DataFrame) -> DataFrame:
     return rows.select("tabela", "chave", F.explode(F.regexp_extract_all("texto", F.lit(_SPACED), F.lit(0))).alias("letras"))
 
 
-def without_furniture(rows: DataFrame, lines: DataFrame) -> DataFrame:
-    """The texts whose letters may stand apart around a line of furniture, without their furniture."""
+def kept_lines(rows: DataFrame, lines: DataFrame, kind: str) -> DataFrame:
+    """(tabela, chave, kept): the trimmed lines of each text that are neither blank nor furniture."""
     by = ["tabela", "chave"]
     moved = lines.groupBy(*by).agg(F.collect_set("i").alias("moveis"))
-    kept = F.filter(F.filter(F.split("texto", r"\r?\n|\r"), lambda x: F.trim(x) != ""), lambda x, i: ~F.array_contains("moveis", i))
-    return rows.where(F.col("texto").rlike(_AROUND)).join(moved, by).select(*by, F.array_join(F.transform(kept, F.trim), "\n").alias("texto"))
+    inside = lambda x, i: (F.btrim(x) != "") & ~F.coalesce(F.array_contains("moveis", i), F.lit(False))
+    held = rows.select(*by, lines_of(F.col("texto")).alias("l")).join(merged(moved), by, kind)
+    return held.select(*by, F.transform(F.filter("l", inside), lambda x: F.btrim(x, F.lit(" \t\u00a0"))).alias("kept"))
+
+
+def without_furniture(rows: DataFrame, lines: DataFrame) -> DataFrame:
+    """The texts whose letters may stand apart around a line of furniture, without their furniture."""
+    return kept_lines(rows.where(F.col("texto").rlike(_AROUND)), lines, "inner").select("tabela", "chave", F.array_join("kept", "\n").alias("texto"))
 
 
 _ONE_LETTER = frozenset("aoeéàó")
 
 
-def segment(letters: str, known: dict[str, int]) -> list[str]:
+def segment(letters: str, known: dict[str, int], closing: list[float] | None = None) -> list[str]:
     """The words of letters that stand apart: all of them known words or words of one letter, but for one letter at either end that may
-    belong to what stands beside. Fewest words win, then longest; at least one has three letters (seen five times) or more. Else none."""
+    belong to what stands beside. Fewest words win, then the editor's gains of closing the blanks within them, then longest; at least one has three letters (seen five times) or more. Else none."""
     n = len(letters)
-    best: list[tuple[int, int, list[str], int] | None] = [(0, 0, [], 0)] + [None] * n
+    gain = [0.0, *(closing or [0.0] * (n - 1))]
+    best: list[tuple[int, float, int, list[str], int] | None] = [(0, 0.0, 0, [], 0)] + [None] * n
     longest = max(map(len, known), default=0)
     for i in range(n):
         if (held := best[i]) is None:
@@ -152,154 +193,173 @@ def segment(letters: str, known: dict[str, int]) -> list[str]:
             if known.get(w, 0) >= (1 if len(w) >= 4 else 5):
                 ways.append((j, 1 if len(w) >= 3 else 2, [w]))
         for j, c, w in ways:
-            new = (held[0] + c, held[1] - sum(len(x) ** 2 for x in w), held[2] + w, held[3] + (c == 3))
+            new = (held[0] + c, held[1] - sum(gain[i + 1 : j]), held[2] - (j - i) ** 2, held[3] + w, held[4] + (c == 3))
             if best[j] is None or new < best[j]:
                 best[j] = new
-    _, _, found, strange = best[n] or (0, 0, [], 0)
+    *_, found, strange = best[n] or ([], 0)
     return found if any(len(w) >= (4 if strange else 3) for w in found) else []
 
 
-def apart_words(runs: DataFrame, words: DataFrame) -> DataFrame:
+def apart_words(runs: DataFrame, words: DataFrame, editor: Editor) -> DataFrame:
     """(tabela, chave, wrong, right): every word of the runs of letters that stand apart. Each distinct run meets, by join, the words that it can hold."""
     runs = cut(runs.withColumn("j", F.regexp_replace("letras", r"\s", "")))
     pieces = F.expr("flatten(transform(sequence(1, length(j) - 1), i -> transform(sequence(2, least(40, length(j) - i + 1)), k -> substring(j, i, k))))")
     tried = runs.select("j").distinct().select("j", F.explode(F.array_distinct(pieces)).alias("form"))
-    held = tried.join(words.select("form", "n"), "form").groupBy("j").agg(F.collect_list(F.struct("form", "n")).alias("known"))
+    held = merged(tried).join(words.select("form", "n"), "form").groupBy("j").agg(F.collect_list(F.struct("form", "n")).alias("known"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(j, w) for j, known in zip(b["j"], b["known"]) for w in dict.fromkeys(segment(j, {x["form"]: x["n"] for x in known}))]
+            rows = [(j, w) for j, known in zip(b["j"], b["known"]) for w in dict.fromkeys(segment(j, {x["form"]: x["n"] for x in known}, editor.closing(j)))]
             yield pd.DataFrame(rows, columns=["j", "right"])
 
-    return runs.join(held.mapInPandas(run, "j string, right string"), "j").select("tabela", "chave", F.col("letras").alias("wrong"), "right")
+    return runs.join(merged(held.mapInPandas(run, "j string, right string")), "j").select("tabela", "chave", F.col("letras").alias("wrong"), "right")
 
 
 # --- furniture ------------------------------------------------------------------------------------------------------------
 
-_TITLE_WORDS = {"p", "pág", "pag", "página", "pagina", "de", "cap", "capítulo", "capitulo"}
-
-
-def line_rows(rows: DataFrame) -> DataFrame:
-    """(tabela, chave, i, n, linha, template, ...) of the lines that can be furniture: short, not ending as a sentence does, starting with no small letter but of "p." or "pág."."""
-    lines = F.filter(F.split("texto", r"\r?\n|\r"), lambda x: F.trim(x) != "")
-    # only lines that pass are exploded
-    numbered = F.filter(F.transform(lines, lambda x, i: F.struct(i.alias("i"), F.trim(F.translate(x, "\t\u00a0", "  ")).alias("linha"))), lambda s: F.length(s["linha"]) <= 90)
-    able = F.filter(numbered, lambda s: ~s["linha"].rlike(r"[.,;:!?]$|^\p{Ll}(?!\. ?\p{N}|ág)|[<>{}\\`*#=]|^\||\|$"))
-    out = rows.select("tabela", "chave", "pagina", F.size(lines).alias("n"), F.explode(able).alias("s")).select("tabela", "chave", "pagina", "n", "s.i", "s.linha")
-    template = F.regexp_replace("linha", r"\p{N}+", "9")
-    number = F.regexp_extract("linha", r"(\p{N}+)", 1)
-    return out.withColumns(
-        {
-            "template": template,
-            "edge": F.when(F.col("i") == 0, "first").when(F.col("i") == F.col("n") - 1, "last").otherwise("inside"),
-            "on_page": F.when(number == "", "none").when(F.abs(number.cast("bigint") - F.col("pagina")) <= 2, "page").otherwise("other"),
-        }
-    )
+#: Words that stand beside a page or chapter number or a title (fixed values).
+_TITLE_WORDS = ("p", "pág", "pag", "página", "pagina", "de", "cap", "capítulo", "capitulo")
 
 
-def _letters(s: str) -> str:
-    return "".join(c for c in s.lower() if c.isalpha())
+#: Bare page marks, those that name a book (True), and lines that are neither (None), for corpora too small for any to recur.
+_MARKS = {None: ("NOME EM CAPITAIS", "NOME", "Nome", "Um rótulo de seção", "9º grau", "9d9 + 9", "Alcance: 9 metros"), False: ("9", "— 9 —", "p. 9 de 9", "Pág. 9", "·9· Capítulo 9"), True: ("TITULO DO LIVRO", "Titulo do Livro 9", "9 | TITULO DO LIVRO", "CAPÍTULO 9: TITULO DO LIVRO", "T I T U L O   D O   L I V R O")}
 
 
-def line_features(template: str, edge: str, on_page: str, count: int, titles: frozenset[str]) -> list[str]:
+def line_rows(rows: DataFrame) -> DataFrame:
+    """(tabela, chave, i, template, edge, on_page, flow) of the lines that can be furniture: short, not ending as a sentence does, starting with
+    no small letter but of "p." or "pág.". flow: "cut" if the line stands within a sentence, "low" if only the next line goes on with a small
+    letter, "open" if only the line before does not end a sentence."""
+    each = rows.select("tabela", "chave", "pagina", lines_of(F.col("texto")).alias("l")).select("*", F.posexplode("l").alias("i", "linha"))
+    out = each.withColumn("linha", F.btrim("linha", F.lit(" \t\u00a0"))).where(F.length("linha").between(1, 90) & ~F.col("linha").rlike(r"[.,;:!?]$|^\p{Ll}(?!\. ?\p{N}|ág)|[<>{}\\`*#=]|^\||\|$"))
+    beside = lambda d: F.coalesce(*[F.nullif(F.btrim(F.get("l", F.col("i") + k * d)), F.lit("")) for k in (1, 2)], F.lit(""))
+    number = F.regexp_extract("linha", r"(\p{N}+)", 1)
+    goes_on, is_open = beside(1).rlike(r"^\p{Ll}"), beside(-1).rlike(r"[^.!?:;]$")
+    return out.select(
+        "tabela", "chave", "i",
+        F.regexp_replace(F.translate("linha", "\t\u00a0", "  "), r"\p{N}+", "9").alias("template"),
+        F.when(F.col("i") == 0, "first").when(F.col("i") == F.size("l") - 1, "last").otherwise("inside").alias("edge"),
+        F.when(number == "", "none").when(F.abs(number.cast("bigint") - F.col("pagina")) <= 2, "page").otherwise("other").alias("on_page"),
+        F.when(goes_on & is_open, "cut").when(goes_on, "low").when(is_open, "open").otherwise("none").alias("flow"),
+    )
+
+
+def _whole_and_rest(text: str) -> tuple[Column, Column]:
+    """The letters of a line, and those of its words that are no mark of page or chapter."""
+    words = F.regexp_extract_all(F.lower(text), F.lit(r"\p{L}+"), F.lit(0))
+    return F.array_join(words, "").alias("whole"), F.array_join(F.filter(words, lambda w: ~w.isin(*_TITLE_WORDS)), "").alias("rest")
+
+
+def templates_of(lines: DataFrame, livros: DataFrame | None) -> DataFrame:
+    """(template, title, worded, total, cuts, lows, apart, paged, places): one row for each template, its places (at most 3 edges, 3 kinds of page number, 4 flows) counted."""
+    counted = lines.groupBy("template", "edge", "on_page", "flow").agg(F.count("*").alias("k"))
+    share = lambda c, name: F.sum(F.when(c, F.col("k")).otherwise(0)).alias(name)
+    per = counted.groupBy("template").agg(
+        F.sum("k").alias("total"), share(F.col("flow") == "cut", "cuts"), share(F.col("flow").isin("cut", "low"), "lows"), share(F.col("flow") == "none", "apart"),
+        share(F.col("on_page") == "page", "paged"), F.collect_list(F.struct("edge", "on_page", "flow")).alias("places"),
+    )
+    per = per.select("*", *_whole_and_rest("template")).withColumn("worded", F.col("rest") != "")
+    if livros is None:
+        return per.withColumn("title", F.lit(False)).drop("whole", "rest")
+    titles = cut(livros.where("titulo is not null").select(*_whole_and_rest("titulo")).where("whole <> ''").distinct())
+    for c in ("whole", "rest"):
+        named = titles.select(c).where(F.col(c) != "").distinct().withColumn(f"is_{c}", F.lit(True))
+        per = per.join(maybe_broadcast(cut(named)), c, "left")
+    return per.withColumn("title", F.coalesce("is_whole", "is_rest", F.lit(False))).drop("whole", "rest", "is_whole", "is_rest")
+
+
+def line_features(template: str, edge: str, on_page: str, flow: str, total: int, title: bool) -> list[str]:
     words = re.findall(r"[^\W\d_]+", template)
-    rest = "".join(w.lower() for w in words if w.lower() not in _TITLE_WORDS)
+    rest = any(w.lower() not in _TITLE_WORDS for w in words)
     single = len(words) > 3 and all(len(w) == 1 for w in words)
-    title = _letters(template) in titles or rest in titles or any(rest == "".join(w for w in re.findall(r"[^\W\d_]+", t) if w not in _TITLE_WORDS) for t in (_letters(template),) if t in titles)
     case = "none" if not words else "upper" if template.upper() == template else "lower" if template.lower() == template else "mixed"
     mask = re.sub(r"[^\W\d_]+", "a", template)
     mask = re.sub(r"(?:a ?)+", "a", mask)[:16]
-    return ["bias", f"case={case}", f"single={single}", f"title={title}", f"rest={'none' if not rest else 'some'}", f"digits={'9' in template}", f"edge={edge}", f"page={on_page}", f"n={min(len(bin(count)) // 3, 5)}", f"title={title}&digits={'9' in template}", f"rest={bool(rest)}&digits={'9' in template}&mark={'9d' in template or '+' in template}", f"mask={mask}", f"w={len(words)}"]
+    digits, mark = "9" in template, "9d" in template or "+" in template
+    place = [f"edge={edge}", f"flow={flow}", f"page={on_page}", f"edge={edge}&flow={flow}"]
+    return [*place, "bias", f"case={case}", f"single={single}", f"title={title}", f"rest={rest}", f"digits={digits}", f"n={min(total.bit_length() // 3, 5)}", f"title={title}&digits={digits}", f"title={title}&rest={rest}", f"rest={rest}&digits={digits}&mark={mark}", f"is={title}{rest}{digits}{mark}", f"mask={mask}", f"w={min(len(words), 9)}"]
 
 
-def weak_label(template: str, titles: frozenset[str]) -> str:
-    """What a line surely is, for training: all of it is a book's title, a page mark or both; anything else is none."""
-    words = [w.lower() for w in re.findall(r"[^\W\d_]+", template)]
-    rest = "".join(w for w in words if w not in _TITLE_WORDS)
-    whole = "".join(words)
-    named = whole in titles or (rest != "" and any(whole.removeprefix(x) in titles for x in ("", "capítulo", "capitulo", "cap", "p", "pág")))
-    number = "9" in template and rest == "" and not re.search(r"9 ?[d+/]|[+(\[%]", template)
-    return "furniture" if named or number else "text"
+def labelled(templates: DataFrame) -> DataFrame:
+    """Templates whose nature shows in how they recur. Furniture is put between any two lines: it parts sentences, but also stands where none is
+    parted; or it bears its own page's number most times. Text that recurs either never parts a sentence or always goes on in the next line; and a line that has a word of its own, names no book and
+    bears no number of its page is text if it stands alone in the corpus or always at one place of its block."""
+    parts = (F.col("cuts") >= 2) & (F.col("cuts") >= 0.1 * F.col("total")) & (F.col("apart") >= 2) & (F.col("lows") <= 0.85 * F.col("total"))
+    paged = (F.col("total") >= 4) & (F.col("paged") >= 0.6 * F.col("total")) & (F.col("apart") > 0)
+    steady = (F.col("total") >= 8) & ((F.col("cuts") <= 0.02 * F.col("total")) & (F.col("apart") + F.col("lows") < 0.5 * F.col("total")) | (F.col("cuts") == 0) & (F.col("total") >= 40))
+    goes_on = (F.col("total") >= 4) & (F.col("lows") >= 0.9 * F.col("total"))
+    unnamed = F.col("worded") & ~F.col("title") & (F.col("paged") == 0)
+    alone = (F.col("total") == 1) & unnamed
+    in_place = (F.col("total") >= 4) & (F.size("places") == 1) & unnamed
+    return templates.withColumn("label", F.when(parts | paged, "furniture").when(steady | goes_on | alone | in_place, "text")).where("label is not null")
 
 
 def furniture(lines: DataFrame, livros: DataFrame | None) -> DataFrame:
-    """(template, edge, on_page) of the lines that are furniture."""
-    titles: frozenset[str] = frozenset()
-    if livros is not None:  # one short row a book
-        titles = frozenset(t for (t,) in livros.select("titulo").where("titulo is not null").distinct().collect() for t in (_letters(t),) if t)
-    counted = cut(lines.groupBy("template", "edge", "on_page").agg(F.count("*").alias("k")))
-    some = counted.orderBy(F.xxhash64("template", "edge", "on_page")).limit(TRAIN_LINES).toPandas()
-    data = [(line_features(t, e, p, k, titles), weak_label(t, titles)) for t, e, p, k in some.itertuples(index=False)]
-    data += [(line_features(t, e, p, 50, titles), "furniture") for t in ("9", "— 9 —", "p. 9 de 9", "Pág. 9", "·9· Capítulo 9") for e in ("first", "last", "inside") for p in ("page", "other")]
-    model = Averaged().train(data, rounds=6)
+    """(template, edge, on_page, flow) of the lines that are furniture."""
+    templates = cut(templates_of(lines, livros))
+    known, alone = labelled(templates).orderBy(F.xxhash64("template")), F.col("total") == 1
+    data, seen = [], set()
+    for label, some in (("furniture", F.lit(True)), ("text", alone), ("text", ~alone)):
+        for t in known.where((F.col("label") == label) & some).limit(TRAIN_LINES).toPandas().itertuples(index=False):
+            seen |= {t.title} if label == "furniture" else set()
+            data += [(line_features(t.template, *p, t.total, t.title), label) for p in t.places]
+    if seen != {True, False}:
+        for title, marks in _MARKS.items():
+            if title not in seen:
+                data += [(line_features(t, e, p, f, 4, title is True), "text" if title is None else "furniture") for t in marks for e in ("first", "last", "inside") for p in ("none", "page", "other") for f in ("cut", "none")]
+    model = Averaged().train(data, rounds=max(8, min(40, 120_000 // max(len(data), 1))))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yes = [model.predict(line_features(t, e, p, k, titles)) == "furniture" for t, e, p, k in zip(b["template"], b["edge"], b["on_page"], b["k"])]
-            yield b.loc[yes, ["template", "edge", "on_page"]]
+            out = [(t, *p.values()) for t, n, title, places in zip(b["template"], b["total"], b["title"], b["places"]) for p in places if model.predict(line_features(t, *p.values(), n, title)) == "furniture"]
+            yield pd.DataFrame(out, columns=["template", "edge", "on_page", "flow"])
 
-    return counted.mapInPandas(run, "template string, edge string, on_page string")
+    return templates.select("template", "total", "title", "places").mapInPandas(run, "template string, edge string, on_page string, flow string")
 
 
 # --- words cut at line ends -----------------------------------------------------------------------------------------------
 
 
-def hyphen_breaks(rows: DataFrame, templates: DataFrame) -> DataFrame:
-    """(tabela, chave, joined, compound) of every line that ends in a cut word and the next line that is not furniture."""
-    lines = F.filter(F.split("texto", r"\r?\n|\r"), lambda x: F.trim(x) != "")
-    ends = r"([\p{L}@|][\p{L}\p{N}@|-]*|[\p{N}@|][\p{L}\p{N}@|-]*\p{L}[\p{L}\p{N}@|]*)" + _HYPHEN + r"[ \t]*$"
-    broken = rows.where(F.col("texto").rlike(_HYPHEN + r"[ \t]*[\r\n]"))
-    held = broken.select("tabela", "chave", lines.alias("l")).select("tabela", "chave", F.explode(F.filter(F.transform("l", lambda x, i: F.struct(x.alias("x"), F.slice(F.col("l"), i + 2, 3).alias("next"))), lambda s: s["x"].rlike(ends))).alias("s"))
-    a = F.regexp_extract("s.x", ends, 1)
-    tries = held.select("tabela", "chave", a.alias("a"), F.monotonically_increasing_id().alias("id"), F.posexplode("s.next").alias("k", "b"))
-    known = templates.select("template").distinct().withColumn("is_furniture", F.lit(True))
-    template = F.regexp_replace(F.trim(F.regexp_replace("b", r"[\t ]", " ")), r"\p{N}+", "9")
-    marked = tries.withColumn("template", template).join(maybe_broadcast(cut(known)), "template", "left")
-    first = marked.where("is_furniture is null").groupBy("tabela", "chave", "id").agg(F.min_by(F.struct("a", "b"), "k").alias("x"))
-    b = F.regexp_extract("x.b", r"^[^\p{L}\p{N}@|]{0,2}([\p{L}\p{N}@|]+(?:-[\p{L}\p{N}@|]+)*)", 1)
-    parts = first.select("tabela", "chave", F.lower("x.a").alias("a"), F.lower(b).alias("b")).where("b <> ''")
-    return parts.select("tabela", "chave", F.concat("a", "b").alias("joined"), F.concat_ws("-", "a", "b").alias("compound"))
-
+def hyphen_breaks(rows: DataFrame, lines: DataFrame) -> DataFrame:
+    """(tabela, chave, a, b): the halves of every word that is cut at a line end, in small letters; b stands at the start of the next line that is not furniture."""
+    ends = r"([\p{L}@|][\p{L}\p{N}@|-]*|[\p{N}@|][\p{L}\p{N}@|-]*\p{L}[\p{L}\p{N}@|]*)" + _HYPHEN + "$"
+    starts = r"^[^\p{L}\p{N}@|]{0,2}([\p{L}\p{N}@|]+(?:-[\p{L}\p{N}@|]+)*)"
+    held = kept_lines(rows.where(F.col("texto").rlike(_AT_LINE_END)), lines, "left")
+    pairs = F.filter(F.transform("kept", lambda x, i: F.struct(x.alias("x"), F.get("kept", i + 1).alias("y"))), lambda s: s["x"].rlike(ends) & s["y"].isNotNull())
+    cuts = held.select("tabela", "chave", F.explode(pairs).alias("s"))
+    halves = cuts.select("tabela", "chave", F.lower(F.regexp_extract("s.x", ends, 1)).alias("a"), F.lower(F.regexp_extract("s.y", starts, 1)).alias("b"))
+    return halves.where("b <> ''")
 
-def join_features(joined: int, compound: int) -> list[str]:
-    j, h = min(len(bin(joined)) - 2, 12), min(len(bin(compound)) - 2 if compound else 0, 12)
-    return ["bias", f"j{j}", f"h{h}", f"h>{compound > joined}", f"h0{compound == 0}", f"h>4j{compound > 4 * joined}", f"jj{joined >= 2}"]
 
-
-def hyphen_rows(breaks: DataFrame, words: DataFrame) -> DataFrame:
-    """(tabela, chave, joined) of words to join; a compound that is written with the hyphen elsewhere keeps it."""
-    sample = words.where(F.col("n") >= 2).orderBy(F.xxhash64("form")).limit(TRAIN_FREQUENT).toPandas()
-    data = [(join_features(0, n) if "-" in w else join_features(n, 0), "keep" if "-" in w else "join") for w, n in zip(sample["form"], sample["n"])]
-    data += [(join_features(n // 12, n), "keep") for n in (12, 50, 200, 1000, 5000)] * 20 + [(join_features(n, n // 400), "join") for n in (400, 800, 2000, 5000)] * 20 + [(join_features(0, 0), "join")] * 20
-    model = Averaged().train(data, rounds=4)
-    pairs = breaks.select("joined", "compound").distinct()
-    j, h = words.select(F.col("form").alias("joined"), F.col("n").alias("nj")), words.select(F.col("form").alias("compound"), F.col("n").alias("nh"))
-    counted = pairs.join(j, "joined", "left").join(h, "compound", "left").fillna(0, ["nj", "nh"])
+def hyphen_rows(breaks: DataFrame, words: DataFrame, editor: Editor) -> DataFrame:
+    """(tabela, chave, joined) of the words that the editor joins and that stand unbroken elsewhere."""
+    breaks = cut(breaks.withColumns({"joined": F.concat("a", "b"), "compound": F.concat_ws("-", "a", "b")}))
+    pairs = breaks.select("a", "b", "joined", "compound").distinct()
+    asked = pairs.select(F.explode(F.array("joined", "compound")).alias("form")).distinct()
+    known = cut(words.select("form", "n").join(maybe_broadcast(cut(asked)), "form"))
+    counted = pairs.join(merged(known.select(F.col("form").alias("joined"), F.col("n").alias("nj"))), "joined").join(merged(known.select(F.col("form").alias("compound"), F.col("n").alias("nh"))), "compound", "left").fillna(0, ["nh"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yes = [model.predict(join_features(int(x), int(y))) == "join" for x, y in zip(b["nj"], b["nh"])]
-            yield b.loc[yes, ["joined", "compound"]]
+            yield b.loc[[editor.joins(*x) for x in b[["a", "b", "nj", "nh"]].itertuples(index=False)], ["a", "b"]]
 
-    return breaks.join(counted.mapInPandas(run, "joined string, compound string"), ["joined", "compound"], "left_semi").select("tabela", "chave", "joined")
+    return breaks.join(maybe_broadcast(cut(counted.mapInPandas(run, "a string, b string"))), ["a", "b"], "left_semi").select("tabela", "chave", "joined")
 
 
 # --- together -------------------------------------------------------------------------------------------------------------
 
 
 class Found:
-    """What is known of a corpus's noise, each part a table written once: lines of furniture, misread words, words to join, compounds to keep."""
+    """What is known of a corpus's noise, each part a table written once: lines of furniture, misread words, words to join."""
 
     def __init__(self, rows: DataFrame, livros: DataFrame | None) -> None:
         written = cut(written_forms(rows))
         words = cut(vocabulary(written))
         lines = cut(line_rows(rows))
-        templates = cut(furniture(lines, livros))
-        bad = cut(misread(words))
-        self.lines = lines.join(maybe_broadcast(templates), ["template", "edge", "on_page"], "left_semi")
-        self.words = ocr_words(rows, written, words, bad, self.lines)
-        self.breaks = hyphen_breaks(rows, templates)
-        self.joined = hyphen_rows(self.breaks, words)
+        editor = train_editor(words)
+        bad = cut(misread(words, editor))
+        self.lines = lines.join(maybe_broadcast(cut(furniture(lines, livros))), ["template", "edge", "on_page", "flow"], "left_semi")
+        self.words = ocr_words(rows, written, words, bad, self.lines, editor)
+        self.joined = hyphen_rows(hyphen_breaks(rows, self.lines), words, editor)
 
 
 def noise_found(blocos: DataFrame, chunks: DataFrame, livros: DataFrame | None = None) -> DataFrame:
@@ -314,14 +374,7 @@ _LINE_HYPHEN = re.compile(r"(\w+(?:-\w+)*)[-\u00ad\u00ac\u2010][ \t]*\n[ \t]*(\w
 
 def repair_text(text: str, furniture_lines: set[int], wrong: list[tuple[str, str]], joins: set[str]) -> str:
     """A text without furniture, its words repaired and joined, its lines run together to paragraphs."""
-    lines = [x for x in re.split(r"\r?\n|\r", text)]
-    place, kept = -1, []
-    for x in lines:
-        if x.strip():
-            place += 1
-            if place in furniture_lines:
-                continue
-        kept.append(x.strip())
+    kept = [x.strip() for i, x in enumerate(re.split(r"\r?\n|\r", text.strip(" \t\r\n\xa0"))) if i not in furniture_lines]
     out = "\n".join(kept)
     for a, b in sorted(wrong, key=lambda w: -len(w[0])):
         if " " in a or "\n" in a:  # the letters of a word, apart; one-letter words beside it stay

@@ -72,6 +72,25 @@ def scanned_tables(spark, noisy_blocks, noisy_chunks=()):
     return b, c, books
 
 
+def test_lines_below_a_broken_compound_join_nothing(spark):
+    text = "com guarda-\nchuva azul o guarda\nchaves vermelho\nsozinho a mata-\nPág. 8\nborrão"
+    b, c, books = scanned_tables(spark, [("d", 0, "paragraph", 7, None, text), ("d", 1, "paragraph", 7, None, "o guar-\n— 7 —\nPág. 8\nda vigia"), ("d", 2, "paragraph", 7, None, "guarda-chuva, guarda-chuva, chuva chaves"), ("d", 3, "paragraph", 7, None, "um xe-\nbrete novo")])
+    got = {tuple(r)[1:] for r in scanned.noise_found(b, c, books).collect() if r.ruido == "hifen"}
+    assert got == {("d#1", "hifen")}  # "xebrete" stands nowhere unbroken
+    halves = {(r.a, r.b) for r in scanned.hyphen_breaks(scanned.texts(b, c), spark.createDataFrame([], "tabela string, chave string, i int")).collect()}
+    assert halves == {("guarda", "chuva"), ("mata", "pág"), ("xe", "brete")}
+
+
+def test_the_editor_joins_lines_and_closes_blanks_by_what_it_learnt():
+    rng = random.Random(2)
+    words = {"".join(rng.choice("bdlmprt") + rng.choice("aeiou") for _ in range(4)): rng.randint(2, 900) for _ in range(300)}
+    words |= {f"{a}-{b}": rng.randint(5, 500) for a, b in zip(list(words)[:30], list(words)[30:60])}
+    editor = Editor().train([], [w for w in words if "-" not in w], scanned.broken_words(words, rng), [list(words)[i : i + 2] for i in range(200, 290)])
+    assert editor.joins("bala", "made", 40, 0) and not editor.joins("bala", "made", 0, 40)
+    assert editor.joins("bala", "made", 400, 2) and not editor.joins("bala", "made", 2, 400)
+    assert sum(editor.closing("balamade")) > 0
+
+
 def test_noise_of_scanned_pages(spark):
     rows = [
         ("d", 0, "paragraph", 7, None, "o guarda atra-\nvessa a ponte"), ("d", 1, "paragraph", 7, None, "com mata-\nborrão a senti­\nnela"),
