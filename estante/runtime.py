@@ -54,12 +54,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def maybe_broadcast(df: DataFrame, most: int = BROADCAST_ROWS, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """Hint a broadcast if the (already cut) side is measured to have at most `most` rows and `most_bytes` bytes, else a merge join: Spark's own
-    size estimates, wrong behind Python and arrays, decide nothing. The check reads `most` + 1 rows, never more."""
+def fits(df: DataFrame, most: int = BROADCAST_ROWS, most_bytes: int = BROADCAST_BYTES) -> bool:
+    """Whether an (already cut) side is measured to have at most `most` rows and `most_bytes` bytes. Reads `most` + 1 rows, never more."""
     size = F.sum(F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]))))
     rows, held = df.limit(most + 1).agg(F.count("*"), size).first()
-    return F.broadcast(df) if rows <= most and (held or 0) <= most_bytes else merged(df)
+    return rows <= most and (held or 0) <= most_bytes
+
+
+def maybe_broadcast(df: DataFrame, most: int = BROADCAST_ROWS, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Hint a broadcast if the side is measured to fit, else a merge join: Spark's own size estimates, wrong behind Python and arrays, decide nothing."""
+    return F.broadcast(df) if fits(df, most, most_bytes) else merged(df)
 
 
 def merged(df: DataFrame) -> DataFrame:
