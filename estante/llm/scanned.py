@@ -9,8 +9,7 @@ counts if the corpus holds it: a repaired form must be at least `RATIO` times as
 Furniture is decided per line template by a perceptron on the line's shape, its place in the block and between its neighbours (does it
 part a sentence?), its page number, and whether it names a book. Its labels come from how a template recurs over the corpus.
 
-Counts cover all texts. Training reads bounded samples: `TRAIN_FREQUENT` forms by falling frequency, `TRAIN_FREQUENT` forms, `TRAIN_RARE` rare
-forms and `TRAIN_LINES` line templates of either label, each chosen by hash.
+Counts cover all texts. Training reads bounded samples: `TRAIN_FREQUENT` forms by falling frequency, `TRAIN_RARE` others and `TRAIN_LINES` line templates of either label, each chosen by hash.
 
 Defined cases: null and empty texts have no noise; repeated rows count once; compounds that break at their own hyphen, forms in
 capitals, numbers and dice formulas are left alone; texts are read whole; an empty table gives no rows.
@@ -20,27 +19,30 @@ from __future__ import annotations
 
 import random
 import re
+import unicodedata
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from estante.llm.perceptron import Averaged, Editor, edit
-from estante.runtime import cut, maybe_broadcast, merged
+from estante.runtime import cut, fits, maybe_broadcast, merged
 
-RATIO, SURE_RATIO, TRAIN_RATIO, TRAIN_FREQUENT, TRAIN_RARE, TRAIN_LINES = 12, 3, 30, 20_000, 6_000, 4_000
+RATIO, SURE_RATIO, TRAIN_RATIO, TRAIN_FREQUENT, TRAIN_RARE, TRAIN_LINES = 12, 3, 30, 20_000, 6_000, 2_000
 _HYPHEN = "[-\\u00AD\\u00AC\\u2010]"
 _AT_LINE_END = _HYPHEN + r"[ \t]*[\r\n]"
 _BREAK = _HYPHEN + r"(?<=[\p{L}@|].)[ \t]*(?:\r?\n[ \t]*)+(?=[\p{L}\p{N}@|])"
-_FORM = r"[\p{L}\p{N}@|]+(?:-[\p{L}\p{N}@|]+)*"
+_FORM = r"[\p{L}\p{N}@|]++(?:-[\p{L}\p{N}@|]++)*+"
 _CUT_FORM = _FORM + _HYPHEN + r"[ \t]*(?:\r?\n[ \t]*)+" + _FORM
-_SPACED = r"(?<![\p{L}\p{N}@|-])(?:\p{Ll}[ \n]{1,2}){2,}\p{Ll}(?![\p{L}\p{N}@|])"
+_LOW = "[" + "".join(c for c in map(chr, range(0x530)) if unicodedata.category(c) == "Ll") + "]"
+_SPACED = re.compile(rf"(?<![^\W_])(?<![@|-])(?:{_LOW}[ \n]{{1,2}}){{2,}}{_LOW}(?![^\W_]|[@|])")
+_MAYBE_SPACED = re.compile(rf"[ \n]{_LOW}[ \n]{{1,2}}{_LOW}(?![^\W_])")
 #: A line that ends in a single letter and, up to three lines on, one that begins with a single letter: letters may stand apart around furniture.
-_AROUND = r"(?<![\p{L}\p{N}-])\p{Ll}[ \t]*(?:\r?\n|\r)(?:[^\r\n]*(?:\r?\n|\r)){1,3}[ \t]*\p{Ll}(?![\p{L}\p{N}])"
-_NEWLINE = r"\r?\n|\r"
+_AROUND = re.compile(rf"(?<![^\W_])(?<!-){_LOW}[ \t]*\n(?:[^\n]*\n){{1,3}}[ \t]*{_LOW}(?![^\W_])")
 ROWS = "tabela string, chave string, texto string, pagina int"
 
 
@@ -51,11 +53,6 @@ def texts(blocos: DataFrame, chunks: DataFrame) -> DataFrame:
     return b.unionByName(c).where("texto is not null")
 
 
-def lines_of(text: Column) -> Column:
-    """The lines of a text without blanks at its ends; the place of a line among them is its number everywhere here."""
-    return F.split(F.btrim(text, F.lit(" \t\r\n\u00a0")), _NEWLINE)
-
-
 def forms(text: Column, broken: str | None = None) -> Column:
     """The word forms of a text as they are written; those cut at a line end are joined, or left out if `broken` is "out"."""
     mended = F.regexp_replace(text, _CUT_FORM, " ") if broken == "out" else F.regexp_replace(text, _BREAK, "")
@@ -103,9 +100,9 @@ def train_editor(words: DataFrame, seed: int = 1) -> Editor:
     # an operation is learnt from correct words too: those to which no mined pair points as misread
     wrong = {u for u, _ in pairs}
     known = [w for w in list(frequent)[: TRAIN_FREQUENT // 5] if w not in wrong and w.isalpha()]
-    sample = words.where(F.col("n") >= 2).orderBy(F.xxhash64("form")).limit(TRAIN_FREQUENT).toPandas()
+    sample = words.where(F.col("n") >= 2).orderBy(F.xxhash64("form")).limit(TRAIN_RARE).toPandas()
     rng = random.Random(seed)
-    apart = [rng.choices(known, k=rng.randint(1, 3)) for _ in range(min(2_000, 5 * len(known)))] if known else []
+    apart = [rng.choices(known, k=rng.randint(1, 3)) for _ in range(min(400, 5 * len(known)))] if known else []
     return Editor().train(pairs, known, broken_words(dict(zip(sample["form"], sample["n"])), rng), apart)
 
 
@@ -127,50 +124,51 @@ def broken_words(counts: dict[str, int], rng: random.Random) -> list[tuple[str,
 
 
 def misread(words: DataFrame, editor: Editor | None = None, ratio: int = RATIO) -> DataFrame:
-    """(form, repaired): forms that the editor turns into a form at least `ratio` times as frequent. That form must stand without a capital in
+    """(form, repaired, all, low): forms that the editor turns into a form at least `ratio` times as frequent. That form must stand without a capital in
     30 % of its occurrences, or, if the misread one holds a digit or sign, `ratio` times as often as the misread one occurs."""
     editor = editor or train_editor(words)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(u, n, v, s) for u, n in zip(b["form"], b["n"]) if not u.isdigit() and not re.fullmatch(r"\d+d\d+|[a-z]?\d+[a-zºª°]?", u) for v, s in editor.proposals(u)]
-            yield pd.DataFrame(rows, columns=["form", "n", "repaired", "score"])
+            rows = [(u, n, k, v, s) for u, n, k in zip(b["form"], b["n"], b["low"]) if not u.isdigit() and not re.fullmatch(r"\d+d\d+|[a-z]?\d+[a-zºª°]?", u) for v, s in editor.proposals(u)]
+            yield pd.DataFrame(rows, columns=["form", "n", "k", "repaired", "score"])
 
-    proposed = words.where(F.length("form").between(3, 40) | (F.length("form") == 2) & F.col("form").rlike(r"[^\p{L}]")).mapInPandas(run, "form string, n bigint, repaired string, score double")
+    proposed = words.where(F.length("form").between(3, 40) | (F.length("form") == 2) & F.col("form").rlike(r"[^\p{L}]")).mapInPandas(run, "form string, n bigint, k bigint, repaired string, score double")
     against = words.where((F.col("low") > 0) & F.col("form").rlike(r"^[\p{L}-]+$")).select(F.col("form").alias("repaired"), F.col("n").alias("m"), "low")
     signs = F.col("form").rlike(r"[^\p{L}-]")
     ordinary = F.col("low") >= 0.3 * F.col("m")
     kept = merged(proposed).join(against, "repaired").where(F.when(signs, ordinary & (F.col("m") >= SURE_RATIO * F.col("n")) | (F.col("low") >= ratio * F.col("n"))).otherwise(ordinary & (F.col("m") >= ratio * F.col("n"))))
-    return kept.groupBy("form").agg(F.max_by("repaired", F.struct(F.col("score"), F.col("m"), F.col("repaired"))).alias("repaired"))
+    return kept.groupBy("form").agg(F.max_by("repaired", F.struct(F.col("score"), F.col("m"), F.col("repaired"))).alias("repaired"), F.max("n").alias("all"), F.max("k").alias("low"))
 
 
-def ocr_words(rows: DataFrame, written: DataFrame, words: DataFrame, bad: DataFrame, lines: DataFrame, editor: Editor) -> DataFrame:
+def ocr_words(rows: DataFrame, written: DataFrame, words: DataFrame, bad: DataFrame, pages: DataFrame, lines: DataFrame, editor: Editor) -> DataFrame:
     """(tabela, chave, wrong, right) of every misread form of a text, and of every word whose letters stand apart."""
     # a form that is mostly written with a capital is a name that happens to look like a misreading: only its small occurrences count
-    counted = merged(bad).join(words, "form").select("form", "repaired", F.col("n").alias("all"), "low")
     named = (F.col("written") != F.col("form")) & (2 * F.col("low") < F.col("all")) & (F.col("all") - F.col("low") > 2)
-    misread_as = written.withColumn("form", F.lower("written")).join(merged(counted), "form").where(~named).select("written", F.col("repaired").alias("right"))
+    misread_as = written.withColumn("form", F.lower("written")).join(maybe_broadcast(bad), "form").where(~named).select("written", F.col("repaired").alias("right"))
     each = rows.select("tabela", "chave", F.explode(forms(F.col("texto"))).alias("written"))
     wrong = each.join(maybe_broadcast(cut(misread_as)), "written").select("tabela", "chave", F.col("written").alias("wrong"), "right")
-    return wrong.unionByName(apart_words(spaced(rows).unionByName(spaced(without_furniture(rows, lines))), words, editor))
-
+    spaced = pages.select("tabela", "chave", F.explode("letras").alias("letras"))
+    return wrong.unionByName(apart_words(spaced.unionByName(spaced_around(pages, lines)), words, editor))
 
-def spaced(rows: DataFrame) -> DataFrame:
-    return rows.select("tabela", "chave", F.explode(F.regexp_extract_all("texto", F.lit(_SPACED), F.lit(0))).alias("letras"))
 
-
-def kept_lines(rows: DataFrame, lines: DataFrame, kind: str) -> DataFrame:
-    """(tabela, chave, kept): the trimmed lines of each text that are neither blank nor furniture."""
+def kept_lines(pages: DataFrame, lines: DataFrame, kind: str) -> DataFrame:
+    """(tabela, chave, kept): the lines of each text that are neither blank nor furniture."""
     by = ["tabela", "chave"]
     moved = lines.groupBy(*by).agg(F.collect_set("i").alias("moveis"))
-    inside = lambda x, i: (F.btrim(x) != "") & ~F.coalesce(F.array_contains("moveis", i), F.lit(False))
-    held = rows.select(*by, lines_of(F.col("texto")).alias("l")).join(merged(moved), by, kind)
-    return held.select(*by, F.transform(F.filter("l", inside), lambda x: F.btrim(x, F.lit(" \t\u00a0"))).alias("kept"))
+    inside = lambda x, i: (x != "") & ~F.coalesce(F.array_contains("moveis", i), F.lit(False))
+    return pages.select(*by, "l").join(merged(moved), by, kind).select(*by, F.filter("l", inside).alias("kept"))
+
+
+def spaced_around(pages: DataFrame, lines: DataFrame) -> DataFrame:
+    """(tabela, chave, letras): letters that stand apart around a line of furniture."""
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = [(t, k, x) for t, k, kept in zip(b["tabela"], b["chave"], b["kept"]) for x in _SPACED.findall("\n".join(kept))]
+            yield pd.DataFrame(out, columns=["tabela", "chave", "letras"])
 
-def without_furniture(rows: DataFrame, lines: DataFrame) -> DataFrame:
-    """The texts whose letters may stand apart around a line of furniture, without their furniture."""
-    return kept_lines(rows.where(F.col("texto").rlike(_AROUND)), lines, "inner").select("tabela", "chave", F.array_join("kept", "\n").alias("texto"))
+    return kept_lines(pages.where("em_volta"), lines, "inner").mapInPandas(run, "tabela string, chave string, letras string")
 
 
 _ONE_LETTER = frozenset("aoeéàó")
@@ -205,7 +203,7 @@ def apart_words(runs: DataFrame, words: DataFrame, editor: Editor) -> DataFrame:
     runs = cut(runs.withColumn("j", F.regexp_replace("letras", r"\s", "")))
     pieces = F.expr("flatten(transform(sequence(1, length(j) - 1), i -> transform(sequence(2, least(40, length(j) - i + 1)), k -> substring(j, i, k))))")
     tried = runs.select("j").distinct().select("j", F.explode(F.array_distinct(pieces)).alias("form"))
-    held = merged(tried).join(words.select("form", "n"), "form").groupBy("j").agg(F.collect_list(F.struct("form", "n")).alias("known"))
+    held = words.select("form", "n").join(maybe_broadcast(cut(tried)), "form").groupBy("j").agg(F.collect_list(F.struct("form", "n")).alias("known"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -225,22 +223,67 @@ _TITLE_WORDS = ("p", "pág", "pag", "página", "pagina", "de", "cap", "capítulo
 _MARKS = {None: ("NOME EM CAPITAIS", "NOME", "Nome", "Um rótulo de seção", "9º grau", "9d9 + 9", "Alcance: 9 metros"), False: ("9", "— 9 —", "p. 9 de 9", "Pág. 9", "·9· Capítulo 9"), True: ("TITULO DO LIVRO", "Titulo do Livro 9", "9 | TITULO DO LIVRO", "CAPÍTULO 9: TITULO DO LIVRO", "T I T U L O   D O   L I V R O")}
 
 
-def line_rows(rows: DataFrame) -> DataFrame:
-    """(tabela, chave, i, template, edge, on_page, flow) of the lines that can be furniture: short, not ending as a sentence does, starting with
-    no small letter but of "p." or "pág.". flow: "cut" if the line stands within a sentence, "low" if only the next line goes on with a small
+_PAGE_MARK, _MARKUP, _NUMBER = re.compile(r"p(?:\. ?\d|ág)"), re.compile(r"[<>{}\\`*#=]"), re.compile(r"\d+")
+_LINE_END = re.compile("[-\u00ad\u00ac\u2010][ \t]*\n")
+PAGES = (
+    "tabela string, chave string, moveis array<struct<i:int,template:string,edge:string,on_page:string,flow:string>>, l array<string>, cortada boolean, em_volta boolean, letras array<string>"
+)
+
+
+def lines_of(text: str) -> list[str]:
+    """The trimmed lines of a text without blanks at its ends; the place of a line among them is its number everywhere here."""
+    return [x.strip(" \t\xa0") for x in text.strip(" \t\r\n\xa0").replace("\r\n", "\n").replace("\r", "\n").split("\n")]
+
+
+def furniture_lines(lines: list[str], page: int | None) -> list[tuple[int, str, str, str, str]]:
+    """(number, template, edge, page number, flow) of the lines that can be furniture: short, not ending as a sentence does, starting with no small
+    letter but of "p." or "pág.". flow: "cut" if the line stands within a sentence, "low" if only the next line goes on with a small
     letter, "open" if only the line before does not end a sentence."""
-    each = rows.select("tabela", "chave", "pagina", lines_of(F.col("texto")).alias("l")).select("*", F.posexplode("l").alias("i", "linha"))
-    out = each.withColumn("linha", F.btrim("linha", F.lit(" \t\u00a0"))).where(F.length("linha").between(1, 90) & ~F.col("linha").rlike(r"[.,;:!?]$|^\p{Ll}(?!\. ?\p{N}|ág)|[<>{}\\`*#=]|^\||\|$"))
-    beside = lambda d: F.coalesce(*[F.nullif(F.btrim(F.get("l", F.col("i") + k * d)), F.lit("")) for k in (1, 2)], F.lit(""))
-    number = F.regexp_extract("linha", r"(\p{N}+)", 1)
-    goes_on, is_open = beside(1).rlike(r"^\p{Ll}"), beside(-1).rlike(r"[^.!?:;]$")
-    return out.select(
-        "tabela", "chave", "i",
-        F.regexp_replace(F.translate("linha", "\t\u00a0", "  "), r"\p{N}+", "9").alias("template"),
-        F.when(F.col("i") == 0, "first").when(F.col("i") == F.size("l") - 1, "last").otherwise("inside").alias("edge"),
-        F.when(number == "", "none").when(F.abs(number.cast("bigint") - F.col("pagina")) <= 2, "page").otherwise("other").alias("on_page"),
-        F.when(goes_on & is_open, "cut").when(goes_on, "low").when(is_open, "open").otherwise("none").alias("flow"),
-    )
+    out, last = [], len(lines) - 1
+    for i, x in enumerate(lines):
+        if not x or len(x) > 90 or x[-1] in ".,;:!?|" or x[0] == "|" or (x[0].islower() and not _PAGE_MARK.match(x)) or _MARKUP.search(x):
+            continue
+        after = (lines[i + 1] or (lines[i + 2] if i + 1 < last else "")) if i < last else ""
+        before = (lines[i - 1] or (lines[i - 2] if i > 1 else "")) if i else ""
+        goes_on, is_open = after[:1].islower(), before != "" and before[-1] not in ".!?:;"
+        number = _NUMBER.search(x)
+        on_page = "none" if not number else "page" if page is not None and abs(int(number[0][:9]) - page) <= 2 else "other"
+        edge, flow = "first" if i == 0 else "last" if i == last else "inside", ("cut" if is_open else "low") if goes_on else "open" if is_open else "none"
+        out.append((i, _NUMBER.sub("9", x.replace("\t", " ").replace("\xa0", " ")), edge, on_page, flow))
+    return out
+
+
+def page_rows(rows: DataFrame) -> DataFrame:
+    """One row for each text that has a line that can be furniture, a word cut at a line end or letters that stand apart; its lines go along only if
+    a word is cut or letters stand apart around a line. All of it is read in one pass over the texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for table, key, text, page in zip(*(b.column(k).to_pylist() for k in range(4))):
+                lines = lines_of(text)
+                whole = "\n".join(lines)
+                found = furniture_lines(lines, page)
+                broken = _LINE_END.search(whole) is not None
+                around = any(x[-1:].islower() and (len(x) == 1 or x[-2] in " \t") for x in lines) and _AROUND.search(whole) is not None
+                letters = _SPACED.findall(whole) if whole[1:2].isspace() or _MAYBE_SPACED.search(whole) else []
+                if found or broken or around or letters:
+                    out.append((table, key, [dict(zip(("i", "template", "edge", "on_page", "flow"), f)) for f in found], lines if broken or around else None, broken, around, letters))
+            columns = list(zip(*out)) or [[]] * len(_PAGES)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _PAGES)], schema=_PAGES)
+
+    return rows.select("tabela", "chave", "texto", "pagina").mapInArrow(run, PAGES)
+
+
+_PAGES = pa.schema([
+    ("tabela", pa.string()), ("chave", pa.string()), ("moveis", pa.list_(pa.struct([("i", pa.int32()), *((c, pa.string()) for c in ("template", "edge", "on_page", "flow"))]))),
+    ("l", pa.list_(pa.string())), ("cortada", pa.bool_()), ("em_volta", pa.bool_()), ("letras", pa.list_(pa.string())),
+])
+
+
+def line_rows(pages: DataFrame) -> DataFrame:
+    """(tabela, chave, i, template, edge, on_page, flow) of the lines that can be furniture."""
+    return pages.select("tabela", "chave", F.inline("moveis"))
 
 
 def _whole_and_rest(text: str) -> tuple[Column, Column]:
@@ -260,10 +303,11 @@ def templates_of(lines: DataFrame, livros: DataFrame | None) -> DataFrame:
     per = per.select("*", *_whole_and_rest("template")).withColumn("worded", F.col("rest") != "")
     if livros is None:
         return per.withColumn("title", F.lit(False)).drop("whole", "rest")
-    titles = cut(livros.where("titulo is not null").select(*_whole_and_rest("titulo")).where("whole <> ''").distinct())
+    titles = livros.where("titulo is not null").select(F.explode(F.array(*[F.struct(F.lit(c).alias("of"), x.alias("name")) for c, x in zip(("whole", "rest"), _whole_and_rest("titulo"))])).alias("x"))
+    titles = cut(titles.select("x.of", "x.name").where("name <> ''").distinct())
+    side = F.broadcast if fits(titles) else merged
     for c in ("whole", "rest"):
-        named = titles.select(c).where(F.col(c) != "").distinct().withColumn(f"is_{c}", F.lit(True))
-        per = per.join(maybe_broadcast(cut(named)), c, "left")
+        per = per.join(side(titles.where(F.col("of") == c).select(F.col("name").alias(c), F.lit(True).alias(f"is_{c}"))), c, "left")
     return per.withColumn("title", F.coalesce("is_whole", "is_rest", F.lit(False))).drop("whole", "rest", "is_whole", "is_rest")
 
 
@@ -298,15 +342,15 @@ def furniture(lines: DataFrame, livros: DataFrame | None) -> DataFrame:
     templates = cut(templates_of(lines, livros))
     known, alone = labelled(templates).orderBy(F.xxhash64("template")), F.col("total") == 1
     data, seen = [], set()
-    for label, some in (("furniture", F.lit(True)), ("text", alone), ("text", ~alone)):
-        for t in known.where((F.col("label") == label) & some).limit(TRAIN_LINES).toPandas().itertuples(index=False):
-            seen |= {t.title} if label == "furniture" else set()
-            data += [(line_features(t.template, *p, t.total, t.title), label) for p in t.places]
+    parts = [known.where((F.col("label") == label) & some).limit(TRAIN_LINES) for label, some in (("furniture", F.lit(True)), ("text", alone), ("text", ~alone))]
+    for t in reduce(DataFrame.unionByName, parts).toPandas().itertuples(index=False):
+        seen |= {t.title} if t.label == "furniture" else set()
+        data += [(line_features(t.template, *p, t.total, t.title), t.label) for p in t.places]
     if seen != {True, False}:
         for title, marks in _MARKS.items():
             if title not in seen:
                 data += [(line_features(t, e, p, f, 4, title is True), "text" if title is None else "furniture") for t in marks for e in ("first", "last", "inside") for p in ("none", "page", "other") for f in ("cut", "none")]
-    model = Averaged().train(data, rounds=max(8, min(40, 120_000 // max(len(data), 1))))
+    model = Averaged().train(data, rounds=max(8, min(40, 60_000 // max(len(data), 1))))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -319,11 +363,11 @@ def furniture(lines: DataFrame, livros: DataFrame | None) -> DataFrame:
 # --- words cut at line ends -----------------------------------------------------------------------------------------------
 
 
-def hyphen_breaks(rows: DataFrame, lines: DataFrame) -> DataFrame:
+def hyphen_breaks(pages: DataFrame, lines: DataFrame) -> DataFrame:
     """(tabela, chave, a, b): the halves of every word that is cut at a line end, in small letters; b stands at the start of the next line that is not furniture."""
     ends = r"([\p{L}@|][\p{L}\p{N}@|-]*|[\p{N}@|][\p{L}\p{N}@|-]*\p{L}[\p{L}\p{N}@|]*)" + _HYPHEN + "$"
     starts = r"^[^\p{L}\p{N}@|]{0,2}([\p{L}\p{N}@|]+(?:-[\p{L}\p{N}@|]+)*)"
-    held = kept_lines(rows.where(F.col("texto").rlike(_AT_LINE_END)), lines, "left")
+    held = kept_lines(pages.where("cortada"), lines, "left")
     pairs = F.filter(F.transform("kept", lambda x, i: F.struct(x.alias("x"), F.get("kept", i + 1).alias("y"))), lambda s: s["x"].rlike(ends) & s["y"].isNotNull())
     cuts = held.select("tabela", "chave", F.explode(pairs).alias("s"))
     halves = cuts.select("tabela", "chave", F.lower(F.regexp_extract("s.x", ends, 1)).alias("a"), F.lower(F.regexp_extract("s.y", starts, 1)).alias("b"))
@@ -332,17 +376,17 @@ def hyphen_breaks(rows: DataFrame, lines: DataFrame) -> DataFrame:
 
 def hyphen_rows(breaks: DataFrame, words: DataFrame, editor: Editor) -> DataFrame:
     """(tabela, chave, joined) of the words that the editor joins and that stand unbroken elsewhere."""
-    breaks = cut(breaks.withColumns({"joined": F.concat("a", "b"), "compound": F.concat_ws("-", "a", "b")}))
-    pairs = breaks.select("a", "b", "joined", "compound").distinct()
-    asked = pairs.select(F.explode(F.array("joined", "compound")).alias("form")).distinct()
-    known = cut(words.select("form", "n").join(maybe_broadcast(cut(asked)), "form"))
-    counted = pairs.join(merged(known.select(F.col("form").alias("joined"), F.col("n").alias("nj"))), "joined").join(merged(known.select(F.col("form").alias("compound"), F.col("n").alias("nh"))), "compound", "left").fillna(0, ["nh"])
+    breaks = cut(breaks)
+    ways = F.array(F.struct(F.concat("a", "b").alias("form"), F.lit(True).alias("one")), F.struct(F.concat_ws("-", "a", "b").alias("form"), F.lit(False).alias("one")))
+    asked = cut(breaks.select("a", "b").distinct().select("a", "b", F.inline(ways)))
+    n = lambda one: F.coalesce(F.max(F.when(F.col("one") == one, F.col("n"))), F.lit(0))
+    counted = words.select("form", "n").join(maybe_broadcast(asked), "form").groupBy("a", "b").agg(n(True).alias("nj"), n(False).alias("nh")).where("nj > 0")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             yield b.loc[[editor.joins(*x) for x in b[["a", "b", "nj", "nh"]].itertuples(index=False)], ["a", "b"]]
 
-    return breaks.join(maybe_broadcast(cut(counted.mapInPandas(run, "a string, b string"))), ["a", "b"], "left_semi").select("tabela", "chave", "joined")
+    return breaks.join(maybe_broadcast(cut(counted.mapInPandas(run, "a string, b string"))), ["a", "b"], "left_semi").select("tabela", "chave", F.concat("a", "b").alias("joined"))
 
 
 # --- together -------------------------------------------------------------------------------------------------------------
@@ -354,12 +398,13 @@ class Found:
     def __init__(self, rows: DataFrame, livros: DataFrame | None) -> None:
         written = cut(written_forms(rows))
         words = cut(vocabulary(written))
-        lines = cut(line_rows(rows))
+        pages = cut(page_rows(rows))
+        lines = line_rows(pages)
         editor = train_editor(words)
         bad = cut(misread(words, editor))
         self.lines = lines.join(maybe_broadcast(cut(furniture(lines, livros))), ["template", "edge", "on_page", "flow"], "left_semi")
-        self.words = ocr_words(rows, written, words, bad, self.lines, editor)
-        self.joined = hyphen_rows(hyphen_breaks(rows, self.lines), words, editor)
+        self.words = ocr_words(rows, written, words, bad, pages, self.lines, editor)
+        self.joined = hyphen_rows(hyphen_breaks(pages, self.lines), words, editor)
 
 
 def noise_found(blocos: DataFrame, chunks: DataFrame, livros: DataFrame | None = None) -> DataFrame:
@@ -372,9 +417,9 @@ def noise_found(blocos: DataFrame, chunks: DataFrame, livros: DataFrame | None =
 _LINE_HYPHEN = re.compile(r"(\w+(?:-\w+)*)[-\u00ad\u00ac\u2010][ \t]*\n[ \t]*(\w+)")
 
 
-def repair_text(text: str, furniture_lines: set[int], wrong: list[tuple[str, str]], joins: set[str]) -> str:
+def repair_text(text: str, moved: set[int], wrong: list[tuple[str, str]], joins: set[str]) -> str:
     """A text without furniture, its words repaired and joined, its lines run together to paragraphs."""
-    kept = [x.strip() for i, x in enumerate(re.split(r"\r?\n|\r", text.strip(" \t\r\n\xa0"))) if i not in furniture_lines]
+    kept = [x for i, x in enumerate(lines_of(text)) if i not in moved]
     out = "\n".join(kept)
     for a, b in sorted(wrong, key=lambda w: -len(w[0])):
         if " " in a or "\n" in a:  # the letters of a word, apart; one-letter words beside it stay

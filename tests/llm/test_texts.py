@@ -77,8 +77,8 @@ def test_lines_below_a_broken_compound_join_nothing(spark):
     b, c, books = scanned_tables(spark, [("d", 0, "paragraph", 7, None, text), ("d", 1, "paragraph", 7, None, "o guar-\n— 7 —\nPág. 8\nda vigia"), ("d", 2, "paragraph", 7, None, "guarda-chuva, guarda-chuva, chuva chaves"), ("d", 3, "paragraph", 7, None, "um xe-\nbrete novo")])
     got = {tuple(r)[1:] for r in scanned.noise_found(b, c, books).collect() if r.ruido == "hifen"}
     assert got == {("d#1", "hifen")}  # "xebrete" stands nowhere unbroken
-    halves = {(r.a, r.b) for r in scanned.hyphen_breaks(scanned.texts(b, c), spark.createDataFrame([], "tabela string, chave string, i int")).collect()}
-    assert halves == {("guarda", "chuva"), ("mata", "pág"), ("xe", "brete")}
+    halves = {(r.a, r.b) for r in scanned.hyphen_breaks(scanned.page_rows(scanned.texts(b, c)), spark.createDataFrame([], "tabela string, chave string, i int")).collect()}
+    assert halves == {("guarda", "chuva"), ("mata", "pág"), ("guar", "7"), ("xe", "brete")}
 
 
 def test_the_editor_joins_lines_and_closes_blanks_by_what_it_learnt():
