@@ -17,6 +17,7 @@ SIDEBARS = "VARIAÇÃO|VARIANTE|OPCIONAL|OPÇÃO"
 DISPLAY_NAMES = {"monstro": "Manual dos Monstros", "jogador": "Livro do Jogador", "mestre": "Guia do Mestre"}
 BOOK_ALIASES = {"monstros": "monstro", "manual": "monstro"}
 HEADING = r"^#{1,6}\s+\S"
+CLEAN_NAME = r"^[\p{Lu}0-9][\p{Lu}0-9 ,'/()+\-\.À-ſ]{1,58}$"
 
 
 def _map(d: dict[str, str]) -> Column:
@@ -25,7 +26,12 @@ def _map(d: dict[str, str]) -> Column:
 
 def norm(text: Column) -> Column:
     """Trimmed, lower case, without accents: for equality and containment tests."""
-    return F.translate(F.lower(F.trim(text)), ACCENTS, PLAIN)
+    return fold(F.lower(F.trim(text)))
+
+
+def fold(text: Column) -> Column:
+    """Without accents: the letters of `ACCENTS` are replaced and combining marks left out."""
+    return F.regexp_replace(F.translate(text, ACCENTS, PLAIN), r"\p{Mn}+", "")
 
 
 def tokens(text: Column) -> Column:
@@ -93,7 +99,7 @@ def is_loose_label(line: Column) -> Column:
 
 def is_clean_name(name: Column) -> Column:
     n = F.trim(name)
-    return F.length(n).between(2, 60) & F.upper(n).rlike(r"^[\p{Lu}0-9][\p{Lu}0-9 ,'/()+\-\.À-ſ]{1,58}$") & ~n.contains("  ")
+    return F.length(n).between(2, 60) & F.upper(n).rlike(CLEAN_NAME) & ~n.contains("  ")
 
 
 def display_name(book: Column) -> Column:

@@ -149,18 +149,21 @@ def prf_pages(cited: Column, references: Column) -> Column:
     return prf(meets(cited, references), F.size(cited), meets(references, cited), F.size(references))
 
 
+#: Fixed pattern of a page or a range of pages, and of a source in running text, {names} being the books' names.
+PAGE = r"\d+(?:\s*[-–]\s*\d+)?"
+SOURCE = r"(?i)({names})\s*[,:\-–—]?\s*(?:pp?\.|p[áa]gs?\.|p[áa]ginas?)\s*(" + PAGE + r"(?:\s*(?:,|e)\s*" + PAGE + ")*)"
+
+
 def free_text_sources(answer: Column, names: dict[str, str]) -> Column:
     """Distinct (book, start, end) from text such as "Livro do Jogador, p. 95-96 e 98". names: from a book's name to its alias."""
-    # fixed pattern of a page reference
-    page = r"\d+(?:\s*[-–]\s*\d+)?"
     book = "|".join(names)
-    source = rf"(?i)({book})\s*[,:\-–—]?\s*(?:pp?\.|p[áa]gs?\.|p[áa]ginas?)\s*({page}(?:\s*(?:,|e)\s*{page})*)"
+    source = SOURCE.replace("{names}", book)
     alias = F.create_map(*[F.lit(x) for k, v in names.items() for x in (k.lower(), v)])
 
     def one(m: Column) -> Column:
         b = alias[F.lower(F.regexp_extract(m, rf"(?i)^({book})", 1))]
         tail = F.regexp_replace(m, rf"(?i)^({book})", "")
-        return F.transform(F.regexp_extract_all(tail, F.lit(page), F.lit(0)), lambda x: interval(b, x))
+        return F.transform(F.regexp_extract_all(tail, F.lit(PAGE), F.lit(0)), lambda x: interval(b, x))
 
     def interval(b: Column, x: Column) -> Column:
         a, z = F.regexp_extract(x, r"^(\d+)", 1).cast("int"), F.regexp_extract(x, r"(\d+)$", 1).cast("int")
@@ -212,7 +215,3 @@ def unknown_ids(wanted: DataFrame, asked: DataFrame, key: str = "query_id") -> D
 def summary(asked: DataFrame) -> DataFrame:
     """Counts by type and answerability."""
     return asked.groupBy("type", "answerable").agg(F.count("*").cast("bigint").alias("n"), F.countDistinct("id").cast("bigint").alias("ids"))
-
-
-def running_position(df: DataFrame, by: str, order: str) -> DataFrame:
-    return df.withColumn("position", F.row_number().over(Window.partitionBy(by).orderBy(order)))
