@@ -48,5 +48,12 @@ def hashed_counts(df: DataFrame, keys: list[str], text: str, dimension: int = DI
     """(keys, bucket, weight): the non-zero places of the hashed vector, scaled to length 1."""
     bucket = F.pmod(F.conv(F.substring(F.md5(F.col("term").cast("binary")), 1, 8), 16, 10).cast("bigint"), F.lit(dimension))
     counted = df.select(*keys, F.explode(T.tokens(F.col(text))).alias("term")).select(*keys, bucket.alias("bucket")).groupBy(*keys, "bucket").agg(F.count("*").alias("tf"))
-    norm = counted.groupBy(*keys).agg(F.sqrt(F.sum(F.col("tf") * F.col("tf")).cast("double")).alias("norm"))
-    return counted.join(norm, keys).select(*keys, "bucket", (F.col("tf") / F.col("norm")).alias("weight"))
+    held = counted.groupBy(*keys).agg(F.collect_list(F.struct("bucket", "tf")).alias("b"))  # at most `dimension` of them
+    norm = F.sqrt(F.aggregate("b", F.lit(0).cast("bigint"), lambda s, x: s + x["tf"] * x["tf"]).cast("double"))
+    return held.select(*keys, norm.alias("norm"), F.inline("b")).select(*keys, "bucket", (F.col("tf") / F.col("norm")).alias("weight"))
+
+
+def hashed_vectors(df: DataFrame, key: str, text: str, dimension: int = DIMENSION) -> DataFrame:
+    """(key, vector): the hashed vector of each text with a term, as an array of doubles."""
+    held = hashed_counts(df, [key], text, dimension).groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("bucket", "weight"))).alias("m"))
+    return held.select(key, F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)), lambda i: F.coalesce(F.element_at("m", i.cast("bigint")), F.lit(0.0))).alias("vector"))

@@ -12,9 +12,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from estante.functions import text as T
+from estante.runtime import cut
 
 CITATION = r"\[\s*\d+(?:\s*[,;]\s*\d+)*\s*\]"
 PER_MINUTE, PER_DAY, LONGEST = 5, 200, 500
+#: Longest answer, in tokens.
+MOST_OUTPUT = 2_000
 INSTRUCTIONS = "Responda apenas com o que dizem as passagens numeradas e cite cada uma pelo número entre colchetes. O que elas não dizem, diga que não consta."
 INSTRUCTIONS_ALONE = "Responda com o que sabe dos livros e indique livro e página entre parênteses. O que não souber, diga que não sabe."
 NOTHING_FOUND = "Nenhuma passagem encontrada; o gerador não foi chamado."
@@ -58,6 +61,45 @@ def answers(prompted: DataFrame, generator: Generator, instructions: str = INSTR
     return asked.unionByName(none)
 
 
+def passages_of(hits: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(query_id, rank, chunk_id, book, page_start, page_end, entity_name, text): the hits with their chunks; a hit without chunk is left out."""
+    return hits.select("query_id", "rank", "chunk_id").join(chunks.select("chunk_id", "book", "page_start", "page_end", "entity_name", "text"), "chunk_id")
+
+
+def clamp_passages(k: int, most: int = 20) -> int:
+    return max(1, min(most, k))
+
+
+def cut_off(answer: Column, most_tokens: int = MOST_OUTPUT) -> Column:
+    """An answer's text up to the limit of its output, and whether it was cut there."""
+    most = 4 * most_tokens
+    return F.struct(F.substring(answer, 1, most).alias("text"), (F.length(answer) > most).alias("cut"))
+
+
+def respond(questions: DataFrame, search: Callable[[DataFrame, int], DataFrame], chunks: DataFrame, generator: Generator = extractive, k: int = 8, most_tokens: int = MOST_OUTPUT, search_note: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """The whole way of an answer: search, guard, prompt, generation, citations.
+
+    Gives (query_id, passages, answer, valid, invented, note, warning), valid and invented being the distinct cited numbers in order, and the sources (query_id, source, passage,
+    chunk_id, book, page_start, page_end, entity_name): the cited passages in the order in which the answer cites them. A question without passages is
+    not sent to the generator; an answer is cut at `most_tokens`; citations of passages that there are not are named in the note."""
+    asked = questions.select("query_id", "query_text")
+    held = cut(passages_of(search(asked, clamp_passages(k)), chunks).withColumn("passage", F.row_number().over(Window.partitionBy("query_id").orderBy("rank", "chunk_id")).cast("int")))
+    shown = held.select("query_id", F.col("passage").alias("rank"), "book", "page_start", "page_end", "entity_name", "text")
+    said = cut(answers(prompts(asked, shown), generator).withColumn("a", cut_off(F.col("answer"), most_tokens)))
+    numbers = cited_numbers(F.col("a.text"))
+    each = said.select("query_id", "passages", F.col("a.text").alias("answer"), F.col("a.cut").alias("was_cut"), F.col("note").alias("guard"), valid_citations(numbers, F.col("passages")).alias("valid"), invented_citations(numbers, F.col("passages")).alias("invented"))
+    told = note(F.col("was_cut"), F.col("invented"), F.concat_ws(" ", F.lit(search_note), F.col("guard")))
+    out = each.select("query_id", "passages", "answer", "valid", "invented", told.alias("note"), warning(F.col("passages"), F.col("answer"), F.col("was_cut")).alias("warning"))
+    cited = out.select("query_id", F.posexplode("valid").alias("i", "passage")).select("query_id", (F.col("i") + 1).cast("int").alias("source"), "passage")
+    sources = cited.join(held.drop("rank", "text"), ["query_id", "passage"]).select("query_id", "source", "passage", "chunk_id", "book", "page_start", "page_end", "entity_name")
+    return out, sources
+
+
+def usage_rows(responses: DataFrame, seconds: Column, tokens_in: Column, tokens_out: Column) -> DataFrame:
+    """(query_id, cited, passages, tokens_in, tokens_out, seconds): a line of the usage log for each answer, to be appended."""
+    return responses.select("query_id", F.size("valid").alias("cited"), "passages", tokens_in.cast("bigint").alias("tokens_in"), tokens_out.cast("bigint").alias("tokens_out"), F.round(seconds, 3).alias("seconds"))
+
+
 # --- citations ------------------------------------------------------------------------------------------------------------
 
 
@@ -67,6 +109,10 @@ def cited_numbers(text: Column) -> Column:
     return F.array_distinct(F.flatten(F.transform(marks, lambda m: F.transform(F.regexp_extract_all(m, F.lit(r"\d+"), F.lit(0)), lambda d: d.cast("int")))))
 
 
+def is_cited(valid: Column, number: Column | int) -> Column:
+    return F.array_contains(valid, number)
+
+
 def valid_citations(numbers: Column, passages: Column) -> Column:
     return F.filter(numbers, lambda n: (n >= 1) & (n <= passages))
 
@@ -99,13 +145,13 @@ def answer_parts(text: Column, passages: Column) -> Column:
     )
 
 
-def note(cut: Column, invented: Column, search_note: Column) -> Column:
-    said = F.concat_ws(" ", F.when(cut, F.lit("A resposta foi cortada no limite de saída.")), F.when(F.size(invented) > 0, F.concat(F.lit("Citações inexistentes: "), F.array_join(F.transform(invented, lambda n: n.cast("string")), ", "), F.lit("."))), search_note)
+def note(was_cut: Column, invented: Column, search_note: Column) -> Column:
+    said = F.concat_ws(" ", F.when(was_cut, F.lit("A resposta foi cortada no limite de saída.")), F.when(F.size(invented) > 0, F.concat(F.lit("Citações inexistentes: "), F.array_join(F.transform(invented, lambda n: n.cast("string")), ", "), F.lit("."))), search_note)
     return F.nullif(said, F.lit(""))
 
 
-def warning(passages: Column, answer: Column, cut: Column) -> Column:
-    return F.when(passages == 0, "sem-fontes").when(F.trim(answer) == "", "vazia").when(cut, "cortada")
+def warning(passages: Column, answer: Column, was_cut: Column) -> Column:
+    return F.when(passages == 0, "sem-fontes").when(F.trim(answer) == "", "vazia").when(was_cut, "cortada")
 
 
 # --- limits on traffic ----------------------------------------------------------------------------------------------------

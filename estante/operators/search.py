@@ -10,6 +10,7 @@ repeated terms of a question count once per occurrence; empty tables give no row
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 from functools import reduce
 
@@ -97,14 +98,16 @@ def _best(scores: np.ndarray, keys: np.ndarray, k: int) -> tuple[np.ndarray, np.
 
 
 def bm25(questions: DataFrame, rows: DataFrame, k: int, key: str = "chunk_id", text: str = "text", most_questions: int | None = None, a_pass: int = A_PASS) -> DataFrame:
-    """(query_id, key, score, rank). Each document meets all questions of a pass at once as a row of term weights times the questions' matrix; only the k best of every batch and question go on to the final ranking."""
+    """(query_id, key, score, rank). Each batch of documents meets all questions of a pass at once, by a sparse product of its terms with theirs; only the k best of every batch and question go on to the final ranking."""
     _bounded(questions, most_questions)
     terms = cut(query_terms(questions))
     wanted = maybe_broadcast(cut(terms.select("term").distinct()))
-    # only asked terms leave a document's row, with its length
-    tokenised = rows.select(key, T.tokens(F.col(text)).alias("terms")).select(key, F.size("terms").cast("bigint").alias("len"), "terms")
-    hit = cut(tokenised.select(key, "len", F.explode("terms").alias("term")).join(wanted, "term").groupBy(key, "len").agg(F.collect_list("term").alias("terms")))
-    stats = doc_lengths(rows, key, text).agg(F.count("*").alias("n_docs"), F.avg("len").alias("avgdl")).first()
+    # the corpus is tokenised once: only asked terms leave a document's row, and one row of each document, with its length, whatever it holds
+    tokenised = rows.select(key, T.tokens(F.col(text)).alias("terms")).select(key, F.size("terms").cast("bigint").alias("len"), F.posexplode_outer("terms").alias("pos", "term"))
+    kept = tokenised.join(wanted.withColumn("asked", F.lit(True)), "term", "left").where("asked or coalesce(pos, 0) = 0")
+    hit = cut(kept.groupBy(key, "len").agg(F.collect_list(F.when(F.col("asked"), F.col("term"))).alias("terms")))
+    stats = hit.agg(F.count("*").alias("n_docs"), F.avg(F.greatest("len", F.lit(0))).alias("avgdl")).first()
+    hit = hit.where(F.size("terms") > 0)
     idf = F.log((F.lit(stats["n_docs"]) - F.col("n") + 0.5) / (F.col("n") + 0.5))
     df = hit.select(F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
     asked = terms.join(df, "term").select("query_id", "term", (F.col("qtf") * F.when(idf > 0, idf).otherwise(FLOOR)).alias("w"))
@@ -116,24 +119,30 @@ def bm25(questions: DataFrame, rows: DataFrame, k: int, key: str = "chunk_id", t
         ids = asked["query_id"].unique()
         for at in range(0, len(ids), BLOCK):
             part = asked[asked["query_id"].isin(ids[at : at + BLOCK])]
-            q, place = pd.factorize(part["query_id"])[0], {t: i for i, t in enumerate(part["term"].unique())}
-            w = np.zeros((len(place), q.max() + 1))
-            w[part["term"].map(place), q] = part["w"]
-            blocks.append((ids[at : at + BLOCK], place, w))
+            q = pd.factorize(part["query_id"])[0]
+            blocks.append((ids[at : at + BLOCK], {t: (q[i], part["w"].to_numpy()[i]) for t, i in part.groupby("term", sort=False).indices.items()}))
 
         def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
+                if not len(b):
+                    continue
                 keys, length = b[key].to_numpy(), b["len"].to_numpy(dtype=float)
-                for names, place, w in blocks:
-                    at = [(i, place[t]) for i, ts in enumerate(b["terms"]) for t in ts if t in place]
-                    if not at:
-                        continue
-                    tf = np.zeros((len(b), len(place)))
-                    np.add.at(tf, tuple(np.array(at).T), 1)
-                    part = tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / avgdl)[:, None])
-                    scores = np.where((tf > 0).astype(np.float32) @ (w > 0).astype(np.float32) > 0, np.round(part @ w, PLACES), -np.inf)
-                    q, r = _best(scores, keys, k)
-                    yield pd.DataFrame({"query_id": names[q], key: keys[r], "score": scores[r, q]})
+                code, names_of = pd.factorize(np.concatenate(b["terms"].to_list()))
+                row = np.repeat(np.arange(len(b)), [len(t) for t in b["terms"]])
+                place, tf = np.unique(code * len(b) + row, return_counts=True)
+                row, code = place % len(b), place // len(b)
+                value = tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[row] / avgdl))
+                starts = np.searchsorted(code, np.arange(len(names_of) + 1))
+                for names, weights in blocks:
+                    # a sparse product: each term adds to the documents that have it, for the questions that ask it
+                    scores = np.zeros((len(b), len(names)))
+                    for c, t in enumerate(names_of):
+                        if t in weights:
+                            q, w = weights[t]
+                            at = slice(starts[c], starts[c + 1])
+                            scores[np.ix_(row[at], q)] += value[at, None] * w
+                    q, r = _best(np.where(scores > 0, np.round(scores, PLACES), -np.inf), keys, k)
+                    yield pd.DataFrame({"query_id": names[q], key: keys[r], "score": np.round(scores, PLACES)[r, q]})
 
         return top_k(hit.mapInPandas(score, f"query_id {query_kind}, {key} {kind}, score double"), k, key)
 
@@ -215,31 +224,68 @@ def compare(hits: DataFrame, strategies: list[str], key: str = "chunk_id") -> Da
     return wide.fillna("—", strategies)
 
 
+Search = Callable[[DataFrame, int], DataFrame]
+
+
 class Strategies:
-    """Registered search strategies by name; each is a function (questions, k) → hits. An unknown name is an error; a failing one becomes a note."""
+    """Registered search strategies by name; each is a function (questions, k) → hits and may say why it is not available. An unknown name is an error; a failing one becomes a note."""
 
     def __init__(self) -> None:
-        self._by_name: dict[str, Callable[[DataFrame, int], DataFrame]] = {}
+        self._by_name: dict[str, Search] = {}
+        self._reason: dict[str, Callable[[], str | None]] = {}
 
-    def register(self, name: str, search: Callable[[DataFrame, int], DataFrame]) -> None:
-        self._by_name[name] = search
+    def register(self, name: str, search: Search, reason: Callable[[], str | None] = lambda: None) -> None:
+        """`reason` tells why the strategy can't be used now, or gives None."""
+        self._by_name[name], self._reason[name] = search, reason
 
-    def get(self, name: str) -> Callable[[DataFrame, int], DataFrame]:
+    def get(self, name: str) -> Search:
         if name not in self._by_name:
             raise KeyError(f"no strategy {name!r}; there are {sorted(self._by_name)}")
         return self._by_name[name]
 
+    def names(self) -> list[str]:
+        return list(self._by_name)
+
+    def unavailable(self, *names: str) -> str | None:
+        """Why one of the strategies can't be used, all reasons in one text; None if all can."""
+        said = [f"{n}: {r}" for n in names if self.get(n) and (r := self._reason[n]())]
+        return "; ".join(said) or None
+
+    def preferred(self, wanted: str = "rrf") -> str | None:
+        """The wanted strategy if it is available, else the first that is."""
+        return next((n for n in sorted(self._by_name, key=lambda n: n != wanted) if self.unavailable(n) is None), None)
+
+    def register_fusion(self, name: str, legs: list[str], key: str = "chunk_id") -> None:
+        """A fusion of registered legs: each is asked for max(k, `LEG_DEPTH`) hits. It is available only if all legs are."""
+
+        def search(questions: DataFrame, k: int) -> DataFrame:
+            if why := self.unavailable(*legs):
+                raise LookupError(why)
+            depth = max(k, LEG_DEPTH)
+            hits = [self.get(x)(questions, depth).select("query_id", F.lit(x).alias("strategy"), key, "score", "rank") for x in legs]
+            return rrf(reduce(DataFrame.unionByName, hits), k, legs, key)
+
+        self.register(name, search, lambda: self.unavailable(*legs))
+
     def compare_all(self, questions: DataFrame, k: int) -> tuple[DataFrame | None, dict[str, str]]:
-        """Hits of every strategy with a `strategy` column, and a note for each that could not be planned."""
-        out, notes = None, {}
+        """Hits of every strategy with a `strategy` column, and a note for each that is not available or failed."""
+        hits, runs = self.timed(questions, k)
+        return hits, {name: note for name, _, note in runs if note is not None}
+
+    def timed(self, questions: DataFrame, k: int) -> tuple[DataFrame | None, list[tuple[str, float, str | None]]]:
+        """Hits of every strategy, one after the other and each written before the next, so that a failure in any step becomes its note and all are timed alike; and (name, seconds, note)."""
+        out, runs = None, []
         for name, search in self._by_name.items():
-            try:
-                hits = search(questions, k).withColumn("strategy", F.lit(name))
-            except Exception as e:  # noqa: BLE001
-                notes[name] = str(e)
-                continue
-            out = hits if out is None else out.unionByName(hits, allowMissingColumns=True)
-        return out, notes
+            began, hits, note = time.perf_counter(), None, self.unavailable(name)
+            if note is None:
+                try:
+                    hits = cut(search(questions, k).withColumn("strategy", F.lit(name)))
+                except Exception as e:  # noqa: BLE001
+                    note = str(e)
+            runs.append((name, time.perf_counter() - began, note))
+            if hits is not None:
+                out = hits if out is None else out.unionByName(hits, allowMissingColumns=True)
+        return out, runs
 
 
 # --- looking up -----------------------------------------------------------------------------------------------------------
