@@ -17,6 +17,7 @@ from __future__ import annotations
 import html
 import random
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -26,40 +27,86 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from estante.llm.boosting import BoostedTrees
-from estante.runtime import spread
+from estante.runtime import cut, spread
 
 NOTATIONS = ("html", "markdown", "wiki", "latex")
 TRAIN_TEXTS, SEED = 700, 11
 #: Java pattern of a text that could hold markup; the others never leave the JVM.
-COULD = r"[<>&`\\{}\[\]|$#*=]|''|__|(?m)^[ \t]*[-+][ \t]+\S"
+COULD = r"[<>&`\\{}\[\]|$#*=]|''|__|(?<![\p{L}\p{N}_])_(?=[^\s_])|(?m)^[ \t]*[-+][ \t]+\S|^[ \t]*-{3,}[ \t]*$"
 
-_INLINE = r"(?:(?!\n[ \t]*\n)[\s\S])"
-_READERS: list[tuple[str, str, re.Pattern]] = [
+_PARAGRAPH = re.compile(r"\n[ \t]*\n")
+
+
+class Span:
+    __slots__ = ("a", "b")
+
+    def __init__(self, a: int, b: int) -> None:
+        self.a, self.b = a, b
+
+    def start(self) -> int:
+        return self.a
+
+    def end(self) -> int:
+        return self.b
+
+
+class Paired:
+    """Spans from an opening mark to the next closing one of its sort, found from the sorted places of both: of any length, in linear time.
+    `sign`: a character without which there is none; `inline`: an empty line ends the search."""
+
+    def __init__(self, sign: str, sorts: list[tuple[str, str]], inline: bool = True) -> None:
+        self.sign, self.inline = sign, inline
+        self.sorts = [(re.compile(a), re.compile(b)) for a, b in sorts]
+
+    def finditer(self, text: str) -> Iterator[Span]:
+        if self.sign not in text:
+            return
+        opened = sorted((m.start(), m.end(), k) for k, (p, _) in enumerate(self.sorts) for m in p.finditer(text))
+        if not opened:
+            return
+        closed = [[(m.start(), m.end()) for m in p.finditer(text)] for _, p in self.sorts]
+        starts = [[a for a, _ in c] for c in closed]
+        ends = [m.start() for m in _PARAGRAPH.finditer(text)] if self.inline else []
+        last = 0
+        for a, e, k in opened:
+            i = bisect_left(starts[k], e + 1)
+            if a < last or i == len(starts[k]):
+                continue
+            if ends and (j := bisect_left(ends, e)) < len(ends) and ends[j] < starts[k][i]:
+                continue
+            last = closed[k][i][1]
+            yield Span(a, last)
+
+
+_READERS: list[tuple[str, str, re.Pattern | Paired]] = [
     ("html", "comment", re.compile(r"<!--[\s\S]*?(?:-->|$)")),
     ("html", "tag", re.compile(r"</?[A-Za-z][A-Za-z0-9]*(?:\s[^<>]*)?/?>")),
-    ("html", "cut", re.compile(r"</?[A-Za-z!][^<>]{0,300}\Z|<(?=\Z)")),
+    ("html", "cut", re.compile(r"</?[A-Za-z!][^<>]*\Z|<(?=\Z)")),
     ("html", "entity", re.compile(r"&(?:#\d{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]{1,30});")),
     ("html", "sign", re.compile(r"[<>](?=[ =]?\d)|(?<![<>])<(?=\s)|&(?=\s)|&(?=[A-Za-z]+(?![;\w]))")),
     ("markdown", "heading", re.compile(r"^#{1,6}[ \t]+\S.*$", re.M)),
     ("markdown", "bullet", re.compile(r"^[ \t]*[-*+][ \t]+(?=\S)", re.M)),
     ("markdown", "quote", re.compile(r"^[ \t]*>[ \t]*(?=[^\s\d=])", re.M)),
     ("markdown", "fence", re.compile(r"^[ \t]*```.*$", re.M)),
-    ("markdown", "strong", re.compile(rf"(\*\*|__)(?=[^\s*_])({_INLINE}{{1,400}}?)(?<=\S)\1")),
-    ("markdown", "emphasis", re.compile(rf"(?<![\w*\\])\*(?=[^\s*]){_INLINE}{{1,400}}?(?<=[^\s*])\*(?![\w*])|(?<![\w_])_(?=[^\s_]){_INLINE}{{1,400}}?(?<=[^\s_])_(?![\w_])")),
-    ("markdown", "code", re.compile(rf"(?<!`)`(?!`){_INLINE}{{1,400}}?(?<!`)`(?!`)")),
-    ("markdown", "link", re.compile(rf"!?\[(?![\[\]])(?:(?!\n[ \t]*\n)[^\[\]]){{1,400}}\]\([^()\s]*\)")),
+    ("markdown", "strong", Paired("*", [(r"\*\*(?=[^\s*_])", r"(?<=\S)\*\*")])),
+    ("markdown", "strong", Paired("__", [(r"__(?=[^\s*_])", r"(?<=\S)__")])),
+    ("markdown", "emphasis", Paired("*", [(r"(?<![\w*\\])\*(?=[^\s*])", r"(?<=[^\s*])\*(?![\w*])")])),
+    ("markdown", "emphasis", Paired("_", [(r"(?<![\w_])_(?=[^\s_])", r"(?<=[^\s_])_(?![\w_])")])),
+    ("markdown", "code", Paired("`", [(r"(?<!`)`(?!`)", r"(?<!`)`(?!`)")])),
+    ("markdown", "link", re.compile(r"!?\[(?![\[\]])(?:(?!\n[ \t]*\n)[^\[\]])+\]\([^()\s]*\)")),
     ("markdown", "row", re.compile(r"^[ \t]*\|(?![-}+|]*$)(?!-\s)[^\n]*\|[ \t]*$|^[ \t]*\|(?:[ \t]*:?-{2,}:?[ \t]*\|)+[ \t]*$", re.M)),
     ("markdown", "rule", re.compile(r"^[ \t]*(?:-{3,}|\*{3,}|_{3,})[ \t]*$", re.M)),
     ("markdown", "sign", re.compile(r"(?<=\w)\*(?![\w*])|#(?=\d)|\[\d{1,3}\](?!\()")),
     ("wiki", "heading", re.compile(r"^={2,6}[ \t]*[^=\s]|(?<=[^=\s])[ \t]*={2,6}[ \t]*$", re.M)),
-    ("wiki", "quotes", re.compile(rf"('{{2,5}})(?=[^'\s])({_INLINE}{{1,400}}?)(?<=[^'\s])\1(?!')")),
-    ("wiki", "link", re.compile(rf"\[\[(?:(?!\n[ \t]*\n)[^\[\]]){{1,400}}\]\]")),
-    ("wiki", "template", re.compile(r"\{\{[^{}]{1,600}\}\}")),
+    ("wiki", "quotes", Paired("''", [(rf"(?<!')'{{{k}}}(?=[^'\s])", rf"(?<=[^'\s])'{{{k}}}(?!')") for k in (2, 3, 4, 5)])),
+    ("wiki", "link", re.compile(r"\[\[(?:(?!\n[ \t]*\n)[^\[\]])+\]\]")),
+    ("wiki", "template", re.compile(r"\{\{[^{}]+\}\}")),
     ("wiki", "table", re.compile(r"^[ \t]*\{\|.*$|^[ \t]*\|[-}+].*$|^!.*$", re.M)),
     ("wiki", "sign", re.compile(r"(?<=\s)=(?=\s)|(?<=\w)''(?=\s)")),
-    ("latex", "display", re.compile(r"\\\[[\s\S]{1,800}?\\\]|\\\([\s\S]{1,400}?\\\)|\$\$[\s\S]{1,800}?\$\$")),
+    ("latex", "display", Paired("\\", [(r"\\\[", r"\\\]"), (r"\\\(", r"\\\)")], inline=False)),
+    ("latex", "display", Paired("$$", [(r"\$\$", r"\$\$")], inline=False)),
     ("latex", "command", re.compile(r"\\[A-Za-z]+\*?")),
-    ("latex", "formula", re.compile(r"(?<![\\$\w])\$(?![\s$])[^$\n]{1,200}?(?<![\s\\])\$(?![\w$])")),
+    ("latex", "formula", re.compile(r"(?<![\\$\w])\$(?![\s$])[^$\n]+?(?<![\s\\])\$(?![\w$])")),
     ("latex", "break", re.compile(r"\\\\(?=\s|$)", re.M)),
     ("latex", "sign", re.compile(r"(?<=[A-Z])\$(?=[ \d])|(?<!\w)\$(?=\d)|\\(?![A-Za-z\\\[\]()$%&#_{}])")),
 ]
@@ -121,7 +168,7 @@ def tree(text: str, found: list[tuple[int, int, int]]) -> tuple[list[int], np.nd
     opened = Counter(text[a + 1 : b].split()[0].rstrip("/>").lower() for a, b, k in found if KINDS[k] == "html.tag" and b > a + 2 and text[a + 1] != "/")
     rows, own = [], {}
     for i, (a, b, k) in enumerate(found):
-        body = text[a:b] if b - a < 400 else text[a : a + 400]
+        body = text[a:b]
         if (k, body) not in own:
             own[k, body] = _own(k, body)
         letters, digits, lines, blanks, known, name = own[k, body]
@@ -361,8 +408,8 @@ def clean(text: str, found: list[tuple[int, int, int]], yes: list[bool]) -> str:
 
 
 def cleaned(chunks: DataFrame, blocos: DataFrame) -> DataFrame:
-    """(tabela, chave, limpo): every text, clean; texts without markup characters pass unchanged within the JVM."""
-    rows = texts(chunks, blocos)
+    """(tabela, chave, limpo): every text once, clean; texts without markup characters pass unchanged within the JVM. Of a key delivered with several texts the least counts."""
+    rows = cut(texts(chunks, blocos).groupBy("tabela", "chave").agg(F.min("texto").alias("texto")))
     model = fitted(rows)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
