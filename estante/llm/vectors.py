@@ -1,7 +1,8 @@
 """The k most similar vectors of every vector: an inverted file of coarse centroids with product-quantised residuals.
 
 Coarse centroids and residual codebooks are fitted on a bounded sample (`SAMPLE_PER_CELL` a cell, at most `MOST_CELLS` cells; `BOOK_SAMPLE` residuals);
-every vector is indexed and every vector asks. Cells lie in balanced groups of neighbouring cells, so a vector is sent once
+every vector is indexed and every vector asks. A cell of more than `SPLIT` vectors (there are at most `MOST_CELLS`) is divided once more, in its group, by
+centroids of its own, so the work of a query does not grow with the cells. Cells lie in balanced groups of neighbouring cells, so a vector is sent once
 to each group that holds a cell it probes: of its `PROBES` nearest cells, those about as near as the first (`NEAR`). In its group the asymmetric distance tables of a query score the
 codes of each probed cell, the `RERANK` best are scored again with the exact vectors, and the lists of a query's groups merge.
 
@@ -22,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from estante.runtime import cores, cut, maybe_broadcast, spread
+from estante.runtime import cores, cut, maybe_broadcast, merged
 
 DIMENSION, MODEL, K = 64, "codex-vetor-2", 5
 CELL, MOST_CELLS, SAMPLE_PER_CELL = 128, 4096, 40
@@ -30,6 +31,8 @@ PROBES, RERANK, SUBSPACES, CODES, BOOK_SAMPLE = 8, 48, 32, 64, 16_384
 #: A cell beyond the nearest is probed if its centroid is at least so near, as a share of the nearest one's cosine.
 NEAR = 0.7
 GROUP_ROWS, HOT = 6_000, 4_096
+#: Vectors from which a cell is divided into cells of its own of about `CELL`, of which a query probes `INNER_PROBES`.
+SPLIT, INNER_PROBES = 1_024, 12
 _SEED = 20
 
 
@@ -114,6 +117,12 @@ class Index:
         return np.stack([q[:, s * width : (s + 1) * width] @ b.T for s, b in enumerate(self.books)])
 
 
+def _nearest(x: np.ndarray, centres: np.ndarray, n: int) -> np.ndarray:
+    """The n centres nearest to each row, in blocks."""
+    n = min(n, len(centres))
+    return np.concatenate([np.argpartition(-(part @ centres.T), n - 1, axis=1)[:, :n] for part in np.array_split(x, max(1, len(x) // 8192))])
+
+
 def _search(index: Index, x: np.ndarray, home: np.ndarray, probes: list[np.ndarray], k: int, rerank: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query row, found row, cosine) of a group: the k best of each query over the cells it probes here."""
     ask = np.repeat(np.arange(len(x)), [len(p) for p in probes])
@@ -122,13 +131,10 @@ def _search(index: Index, x: np.ndarray, home: np.ndarray, probes: list[np.ndarr
     ask, cell = ask[order], cell[order]
     starts = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]]) if len(cell) else []
     found = []
-    for a, b in zip(starts, [*starts[1:], len(cell)]):
-        rows = np.flatnonzero(home == cell[a])
-        if not len(rows):
-            continue
-        codes = index.encode(x[rows] - index.centroids[cell[a]])
-        for lo in range(a, b, 2048):  # queries in blocks: memory stays bounded whatever the cell's popularity
-            q = ask[lo : min(lo + 2048, b)]
+
+    def score(q_all: np.ndarray, rows: np.ndarray, codes: np.ndarray) -> None:
+        for lo in range(0, len(q_all), 2048):  # queries in blocks: memory stays bounded whatever the cell's popularity
+            q = q_all[lo : lo + 2048]
             for c0 in range(0, len(rows), 4096):
                 some, code = rows[c0 : c0 + 4096], codes[c0 : c0 + 4096]
                 tables = index.tables(x[q])
@@ -142,6 +148,23 @@ def _search(index: Index, x: np.ndarray, home: np.ndarray, probes: list[np.ndarr
                 r = min(k, r)
                 top = np.argpartition(-exact, r - 1, axis=1)[:, :r]
                 found.append((np.repeat(q, r), some[np.take_along_axis(best, top, 1)].ravel(), np.take_along_axis(exact, top, 1).ravel()))
+
+    for a, b in zip(starts, [*starts[1:], len(cell)]):
+        rows = np.flatnonzero(home == cell[a])
+        if not len(rows):
+            continue
+        codes = index.encode(x[rows] - index.centroids[cell[a]])
+        if len(rows) <= SPLIT:
+            score(ask[a:b], rows, codes)
+            continue
+        inner = min(len(rows) // CELL, 1024)
+        centres = spherical_kmeans(x[rows[np.random.default_rng(_SEED).permutation(len(rows))[: inner * SAMPLE_PER_CELL]]], inner, 4)
+        own = _nearest(x[rows], centres, 1)[:, 0]
+        probed = _nearest(x[ask[a:b]], centres, INNER_PROBES)
+        for c in range(inner):
+            within = np.flatnonzero(own == c)
+            if len(within):
+                score(ask[a:b][(probed == c).any(axis=1)], rows[within], codes[within])
     if not found:
         e = np.empty(0, dtype=np.int64)
         return e, e, e.astype(np.float32)
@@ -181,12 +204,12 @@ def classes(rows: DataFrame, k: int = K, hot: int = HOT) -> tuple[DataFrame, Dat
     return per_class, beyond
 
 
-def neighbours(vetores: DataFrame, k: int = K, probes: int = PROBES, rerank: int = RERANK, dimension: int = DIMENSION, model: str = MODEL) -> DataFrame:
+def neighbours(vetores: DataFrame, k: int = K, probes: int = PROBES, rerank: int = RERANK, dimension: int = DIMENSION, model: str = MODEL, most_cells: int = MOST_CELLS) -> DataFrame:
     """(chunk_id, neighbour): the k ids nearest to every taking-part id."""
     rows = current(vetores, dimension, model)
     n = rows.count()
     per_class, beyond = classes(rows, k)
-    cells = max(1, min(MOST_CELLS, n // CELL))
+    cells = max(1, min(most_cells, n // CELL))
     wanted = cells * SAMPLE_PER_CELL
     sampled = rows.select("h", "vector").where(F.pmod(F.xxhash64("h"), F.lit(max(1, n // max(wanted, 1)))) == 0).limit(2 * wanted).toPandas()
     if not len(sampled):
@@ -221,13 +244,13 @@ def neighbours(vetores: DataFrame, k: int = K, probes: int = PROBES, rerank: int
         out += [(h[i], ids[i], []) for i in alone]
         return pd.DataFrame(out, columns=["h", "ids", "near"])
 
-    placed = spread(per_class).mapInPandas(assign, "g int, h bigint, ids array<string>, x binary, home int, probes array<int>")
+    placed = per_class.mapInPandas(assign, "g int, h bigint, ids array<string>, x binary, home int, probes array<int>")
     lists = placed.groupBy("g").applyInPandas(search, "h bigint, ids array<string>, near array<struct<d:double,id:string>>")
-    merged = lists.groupBy("h").agg(F.first("ids").alias("ids"), F.array_distinct(F.transform(F.array_sort(F.flatten(F.collect_list("near"))), lambda e: e["id"])).alias("near"))
-    own = merged.select(F.explode("ids").alias("chunk_id"), "ids", "near")
+    united = lists.groupBy("h").agg(F.first("ids").alias("ids"), F.array_distinct(F.transform(F.array_sort(F.flatten(F.collect_list("near"))), lambda e: e["id"])).alias("near"))
+    own = united.select(F.explode("ids").alias("chunk_id"), "ids", "near")
     others = F.array_distinct(F.concat(F.col("ids"), F.col("near")))
     first = own.select("chunk_id", F.explode(F.slice(F.filter(others, lambda e: e != F.col("chunk_id")), 1, k)).alias("neighbour"))
-    copies = beyond.join(per_class.select("h", "ids").where(F.size("ids") == k + 1), "h").where(~F.array_contains("ids", F.col("chunk_id")))
+    copies = beyond.join(merged(per_class.select("h", "ids").where(F.size("ids") == k + 1)), "h").where(~F.array_contains("ids", F.col("chunk_id")))
     return first.unionByName(copies.select("chunk_id", F.explode(F.slice("ids", 1, k)).alias("neighbour")))
 
 
