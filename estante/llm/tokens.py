@@ -102,13 +102,16 @@ def token_counts(documents: DataFrame, folder: str = FOLDER, name: str = VOCABUL
 # --- containers -----------------------------------------------------------------------------------------------------------
 
 CAPACITY, MOST_DOCUMENTS, SHARD = 2048, 512, 20_000
+#: The attention capacity of a container, as a share of the square of its tokens; beyond it a container that a long text all but fills takes no more.
+ATTENTION = 0.9
 #: Weights of the residual norm: tokens, places for documents, attention cost.
 WEIGHTS = (1.0, 0.02, 0.05)
 
 
 def best_fit(sizes: np.ndarray, capacity: int = CAPACITY, most: int = MOST_DOCUMENTS, attention: float | None = None, weights: tuple[float, ...] = WEIGHTS) -> np.ndarray:
-    """The container of every item, by vector best fit: largest first, each into the container whose weighted residual norm over tokens, places and attention cost is least after it, among those where every residual stays at 0 or more."""
-    attention = float(capacity) ** 2 if attention is None else attention
+    """The container of every item, by vector best fit: largest first, each into the container whose weighted residual norm over tokens, places and attention cost is least after it, among those where every residual stays at 0 or more. An item's attention cost is the square of its size, but never more than a container's capacity: an item
+    over that is alone in its container."""
+    attention = ATTENTION * capacity**2 if attention is None else float(attention)
     order = np.argsort(-sizes, kind="stable")
     cap = np.array([capacity, most, attention], dtype=float)
     w = (np.array(weights) / cap**2)[:, None]
@@ -119,7 +122,7 @@ def best_fit(sizes: np.ndarray, capacity: int = CAPACITY, most: int = MOST_DOCUM
     smallest = int(sizes.min()) if len(sizes) else 0
     for i in order:
         s = float(sizes[i])
-        need = np.array([s, 1.0, s * s])[:, None]
+        need = np.array([s, 1.0, min(s * s, attention)])[:, None]
         after = left[:, :live] - need
         fits = (after >= 0).all(axis=0)
         if fits.any():
@@ -131,7 +134,7 @@ def best_fit(sizes: np.ndarray, capacity: int = CAPACITY, most: int = MOST_DOCUM
             opened, live = opened + 1, live + 1
         left[:, k] -= need[:, 0]
         where[i] = ids[k]
-        if left[0, k] < smallest or left[1, k] < 1 or left[2, k] < smallest**2:  # nothing fits any more
+        if left[0, k] < smallest or left[1, k] < 1 or left[2, k] < min(smallest**2, attention):  # nothing fits any more
             live -= 1
             left[:, k], ids[k] = left[:, live], ids[live]
     return where
@@ -162,6 +165,13 @@ def fill_containers(documents: DataFrame, capacity: int = CAPACITY, most: int =
     return packed.unionByName(alone)
 
 
+def container_residuals(containers: DataFrame, capacity: int = CAPACITY, most: int = MOST_DOCUMENTS, attention: float | None = None) -> DataFrame:
+    """(container, tokens_left, places_left, attention_left) of every container, full ones included: what is unused of each capacity."""
+    limit = ATTENTION * capacity**2 if attention is None else float(attention)
+    cost = F.least(F.col("n_tokens").cast("double") * F.col("n_tokens"), F.lit(limit))
+    return containers.groupBy("container").agg((F.lit(capacity) - F.sum("n_tokens")).alias("tokens_left"), (F.lit(most) - F.count("*")).alias("places_left"), F.greatest(F.lit(0.0), F.lit(limit) - F.sum(cost)).alias("attention_left"))
+
+
 # --- pieces ---------------------------------------------------------------------------------------------------------------
 
 LIMIT, OVERLAP = 512, 64
@@ -177,8 +187,8 @@ _BOUNDARIES = [
 ]
 
 
-def boundaries(raw: bytes, ends: np.ndarray) -> tuple[np.ndarray, list[str]]:
-    """Token positions where the text can be cut, with the best kind of boundary there; wide gaps are filled with words, then tokens that end a character. ends: byte position after each token."""
+def boundaries(raw: bytes, ends: np.ndarray, limit: int = LIMIT, overlap: int = OVERLAP) -> tuple[np.ndarray, list[str]]:
+    """Token positions where the text can be cut, with the best kind of boundary there; gaps wider than a third of what a piece adds are filled with words, then tokens that end a character. ends: byte position after each token."""
     n = len(ends)
     kind: dict[int, str] = {}
 
@@ -193,7 +203,7 @@ def boundaries(raw: bytes, ends: np.ndarray) -> tuple[np.ndarray, list[str]]:
 
     for name in ("heading", "paragraph", "line", "sentence"):
         add(name)
-    widest = (LIMIT - OVERLAP) // 3
+    widest = max(1, (limit - overlap) // 3)
     for name in ("word", "token"):
         known = [0, *sorted(kind), n]
         for a, b in zip(known, known[1:]):
@@ -252,6 +262,9 @@ def split_oversized(documents: DataFrame, limit: int = LIMIT, overlap: int = OVE
     tokens at a piece's start is replaced by U+FFFD there, being whole in the piece before.
     """
 
+    if not 0 <= overlap < limit:
+        raise ValueError("the overlap must be less than the limit")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
         lengths = _token_lengths(folder, name)
         for b in batches:
@@ -262,7 +275,7 @@ def split_oversized(documents: DataFrame, limit: int = LIMIT, overlap: int = OVE
                     continue
                 ends = np.cumsum(lengths[np.array(ids)])
                 raw = text.encode("utf-8", "replace")
-                pieces = cut_positions(len(ids), *boundaries(raw, ends), limit, overlap)
+                pieces = cut_positions(len(ids), *boundaries(raw, ends, limit, overlap), limit, overlap)
                 for k, (s, e, kind) in enumerate(pieces):
                     rows.append((doc, k, len(pieces), s, e - s, kind, raw[ends[s - 1] if s else 0 : ends[e - 1]].decode("utf-8", "replace")))
             yield pa.RecordBatch.from_pandas(pd.DataFrame(rows, columns=["doc_id", "piece", "pieces", "first_token", "n_tokens", "ends_at", "text"]), schema=_PIECES, preserve_index=False)
