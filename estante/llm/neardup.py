@@ -1,14 +1,18 @@
 """Near-duplicate records by token-combination prefixes.
 
-A record is the set of its word shingles. Shingles have one global order, by rising frequency from a count sketch of fixed
-size (any order is right, a good one is fast), and three classes: rare shingles are indexed singly, frequent ones in pairs and very
-frequent ones in triples, each within hash buckets of its class. The prefix of a record is extended until more shingles than
-a similar record may lack would have to vanish to destroy all its combinations; two similar records then share at least
-one. Records that share a combination are verified on the whole sets if their sizes and parity bitmaps allow it: two bitmaps
-differ in at most as many bits as the sets in shingles, so this test loses nothing.
+A record is the set of its word shingles. Shingles have one global order, by rising frequency (any order is right, a good one is
+fast), and three classes: rare shingles are indexed singly, frequent ones in pairs and very frequent ones in triples, each within hash
+buckets of its class. The prefix of a record is extended until more shingles than a similar record may lack would have to vanish to
+destroy all its combinations; two similar records then share at least one. Records too small for three classes use two, rare
+shingles and pairs in one bucket; those that may meet such a record use both ways. Records that share a combination are verified
+on the whole sets if their sizes and parity bitmaps allow it: two bitmaps differ in at most as many bits as the sets in
+shingles, so this test loses nothing.
 
-Equal sets are indexed once, so copies produce no candidates. Records of few shingles, for which the extended prefix may not
-exist, meet each other (only) through plain prefixes of single shingles.
+Frequencies are counted in `CELLS` cells that stay distributed; the driver and the workers hold one bit a cell (does any other record have the
+shingle?) and the counts of the at most `HEAVY` fullest cells. The bounds of the classes follow the median count.
+
+Equal sets are indexed once, so copies produce no candidates. Joins are merge joins, whose skewed partitions Spark's adaptive
+execution splits; Spark's size estimates behind arrays and Python decide nothing.
 
 Defined cases: null name and text count as empty; a record with fewer words than a shingle is similar to none; repeated rows
 count once; an id delivered with several texts takes part with each; texts are read whole; an empty table gives no rows.
@@ -17,7 +21,10 @@ count once; an id delivered with several texts takes part with each; texts are r
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
+from functools import lru_cache
+from hashlib import blake2b
 from itertools import combinations
 
 import numpy as np
@@ -25,66 +32,129 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from estante.runtime import cut, spread
+from estante.runtime import cut, merged, spread
 
-#: Cells of the frequency sketch: 8 MB as broadcast, whatever the input.
-SKETCH = 1 << 21
-#: (greatest sketch count, shingles in a combination, hash buckets) of the classes.
+#: Cells of the frequency count; cells whose counts travel; slots that hold them.
+CELLS, HEAVY, SLOTS = 1 << 26, 1 << 19, 1 << 22
+#: (greatest count, shingles in a combination, hash buckets) of the classes, and those of small records.
 CLASSES = ((32, 1, 1), (1024, 2, 16), (2**62, 3, 4))
+SMALL_CLASSES = ((32, 1, 1), (2**62, 2, 1))
 #: Bits of the parity bitmap that goes with each signature, in longs.
 LONGS = 4
-_SLACK = sum((k - 1) * m for _, k, m in CLASSES)
-_MASK = (1 << 64) - 1
+#: Sets of equal shingles with more members than this have their pairs dealt over `SALTS` tasks.
+HOT, SALTS = 256, 32
+_WORD = re.compile(r"[^\W_]+")
+_A, _B, _SHIFT = (np.uint64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 29))
+
+
+def _fold(columns: list[np.ndarray], tag: int) -> np.ndarray:
+    """One 64-bit hash of each row of the columns."""
+    h = np.full(len(columns[0]), tag * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF, dtype=np.uint64)
+    for c in columns:
+        h ^= c.view(np.uint64)
+        h *= _A
+        h += _B
+        h ^= h >> _SHIFT
+    return h.view(np.int64)
 
 
-def shingles(text: Column, width: int) -> tuple[Column, Column]:
-    """The words of a text, and from a column "words" the sorted set of 64-bit hashes of its runs of `width` words."""
-    words = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
-    w = F.col("words")
-    runs = F.transform(F.sequence(F.lit(0), F.size(w) - width), lambda i: F.xxhash64(*[F.get(w, i + j) for j in range(width)]))
-    return words, F.array_sort(F.array_distinct(runs))
+def shingle_sets(records: DataFrame, key: str, text: Column, width: int) -> DataFrame:
+    """(key, sid, grams): the sorted set of 64-bit hashes of a text's runs of `width` words, and the set's own hash. Words are the longest runs
+    of letters and digits, in small letters."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            known: dict[str, int] = {}
+            keys, sids, sets = [], [], []
+            for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                words = _WORD.findall((t or "").lower())
+                if len(words) < width:
+                    continue
+                for w in [w for w in words if w not in known]:
+                    known[w] = int.from_bytes(blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+                ids = np.array([known[w] for w in words], dtype=np.int64)
+                grams = np.unique(_fold([ids[j : len(ids) - width + 1 + j] for j in range(width)], width))
+                keys.append(k)
+                sids.append(int.from_bytes(blake2b(grams.tobytes(), digest_size=8).digest(), "little", signed=True))
+                sets.append(grams)
+            offsets = np.zeros(len(sets) + 1, dtype=np.int32)
+            np.cumsum([len(g) for g in sets], out=offsets[1:])
+            flat = np.concatenate(sets) if sets else np.empty(0, dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, b.column(0).type), pa.array(sids, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=["key", "sid", "grams"])
 
-def _mix(*tokens: int) -> int:
-    h = len(tokens) * 0x9E3779B97F4A7C15
-    for t in tokens:
-        h = ((h ^ (t & _MASK)) * 0xBF58476D1CE4E5B9 + 0x94D049BB133111EB) & _MASK
-        h ^= h >> 29
-    return h - (1 << 64) if h >> 63 else h
+    kind = records.schema[key].dataType.simpleString()
+    return spread(records.select(F.col(key).alias("key"), text.alias("words"))).mapInArrow(run, f"key {kind}, sid bigint, grams array<bigint>")
 
 
-def small(threshold: float) -> int:
-    """Sizes up to this may lack an extended prefix."""
-    n = 1
-    while n - _SLACK < n - math.ceil(threshold * n - 1e-9) + 1:
+@lru_cache(maxsize=64)
+def lacking(threshold: float, classes: tuple) -> int:
+    """Sizes up to this may lack an extended prefix over the classes."""
+    slack, n = sum((k - 1) * m for _, k, m in classes), 1
+    while n - slack < n - math.ceil(threshold * n - 1e-9) + 1:
         n += 1
     return n - 1
 
 
-def signatures(grams: np.ndarray, counts: np.ndarray, threshold: float) -> list[int]:
-    """Hashes of the combinations in the extended prefix of a set, and of its plain prefix if the set may meet a small one. Shingles that occur in no other set (count 1) count in the prefix but need no entry."""
-    n, limit = len(grams), small(threshold)
-    spare = n - math.ceil(threshold * n - 1e-9)
+@lru_cache(maxsize=512)
+def _choose(n: int, k: int) -> np.ndarray:
+    return np.array(list(combinations(range(n), k)), dtype=np.int64).reshape(-1, k).T
+
+
+@lru_cache(maxsize=64)
+def _bounds(classes: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    most, ks, ms = zip(*classes)
+    return np.array(most, dtype=np.int64), np.array(ks), np.array(ms)
+
+
+def _starts(x: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin, and the end of the last."""
+    return np.concatenate(([0], np.flatnonzero(x[1:] != x[:-1]) + 1, [len(x)]))
+
+
+def _extended(tag: int, g: np.ndarray, c: np.ndarray, missing: int, classes: tuple) -> list[np.ndarray]:
+    """The hashed combinations of the extended prefix. g, c: shingles and their counts in the global order. Shingles that occur in no other set (count 1) count in the prefix but need no entry."""
+    singles = min(int(np.searchsorted(c, classes[0][0], side="right")), missing)
+    out = [_fold([g[:singles][c[:singles] > 1]], tag)]
+    missing -= singles
+    if not missing or singles == len(g):
+        return out
+    most, ks, ms = _bounds(classes)
+    g, kind = g[singles:], np.searchsorted(most, c[singles:])
+    bucket = kind * 64 + (g >> 17) % ms[kind]
+    # a shingle adds to the prefix if its bucket holds k - 1 others before it
+    order = np.argsort(bucket, kind="stable")
+    starts = _starts(bucket[order])
+    place = np.empty(len(g), dtype=np.int64)
+    place[order] = np.arange(len(g)) - np.repeat(starts[:-1], starts[1:] - starts[:-1])
+    end = int(np.searchsorted(np.cumsum(place >= ks[kind] - 1), missing)) + 1
+    g, bucket = g[:end], bucket[:end]
+    order = np.lexsort((g, bucket))
+    g, bucket = g[order], bucket[order]
+    starts = _starts(bucket).tolist()
+    chosen: dict[int, list[np.ndarray]] = {}
+    for a, b in zip(starts, starts[1:]):
+        k = int(ks[bucket[a] // 64])
+        if b - a >= k:
+            chosen.setdefault(k, []).append(_choose(b - a, k) + a)
+    for k, places in chosen.items():
+        out.append(_fold(list(g[np.concatenate(places, axis=1)]), tag + k))
+    return out
+
+
+def signatures(grams: np.ndarray, counts: np.ndarray, threshold: float, classes: tuple = CLASSES, small_classes: tuple = SMALL_CLASSES) -> np.ndarray:
+    """Hashes of the combinations in the extended prefix of a set, by the classes for its size and, if it may meet a smaller one, by those for that."""
+    n, limit, tiny = len(grams), lacking(threshold, classes), lacking(threshold, small_classes)
+    missing = n - math.ceil(threshold * n - 1e-9) + 1
     order = np.lexsort((grams, counts))
-    g, c = grams[order].tolist(), counts[order].tolist()
+    g, c = grams[order], counts[order]
     out = []
-    if n * threshold <= limit + 1e-9:
-        out += [_mix(0, t) for t, count in zip(g[: spare + 1], c) if count > 1]
+    if n * threshold <= tiny + 1e-9:
+        out.append(_fold([g[:missing][c[:missing] > 1]], 1))
+    if n > tiny and n * threshold <= limit + 1e-9:
+        out += _extended(16, g, c, missing, small_classes)
     if n > limit:
-        held: dict[tuple[int, int], list[int]] = {}
-        missing = spare + 1
-        for t, count in zip(g, c):
-            k, m = next((k, m) for most, k, m in CLASSES if count <= most)
-            bucket = held.setdefault((k, (t >> 17) % m), [])
-            if k > 1 or count > 1:
-                bucket.append(t)
-            if k == 1 or len(bucket) >= k:
-                missing -= 1
-                if missing == 0:
-                    break
-        for (k, _), bucket in held.items():
-            out += [_mix(k, *sorted(x)) for x in combinations(bucket, k)] if k > 1 else [_mix(1, t) for t in bucket]
-    return out
+        out += _extended(32, g, c, missing, classes)
+    return np.concatenate(out) if out else np.empty(0, dtype=np.int64)
 
 
 def parity(grams: np.ndarray) -> np.ndarray:
@@ -93,63 +163,136 @@ def parity(grams: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
-def frequency_sketch(sets: DataFrame, cells: int = SKETCH) -> np.ndarray:
-    """How often each hash cell occurs over all sets. At most `cells` rows reach the driver."""
-    counts = sets.select(F.explode("grams").alias("g")).groupBy(F.pmod("g", F.lit(cells)).cast("int").alias("cell")).count().toArrow()
-    sketch = np.zeros(cells, dtype=np.int64)
-    sketch[counts.column("cell").to_numpy()] = counts.column("count").to_numpy()
-    return np.minimum(sketch, np.iinfo(np.int32).max).astype(np.int32)
+class Frequency:
+    """How often shingles occur: 1 for those of one set only, else 2, or the count of their cell if it is among the fullest. At most CELLS / 64 + HEAVY short rows reach the driver, whatever the input."""
+
+    def __init__(self, sets: DataFrame) -> None:
+        cells = cut(sets.select(F.explode("grams").alias("g")).groupBy(F.pmod("g", F.lit(CELLS)).cast("int").alias("cell")).agg(F.count("*").alias("n")).where("n > 1"))
+        powers = sorted((r.p, r.k) for r in cells.groupBy(F.floor(F.log2("n")).cast("int").alias("p")).agg(F.count("*").alias("k")).collect())
+        total, above, least, median = sum(k for _, k in powers), 0, 63, 1
+        for p, k in reversed(powers):
+            if above + k > HEAVY:
+                break
+            above, least = above + k, p
+        seen = 0
+        for p, k in powers:
+            seen += k
+            if 2 * seen >= total:
+                median = 1 << p
+                break
+        rare, frequent = max(CLASSES[0][0], 4 * median), max(CLASSES[1][0], 128 * median)
+        self.classes = ((rare, *CLASSES[0][1:]), (frequent, *CLASSES[1][1:]), CLASSES[2])
+        self.small_classes = ((rare, *SMALL_CLASSES[0][1:]), SMALL_CLASSES[1])
+        words = cells.groupBy(F.expr("cell div 64").cast("int").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cell % 64))").alias("b")).toArrow()
+        self.bits = np.zeros(CELLS // 64, dtype=np.uint64)
+        self.bits[words.column("w").to_numpy()] = words.column("b").to_numpy().view(np.uint64)
+        full = cells.where(F.col("n") >= 2.0**least).toArrow()
+        self.slots = np.zeros(SLOTS, dtype=np.uint32)
+        np.maximum.at(self.slots, full.column("cell").to_numpy() % SLOTS, np.minimum(full.column("n").to_numpy(), 2**32 - 1).astype(np.uint32))
+
+    def counts(self, grams: np.ndarray) -> np.ndarray:
+        cell = np.mod(grams, CELLS)
+        shared = (self.bits[cell >> 6] >> (cell & 63).astype(np.uint64)) & np.uint64(1)
+        return np.where(shared > 0, np.maximum(2, self.slots[cell % SLOTS].astype(np.int64)), 1)
 
 
 def similar_sets(sets: DataFrame, threshold: float) -> DataFrame:
     """(a, b, similarity) of every two sets (sid, grams) at or over the threshold, a < b."""
     names = [f"p{i}" for i in range(LONGS)]
-    sketch = sets.sparkSession.sparkContext.broadcast(frequency_sketch(sets))
-
+    frequency = sets.sparkSession.sparkContext.broadcast(Frequency(sets))
     share = (1 - threshold) / (1 + threshold)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = sketch.value
+        f = frequency.value
         for b in batches:
-            sid, size, sig, bits = [], [], [], []
-            for s, grams in zip(b.column(0).to_pylist(), b.column(1)):
-                g = grams.values.to_numpy()
-                got = signatures(g, counts[np.mod(g, len(counts))], threshold)
-                sig += got
-                sid += [s] * len(got)
-                size += [len(g)] * len(got)
-                bits.append(np.repeat(parity(g)[:, None], len(got), axis=1))
-            longs = np.concatenate(bits, axis=1) if bits else np.empty((LONGS, 0), dtype=np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(sig, pa.int64()), pa.array(sid, pa.int64()), pa.array(size, pa.int32()), *map(pa.array, longs)], names=["sig", "sid", "size", *names])
+            sets_ = [grams.values.to_numpy() for grams in b.column(1)]
+            flat = f.counts(np.concatenate(sets_)) if sets_ else np.empty(0, dtype=np.int64)
+            ends = np.cumsum([len(g) for g in sets_]).tolist()
+            got = [signatures(g, flat[e - len(g) : e], threshold, f.classes, f.small_classes) for g, e in zip(sets_, ends)]
+            n = [len(x) for x in got]
+            sig = np.concatenate(got) if got else np.empty(0, dtype=np.int64)
+            longs = np.repeat(np.stack([parity(g) for g in sets_], axis=1), n, axis=1) if sets_ else np.empty((LONGS, 0), dtype=np.int64)
+            size = np.repeat(np.array([len(g) for g in sets_], dtype=np.int32), n)
+            yield pa.RecordBatch.from_arrays([pa.array(sig, pa.int64()), pa.array(np.repeat(b.column(0).to_numpy(), n), pa.int64()), pa.array(size, pa.int32()), *map(pa.array, longs)], names=["sig", "sid", "size", *names])
 
     signed = spread(sets.select("sid", "grams")).mapInArrow(sign, "sig bigint, sid bigint, size int, " + ", ".join(f"{x} bigint" for x in names))
     left = signed.select("sig", F.col("sid").alias("a"), F.col("size").alias("na"), *[F.col(x).alias(f"{x}a") for x in names])
     right = signed.select("sig", F.col("sid").alias("b"), F.col("size").alias("nb"), *[F.col(x).alias(f"{x}b") for x in names])
     apart = sum((F.bit_count(F.col(f"{x}a").bitwiseXOR(F.col(f"{x}b"))) for x in names), F.lit(0))
     allowed = (F.col("a") < F.col("b")) & (F.col("na") >= threshold * F.col("nb") - 1e-9) & (F.col("nb") >= threshold * F.col("na") - 1e-9) & (apart <= share * (F.col("na") + F.col("nb")) + 1e-9)
-    pairs = left.join(right, "sig").where(allowed).select("a", "b").distinct()
-    whole = pairs.join(sets.select(F.col("sid").alias("a"), F.col("grams").alias("ga")), "a").join(sets.select(F.col("sid").alias("b"), F.col("grams").alias("gb")), "b")
+    pairs = left.join(merged(right), "sig").where(allowed).select("a", "b").distinct()
+    whole = pairs.join(merged(sets.select(F.col("sid").alias("a"), F.col("grams").alias("ga"))), "a").join(merged(sets.select(F.col("sid").alias("b"), F.col("grams").alias("gb"))), "b")
     common = whole.select("a", "b", F.size(F.array_intersect("ga", "gb")).alias("both"), (F.size("ga") + F.size("gb")).alias("total"))
     return common.where(F.col("both") >= threshold * (F.col("total") - F.col("both")) - 1e-9).select("a", "b", (F.col("both") / (F.col("total") - F.col("both"))).alias("similarity"))
 
 
 def near_duplicates(records: DataFrame, key: str, text: Column, threshold: float = 0.8, width: int = 5) -> tuple[DataFrame, DataFrame]:
     """Membership (key, sid): which set of shingles each record has; and the similar sets (a, b, similarity)."""
-    words, grams = shingles(text, width)
-    each = records.select(F.col(key).alias("key"), words.alias("words")).where(F.size("words") >= width).select("key", grams.alias("grams"))
-    each = each.select("key", F.xxhash64("grams").alias("sid"), "grams")
+    each = cut(shingle_sets(records, key, text, width))
     # equal sets meet after a map-side aggregation: copies, however many, send one array per task
     sets = cut(each.groupBy("sid").agg(F.first("grams").alias("grams")))
-    members = cut(each.select("key", "sid").distinct())
-    return members, similar_sets(sets, threshold)
+    return each.select("key", "sid").distinct(), similar_sets(sets, threshold)
+
+
+def _name_and_text() -> Column:
+    return F.concat(F.coalesce("entity_name", F.lit("")), F.lit(" "), F.coalesce("text", F.lit("")))
 
 
 def near_duplicate_pairs(chunks: DataFrame, threshold: float = 0.6, width: int = 3) -> DataFrame:
-    """Each pair of different chunk ids whose name and text are similar, the smaller id first."""
-    text = F.concat(F.coalesce("entity_name", F.lit("")), F.lit(" "), F.coalesce("text", F.lit("")))
-    members, similar = near_duplicates(chunks.where(F.col("chunk_id").isNotNull()), "chunk_id", text, threshold, width)
+    """Each pair of different chunk ids whose name and text are similar, the smaller id first. The pairs within a large group of equal sets, which its
+    size bounds from below, are dealt over tasks by salt."""
+    members, similar = near_duplicates(chunks.where(F.col("chunk_id").isNotNull()), "chunk_id", _name_and_text(), threshold, width)
+    members, similar = cut(members), cut(similar)
+    often = members.groupBy("sid").agg(F.count("*").alias("n")).where("n > 1")
+    salts = F.when(F.col("n") > HOT, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    salt = F.when(F.col("n") > HOT, F.pmod(F.xxhash64("x"), F.lit(SALTS)).cast("int")).otherwise(0)
+    copies = members.join(merged(often), "sid")
+    one, other = copies.select("sid", F.col("key").alias("x"), "n").select("sid", "x", salt.alias("salt")), copies.select("sid", F.col("key").alias("y"), F.explode(salts).alias("salt"))
+    within = one.join(merged(other), ["sid", "salt"]).where("x < y").select("x", "y")
     left, right = members.select(F.col("key").alias("x"), F.col("sid").alias("a")), members.select(F.col("key").alias("y"), F.col("sid").alias("b"))
-    across = similar.join(left, "a").join(right, "b").select("x", "y").where("x <> y")
-    within = left.join(right, left["a"] == right["b"]).where("x < y").select("x", "y")
-    ordered = across.select(F.least("x", "y").alias("chunk_a"), F.greatest("x", "y").alias("chunk_b"))
-    return ordered.unionByName(within.select(F.col("x").alias("chunk_a"), F.col("y").alias("chunk_b"))).distinct()
+    across = similar.join(merged(left), "a").join(merged(right), "b").where("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+    return across.unionByName(within).distinct().select(F.col("x").alias("chunk_a"), F.col("y").alias("chunk_b"))
+
+
+def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
+    """(node, root): each node of the links (a, b) with the least node that links lead to. Links are turned in turn towards the least neighbour of
+    their larger and of their smaller end, which takes about log(nodes) rounds; each round is written to the checkpoint folder and no node's links are gathered in one row."""
+    edges = cut(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    before = None
+    for _ in range(most_rounds):
+        both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        large = both.join(merged(least), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(merged(low), "u")
+        edges = cut(small.select("u", F.col("m").alias("v")).unionByName(small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct())
+        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if now == before:
+            break
+        before = now
+    else:
+        raise RuntimeError("links do not settle; give more rounds")
+    roots = edges.select(F.col("v").alias("node")).distinct()
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots.select("node", F.col("node").alias("root")))
+
+
+def near_duplicate_groups(chunks: DataFrame, threshold: float = 0.6, width: int = 3) -> DataFrame:
+    """(chunk_id, classe, ligacoes): every chunk id, the least id of its group, and how many other ids it is similar to. Groups are what similar chunks
+    connect; copies are counted by their set, never paired. A chunk that is similar to none is its own class."""
+    rows = chunks.where(F.col("chunk_id").isNotNull())
+    members, similar = near_duplicates(rows, "chunk_id", _name_and_text(), threshold, width)
+    members, similar = cut(members), cut(similar)
+    size = cut(members.groupBy("sid").agg(F.count("*").alias("n"), F.min("key").alias("least")))
+    ways = similar.select(F.col("a").alias("sid"), F.col("b").alias("o")).unionByName(similar.select(F.col("b").alias("sid"), F.col("a").alias("o")))
+    linked = ways.join(merged(size.select(F.col("sid").alias("o"), F.col("n").alias("k"))), "o").groupBy("sid").agg(F.sum("k").alias("k"))
+    named = members.join(merged(size.join(merged(linked), "sid", "left").select("sid", "least", (F.col("n") - 1 + F.coalesce("k", F.lit(0))).alias("k"))), "sid")
+    firsts = size.select("sid", "least")
+    ends = similar.join(merged(firsts.select(F.col("sid").alias("a"), F.col("least").alias("x"))), "a").join(merged(firsts.select(F.col("sid").alias("b"), F.col("least").alias("y"))), "b")
+    links = ends.select(F.col("x").alias("a"), F.col("y").alias("b")).unionByName(named.select(F.col("key").alias("a"), F.col("least").alias("b")))
+    group = components(links)
+    return (
+        rows.select("chunk_id").distinct()
+        .join(merged(group.withColumnRenamed("node", "chunk_id")), "chunk_id", "left")
+        .join(merged(named.groupBy(F.col("key").alias("chunk_id")).agg(F.sum("k").alias("k"))), "chunk_id", "left")
+        .select("chunk_id", F.coalesce("root", "chunk_id").alias("classe"), F.coalesce("k", F.lit(0)).cast("bigint").alias("ligacoes"))
+    )

@@ -34,6 +34,10 @@ def p5_found(spark, d):
     return neardup.near_duplicate_pairs(table(spark, d, "chunks"))
 
 
+def p5_groups(spark, d):
+    return neardup.near_duplicate_groups(table(spark, d, "chunks"))
+
+
 def p6_found(spark, d):
     return vectors.neighbours_found(table(spark, d, "vetores"))
 
@@ -62,7 +66,14 @@ def p10_pieces(spark, d):
     return tokens.split_oversized(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_repaired, p3_found, p3_ranking, p4_found, p4_clean, p5_found, p6_found, p7_found, p7_restored, p8_ids, p9_containers, p10_found, p10_pieces)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_repaired, p3_found, p3_ranking, p4_found, p4_clean, p5_found, p5_groups, p6_found, p7_found, p7_restored, p8_ids, p9_containers, p10_found, p10_pieces)}
+
+_PAIRS = r"""
+        WITH w AS (SELECT DISTINCT chunk_id, regexp_extract_all(lower(coalesce(entity_name, '') || ' ' || coalesce(text, '')), '[\p{L}\p{N}]+') AS w FROM chunks),
+        g AS (SELECT DISTINCT chunk_id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS g FROM w),
+        n AS (SELECT chunk_id, count(*) AS n FROM g GROUP BY 1),
+        p AS (SELECT a.chunk_id AS a, b.chunk_id AS b, count(*) AS k FROM g a JOIN g b ON a.g = b.g AND a.chunk_id < b.chunk_id GROUP BY 1, 2)
+        SELECT a AS chunk_a, b AS chunk_b FROM p JOIN n x ON x.chunk_id = a JOIN n y ON y.chunk_id = b WHERE k >= 0.6 * (x.n + y.n - k) - 1e-9"""
 
 SQL = {
     # the definition of the chunks that head a ranking beyond dispute, stated on the ranks alone
@@ -72,10 +83,11 @@ SQL = {
         SELECT query_id, chunk_id FROM r GROUP BY 1, 2
         HAVING count(*) = 3 AND max(rank) <= 2 AND count(*) FILTER (WHERE rank = 1) >= 2""",
     # every pair that shares a sequence of words, counted out
-    "p5_found": r"""
-        WITH w AS (SELECT DISTINCT chunk_id, regexp_extract_all(lower(coalesce(entity_name, '') || ' ' || coalesce(text, '')), '[\p{L}\p{N}]+') AS w FROM chunks),
-        g AS (SELECT DISTINCT chunk_id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS g FROM w),
-        n AS (SELECT chunk_id, count(*) AS n FROM g GROUP BY 1),
-        p AS (SELECT a.chunk_id AS a, b.chunk_id AS b, count(*) AS k FROM g a JOIN g b ON a.g = b.g AND a.chunk_id < b.chunk_id GROUP BY 1, 2)
-        SELECT a AS chunk_a, b AS chunk_b FROM p JOIN n x ON x.chunk_id = a JOIN n y ON y.chunk_id = b WHERE k >= 0.6 * (x.n + y.n - k) - 1e-9""",
+    "p5_found": _PAIRS,
+    # groups: the least id that a walk along pairs reaches
+    "p5_groups": f"""
+        WITH RECURSIVE pairs AS ({_PAIRS}),
+        e AS (SELECT chunk_a AS u, chunk_b AS v FROM pairs UNION SELECT chunk_b, chunk_a FROM pairs),
+        walk(node, seen) AS (SELECT DISTINCT chunk_id, chunk_id FROM chunks WHERE chunk_id IS NOT NULL UNION SELECT walk.node, e.v FROM walk JOIN e ON e.u = walk.seen)
+        SELECT walk.node AS chunk_id, min(seen) AS classe, (SELECT count(*) FROM e WHERE e.u = walk.node) AS ligacoes FROM walk GROUP BY walk.node""",
 }
