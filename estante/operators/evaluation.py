@@ -215,3 +215,83 @@ def unknown_ids(wanted: DataFrame, asked: DataFrame, key: str = "query_id") -> D
 def summary(asked: DataFrame) -> DataFrame:
     """Counts by type and answerability."""
     return asked.groupBy("type", "answerable").agg(F.count("*").cast("bigint").alias("n"), F.countDistinct("id").cast("bigint").alias("ids"))
+
+
+# --- a run ----------------------------------------------------------------------------------------------------------------
+
+#: Answers with passages and without.
+WITH, WITHOUT = "com", "sem"
+
+
+def clamp_run(rounds: int, depth: int) -> tuple[int, int]:
+    """At least one round and a depth of eight."""
+    return max(1, rounds), max(8, depth)
+
+
+def usable(asked: DataFrame, issues: DataFrame) -> DataFrame:
+    """The questions whose line has no error."""
+    return asked.join(issues.where("severity = 'error'").select("line_no").distinct(), "line_no", "left_anti")
+
+
+def invalid_ids(perguntas: DataFrame) -> DataFrame:
+    """(severity, line_no, code, detail) of every part of the chunk references that is no id, in the form of `validate`."""
+    parts = F.array_distinct(F.filter(F.split("chunks_referencia", r"[\s;|,]+"), lambda p: (p != "") & ~p.rlike(UUID)))
+    return perguntas.select(F.lit("error").alias("severity"), "line_no", F.lit("invalid chunk id").alias("code"), F.explode(parts).alias("detail"))
+
+
+def top_passages(hits: DataFrame, asked: DataFrame, k: int = 8) -> DataFrame:
+    """(query_id, strategy, rank, chunk_id, score, is_reference): the record of a list's first passages, scores rounded half-even at six places."""
+    refs = asked.select("query_id", F.explode("chunk_ids").alias("chunk_id")).distinct().withColumn("is_reference", F.lit(True))
+    top = hits.where(F.col("rank") <= k).select("query_id", "strategy", "rank", "chunk_id", F.bround("score", 6).alias("score"))
+    return top.join(refs, ["query_id", "chunk_id"], "left").withColumn("is_reference", F.coalesce("is_reference", F.lit(False)))
+
+
+def run_plan(asked: DataFrame, strategies: list[str], rounds: int = 1) -> DataFrame:
+    """(query_id, step, strategy, mode, round, chunk_ids): what a run does with each question: a search by every strategy, then in every round an answer with
+    passages and one without. A question that is not answerable has no references."""
+    searches = [F.struct(F.lit("search").alias("step"), F.lit(x).alias("strategy"), F.lit(None).cast("string").alias("mode"), F.lit(0).alias("round")) for x in strategies]
+    answers = [F.struct(F.lit("answer").alias("step"), F.lit(None).cast("string").alias("strategy"), F.lit(m).alias("mode"), F.lit(r).alias("round")) for r in range(1, clamp_run(rounds, 8)[0] + 1) for m in (WITH, WITHOUT)]
+    refs = F.when(F.col("answerable"), F.col("chunk_ids")).otherwise(F.array().cast("array<string>"))
+    return asked.select("query_id", refs.alias("chunk_ids"), F.explode(F.array(*searches, *answers)).alias("s")).select("query_id", "s.*", "chunk_ids")
+
+
+def source_measures(answers: DataFrame, asked: DataFrame) -> DataFrame:
+    """(query_id, mode, level, precision, recall, f1, any_correct, no_citation) of the cited sources. answers: (query_id, mode, chunks, intervals, books), what each cites;
+    asked: (query_id, chunk_ids, pages). The five rows of the report: chunks with passages only, pages and books in both modes; those skip questions without reference pages."""
+    books = F.transform("pages", lambda p: p["book"])
+    each = F.array(
+        F.struct(F.lit("chunk").alias("level"), prf_sets(F.col("chunks"), F.col("chunk_ids")).alias("m")),
+        F.struct(F.lit("page").alias("level"), prf_pages(F.col("intervals"), F.col("pages")).alias("m")),
+        F.struct(F.lit("book").alias("level"), prf_sets(F.col("books"), books).alias("m")),
+    )
+    rows = answers.join(asked.select("query_id", "chunk_ids", "pages"), "query_id").select("query_id", "mode", F.size("pages").alias("n_pages"), F.explode(each).alias("e"))
+    kept = rows.where(F.when(F.col("e.level") == "chunk", F.col("mode") == WITH).otherwise(F.col("n_pages") > 0))
+    return kept.select("query_id", "mode", "e.level", "e.m.*")
+
+
+def source_report(measures: DataFrame) -> DataFrame:
+    mean = lambda c: F.round(F.coalesce(F.avg(c), F.lit(0.0)), 6).alias(c)
+    return measures.groupBy("mode", "level").agg(F.count("*").cast("bigint").alias("n"), mean("precision"), mean("recall"), mean("f1"), F.count_if("any_correct").cast("bigint").alias("any_correct"), F.count_if("no_citation").cast("bigint").alias("no_citation"))
+
+
+def performance(runs: DataFrame, by: str) -> DataFrame:
+    """Times and tokens by strategy or mode: n, mean, p50, p95 of the seconds (an answer's are those of search and generation), and the tokens' totals and means.
+    runs: (by, search_seconds, answer_seconds, tokens_in, tokens_out, tokens_reasoning), nulls counting as nothing."""
+    timed = runs.withColumn("seconds", F.coalesce("search_seconds", F.lit(0.0)) + F.coalesce("answer_seconds", F.lit(0.0)))
+    tokens = [m for c in ("tokens_in", "tokens_out", "tokens_reasoning") for m in (F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(c), F.round(F.coalesce(F.avg(c), F.lit(0.0)), 6).alias(f"mean_{c}"))]
+    return timed.groupBy(by).agg(F.count("*").cast("bigint").alias("n"), F.round(F.avg("seconds"), 6).alias("mean"), nearest_rank("seconds", 0.5).alias("p50"), nearest_rank("seconds", 0.95).alias("p95"), *tokens)
+
+
+def error_table(ranks: DataFrame, strategies: list[str], shown: DataFrame, cited: DataFrame, asked: DataFrame) -> DataFrame:
+    """One row per question: the first reference rank by each strategy, whether a reference is among the passages shown to the generator, and whether the answer cites one.
+    shown, cited: (query_id, chunk_id) of the first round's answers with passages."""
+    refs = asked.select("query_id", F.explode("chunk_ids").alias("chunk_id")).distinct()
+    flag = lambda df, name: df.join(refs, ["query_id", "chunk_id"], "left_semi").select("query_id").distinct().withColumn(name, F.lit(True))
+    wide = ranks.groupBy("query_id", "type").agg(*[F.min(F.when(F.col("strategy") == s, F.col("first_rank"))).alias(s) for s in strategies])
+    both = wide.join(flag(shown, "in_passages"), "query_id", "left").join(flag(cited, "is_cited"), "query_id", "left")
+    return both.fillna(False, ["in_passages", "is_cited"])
+
+
+def rounds_of(records: DataFrame) -> int:
+    """How many rounds a run has: the greatest that is recorded, at least 1."""
+    return max(1, records.agg(F.max("round").alias("r")).first()["r"] or 0)

@@ -1,7 +1,7 @@
 """Several values packed in one field, split into one row per value with its position.
 
 Ordinary characters are masked to a delimiter skeleton (`a` a run of letters, `9` a run of digits, `U` a UUID, everything
-else as it is). A splitting rule is resolved once per distinct skeleton, and the rules are joined back (broadcast while few)
+else as it is). A splitting rule is resolved once per distinct skeleton, and the rules are joined back (broadcast while few and small, else by a salted join)
 and applied by position to the field's own tokens.
 
 Defined cases: a null, empty or value-less field gives no rows; a quoted part is one value whatever it contains, its doubled
@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from estante.runtime import cut, maybe_broadcast
+from estante.runtime import cut, fits, merged
 
 #: A token of a field: a UUID, a run of letters, a run of digits, or one other character.
 TOKEN = r"(?s)[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}|[\p{L}\p{M}]+|\p{Nd}+|."
@@ -26,6 +26,8 @@ TOKEN = r"(?s)[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}|[\p{L}\p{M}]+
 _BARE = re.compile(r"U|[ae](?:[ae9.&_'-]| (?=[ae])(?!e ))*: ?9(?: ?[-–—] ?9)?")
 _PLAIN = re.compile(r"\s*(?:U|\S.*:\s*9(?:\s*[-–—]\s*9)?)\s*", re.S)
 _AFTER = re.compile(r"[^\w]|$")
+#: Tasks over which the rows of a skeleton are dealt if the rules are too many to be broadcast.
+SALTS = 16
 RULE = "skeleton string, parts array<struct<first:int,length:int,quote:string>>"
 
 
@@ -94,7 +96,12 @@ def split_packed(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
         .withColumn("skeleton", skeleton(F.col("partes")))
     )
     rules = cut(long.select("skeleton").distinct().mapInPandas(_resolve_all, RULE).where(F.size("parts") > 0))
-    placed = long.join(maybe_broadcast(rules), "skeleton").select("chave_linha", "campo", "partes", F.size("parts").cast("bigint").alias("n"), F.posexplode("parts").alias("i", "r"))
+    if fits(rules):
+        held = long.join(F.broadcast(rules), "skeleton")
+    else:  # the commonest skeleton is dealt over `SALTS` tasks
+        salted = rules.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        held = long.withColumn("salt", F.pmod(F.xxhash64("chave_linha"), F.lit(SALTS)).cast("int")).join(merged(salted), ["skeleton", "salt"])
+    placed = held.select("chave_linha", "campo", "partes", F.size("parts").cast("bigint").alias("n"), F.posexplode("parts").alias("i", "r"))
     raw = F.array_join(F.slice("partes", F.col("r.first"), F.col("r.length")), "")
     value = F.when(F.col("r.quote") == "", raw).otherwise(F.replace(raw, F.concat("r.quote", "r.quote"), F.col("r.quote")))
     return placed.select(F.col("chave_linha").alias(key), "campo", (F.col("i") + 1).cast("bigint").alias("posicao"), value.alias("valor"), "n")

@@ -49,6 +49,22 @@ def extractive(instructions: str, prompts_: list[str]) -> list[str]:
     return [(p.split("\n[1] ", 1)[1].split("\n", 2)[1][:200] + " [1]") if "\n[1] " in p else "Não consta." for p in prompts_]
 
 
+def closed_book(instructions: str, prompts_: list[str]) -> list[str]:
+    """The local stand-in without passages: a book and a page that follow from the prompt's length."""
+    return [f"Segundo o que sei, veja (Livro do Jogador, p. {len(p) % 40 + 1})." for p in prompts_]
+
+
+def answers_alone(questions: DataFrame, generator: Generator = closed_book, instructions: str = INSTRUCTIONS_ALONE) -> DataFrame:
+    """(query_id, answer) of the generator without passages; a null question is not asked."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield b[["query_id"]].assign(answer=generator(instructions, list(b["prompt"])))
+
+    asked = questions.where("query_text is not null").select("query_id", prompt_alone(F.col("query_text")).alias("prompt"))
+    return asked.mapInPandas(run, "query_id string, answer string")
+
+
 def answers(prompted: DataFrame, generator: Generator, instructions: str = INSTRUCTIONS) -> DataFrame:
     """(query_id, passages, answer, note). Without passage the generator is not called."""
 

@@ -82,6 +82,18 @@ def chunk_run_stats(spark, d):
     return chunking.run_statistics(chunking.diagnose(table(spark, d, "chunks")))
 
 
+def chunk_run_report(spark, d):
+    return chunking.run_report(chunking.diagnose(table(spark, d, "chunks").distinct()))
+
+
+def chunk_problems(spark, d):
+    return chunking.problem_chunks(chunking.diagnose(table(spark, d, "chunks").distinct())).distinct()
+
+
+def chunk_boundaries(spark, d):
+    return chunking.boundary_dump(table(spark, d, "chunks")).distinct()
+
+
 def filter_type_and_text(spark, d):
     c = table(spark, d, "chunks")
     return c.where(~F.col("is_fallback") & (F.lower("text").contains("lanterna") | F.lower(F.coalesce("entity_name", F.lit(""))).contains("lanterna"))).select("chunk_id", "ordinal", "entity_name")
@@ -106,6 +118,13 @@ def page_lookup(spark, d):
     return search.on_page(table(spark, d, "chunks"), "jogador", 50).select("chunk_id", "ordinal", "page_start", "page_end")
 
 
+def page_lookup_all(spark, d):
+    """How many chunks of each book stand on the first page of each document's entry: a look-up for every (book, page) that documents name."""
+    asked = table(spark, d, "documents").where("source is not null and page is not null").select(F.col("source").alias("book"), "page").distinct()
+    held = table(spark, d, "chunks").where("page_start is not null").select("chunk_id", "book", F.explode(F.sequence("page_start", F.greatest("page_start", F.coalesce("page_end", "page_start")))).alias("page"))
+    return held.join(asked, ["book", "page"]).groupBy("book", "page").agg(F.countDistinct("chunk_id").cast("bigint").alias("chunks"))
+
+
 def substring_search(spark, d):
     return search.containing(table(spark, d, "chunks"), "GUARDIÃ das marés").select("chunk_id", "ordinal")
 
@@ -120,6 +139,13 @@ _FLAGS = """SELECT book, chunk_id, ordinal, entity_name, is_fallback, starts_wit
     len(regexp_extract_all(text, '(?i)<table')) <> len(regexp_extract_all(text, '(?i)</table>')) AS is_cut_table,
     coalesce(length(trim(entity_name)) BETWEEN 2 AND 60 AND regexp_matches(upper(trim(entity_name)), '^[\\p{Lu}0-9][\\p{Lu}0-9 ,''/()+\\-\\.À-ſ]{1,58}$') AND NOT contains(trim(entity_name), '  '), false) AS is_clean_name FROM chunks"""
 
+_SUSPICIOUS = (
+    _FLAGS.replace("SELECT book,", r"""SELECT coalesce(NOT is_fallback AND NOT lead(is_fallback) OVER w AND lead(entity_name) OVER w IS NOT NULL
+        AND NOT (regexp_matches(regexp_replace(text, '\s+$', ''), '(?i)[.!?:;"''’)\]]$|\bAÇÕES$') OR ends_with(regexp_replace(text, '\s+$', ''), 'm') OR ends_with(regexp_replace(text, '\s+$', ''), '>')
+        OR regexp_matches(ltrim(string_split(regexp_replace(text, '\s+$', ''), chr(10))[-1]), '^[·<-]')), false) AS is_suspicious, book,""").replace("FROM chunks", "FROM (SELECT DISTINCT * FROM chunks)")
+    + " WINDOW w AS (PARTITION BY book ORDER BY ordinal NULLS FIRST, chunk_id, page_start NULLS FIRST, page_end NULLS FIRST)"
+)
+
 SQL = {
     "chunk_content_id": f"SELECT doc_id, {_GUID} AS chunk_id FROM (SELECT doc_id, sha256(source || chr(10) || text) AS h FROM documents WHERE source IS NOT NULL AND text IS NOT NULL)",
     "dedup_first_by_id": "SELECT chunk_id, ordinal, book FROM (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY ordinal, page_start NULLS FIRST, page_end NULLS FIRST) AS rn FROM chunks) WHERE rn = 1",
@@ -160,10 +186,21 @@ SQL = {
         WITH n AS (SELECT *, lead(is_fallback) OVER w AS nf, lead(entity_name) OVER w AS nn, regexp_replace(text, '\s+$', '') AS t FROM (SELECT DISTINCT * FROM chunks) WINDOW w AS (PARTITION BY book ORDER BY ordinal NULLS FIRST, chunk_id, page_start NULLS FIRST, page_end NULLS FIRST))
         SELECT DISTINCT chunk_id, ordinal, book FROM n WHERE NOT is_fallback AND NOT nf AND nn IS NOT NULL
         AND NOT (regexp_matches(t, '(?i)[.!?:;"''’)\]]$|\bAÇÕES$') OR ends_with(t, 'm') OR ends_with(t, '>') OR regexp_matches(ltrim(string_split(t, chr(10))[-1]), '^[·<-]'))""",
+    "chunk_run_report": f"""SELECT book, count(*) AS chunks, count(*) FILTER (WHERE NOT is_fallback) AS entities, count(*) FILTER (WHERE is_fallback) AS fallbacks, count(entity_name) AS named,
+        count(*) FILTER (WHERE is_clean_name) AS clean_names, count(*) FILTER (WHERE is_table) AS tables, count(*) FILTER (WHERE is_cut_table) AS cut_tables,
+        count(*) FILTER (WHERE is_cut_table OR (entity_name IS NOT NULL AND NOT is_clean_name)) AS problems, count(*) FILTER (WHERE is_suspicious) AS suspicious,
+        CASE WHEN count(entity_name) > 0 THEN round(100e0 * count(*) FILTER (WHERE is_clean_name) / count(entity_name), 6) ELSE 0e0 END AS clean_percent,
+        count(*) FILTER (WHERE is_cut_table OR (entity_name IS NOT NULL AND NOT is_clean_name) OR is_suspicious) AS any_problem FROM ({_SUSPICIOUS}) GROUP BY 1""",
+    "chunk_problems": f"""SELECT DISTINCT book, ordinal, chunk_id, is_cut_table AS cut_table, entity_name IS NOT NULL AND NOT is_clean_name AS bad_name, is_suspicious AS suspicious
+        FROM ({_SUSPICIOUS}) WHERE is_cut_table OR (entity_name IS NOT NULL AND NOT is_clean_name) OR is_suspicious""",
+    "chunk_boundaries": r"""SELECT DISTINCT book, ordinal, chunk_id, entity_name, substr(t, 1, 60) AS opening, right(t, 60) AS closing
+        FROM (SELECT *, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM chunks WHERE NOT is_fallback)""",
+    "page_lookup_all": """SELECT book, page, count(DISTINCT chunk_id) AS chunks FROM (SELECT DISTINCT source AS book, page FROM documents WHERE source IS NOT NULL AND page IS NOT NULL) JOIN chunks USING (book)
+        WHERE page BETWEEN page_start AND greatest(page_start, coalesce(page_end, page_start)) GROUP BY 1, 2""",
     "page_lookup": "SELECT chunk_id, ordinal, page_start, page_end FROM chunks WHERE book = 'jogador' AND 50 BETWEEN page_start AND coalesce(page_end, page_start)",
     "substring_search": f"SELECT chunk_id, ordinal FROM chunks WHERE contains({ACCENT_FOLD % 'trim(text)'}, 'guardia das mares')",
 }
 QUERIES = {f: globals()[f] for f in (
     "chunk_content_id dedup_first_by_id line_explode_slice page_number_carry_forward comment_and_tag_strip markdown_blocks token_estimate_budget chunk_paragraph_token chunk_creatures chunk_spells chunk_items "
-    "caps_name_and_title_case chunk_diagnostics boundary_lead_check chunk_run_stats filter_type_and_text page_labels hashed_embedding book_counts_status page_lookup substring_search"
+    "caps_name_and_title_case chunk_diagnostics boundary_lead_check chunk_run_stats chunk_run_report chunk_problems chunk_boundaries filter_type_and_text page_labels hashed_embedding book_counts_status page_lookup page_lookup_all substring_search"
 ).split()}

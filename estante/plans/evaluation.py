@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from estante.operators import evaluation as E
-from estante.operators import search
+from estante.operators import rag, search
+from estante.plans import retrieval as R
 from estante.plans.retrieval import LISTS
 from estante.runtime import table
 
@@ -98,6 +99,53 @@ def latency_percentiles(spark, d):
     return E.latency_table(table(spark, d, "events"), "event_type", "value")
 
 
+def top_passages(spark, d):
+    hits = table(spark, d, "resultados").select("query_id", "strategy", "chunk_id", "score", "rank").distinct()
+    return E.top_passages(hits, _asked(spark, d))
+
+
+def run_plan(spark, d):
+    q = _gold(spark, d).select(F.col("line_no").cast("string").alias("query_id"), "answerable", "chunk_ids")
+    return E.run_plan(q, STRATEGIES[:3], 2).groupBy("step", "strategy", "mode", "round").agg(F.count("*").cast("bigint").alias("n"), F.sum(F.size("chunk_ids")).cast("bigint").alias("refs"))
+
+
+def gold_invalid_ids(spark, d):
+    return E.invalid_ids(table(spark, d, "perguntas")).select("line_no", "code", "detail")
+
+
+def gold_usable(spark, d):
+    """The lines that a run takes: those without an error, an id that is none being one."""
+    gold, perguntas = _gold(spark, d), table(spark, d, "perguntas")
+    chunks = table(spark, d, "chunks").select("chunk_id", "book", "page_start", "page_end")
+    return E.usable(gold, E.validate(gold, chunks).unionByName(E.invalid_ids(perguntas))).select("line_no", "id", "type")
+
+
+def _asked_twentieth(spark, d):
+    q = _gold(spark, d).where("answerable and size(chunk_ids) > 0 and line_no % 20 = 0")
+    return q.select(F.col("line_no").cast("string").alias("query_id"), "type", "chunk_ids", "pages")
+
+
+def source_report_modes(spark, d):
+    """Cited sources of answers with passages, from live search, and without."""
+    held = F.struct("book", F.col("page_start").alias("start"), F.coalesce("page_end", "page_start").alias("end"))
+    responses, sources = R._responses(spark, d)
+    cited = sources.groupBy("query_id").agg(F.collect_list("chunk_id").alias("chunks"), F.collect_list(F.when(F.col("page_start").isNotNull(), held)).alias("intervals"), F.collect_list("book").alias("books"))
+    empty = lambda c, kind: F.coalesce(c, F.array().cast(kind)).alias(c)
+    lists = [empty("chunks", "array<string>"), empty("intervals", E.INTERVALS), empty("books", "array<string>")]
+    with_passages = responses.select("query_id").join(cited, "query_id", "left").select("query_id", F.lit(E.WITH).alias("mode"), *lists)
+    named = E.free_text_sources(F.col("answer"), NAMES)
+    alone = rag.answers_alone(R._questions(spark, d)).select("query_id", F.lit(E.WITHOUT).alias("mode"), F.array().cast("array<string>").alias("chunks"), named.alias("intervals"), F.transform(named, lambda x: x["book"]).alias("books"))
+    return E.source_report(E.source_measures(with_passages.unionByName(alone), _asked_twentieth(spark, d)))
+
+
+def per_question_cited(spark, d):
+    """The error table over the stored lists: the answers take the eight passages of the stored fusion."""
+    asked, hits = _asked(spark, d), R._hits(spark, d)
+    _, sources = rag.respond(R._asked(spark, d), lambda q, k: search.rrf(hits, k, ["cosseno", "bm25"]), R._once(spark, d), k=R.SHOWN)
+    shown = search.rrf(hits, R.SHOWN, ["cosseno", "bm25"]).select("query_id", "chunk_id")
+    return E.error_table(_ranks(spark, d), STRATEGIES, shown, sources.select("query_id", "chunk_id"), asked)
+
+
 def resume_pending(spark, d):
     asked = table(spark, d, "perguntas").where("id is not null").select(F.col("id").alias("query_id")).distinct()
     return E.pending(asked, table(spark, d, "resultados"))
@@ -112,6 +160,18 @@ def validation_summary(spark, d):
     return E.summary(_gold(spark, d))
 
 
+def foreign_ids(spark, d):
+    """Ids of documents that the questions' lines do not hold: a filter by id names those it does not know."""
+    wanted = table(spark, d, "documents").select(F.col("doc_id").alias("query_id")).distinct()
+    return E.unknown_ids(wanted, table(spark, d, "perguntas").select(F.col("line_no").alias("query_id")))
+
+
+def sources_in_answers(spark, d):
+    """Sources named in the answers without passages, and, with the books' own names, in the texts of documents."""
+    show = lambda c: F.array_join(F.transform(E.free_text_sources(F.col(c), NAMES), lambda p: F.concat_ws(":", p["book"], p["start"].cast("string"), p["end"].cast("string"))), " ").alias("sources")
+    return rag.answers_alone(R._questions(spark, d)).select("query_id", show("answer"), F.array_join(E.books_in_parentheses(F.col("answer"), NAMES), " ").alias("books"))
+
+
 def free_text_sources(spark, d):
     """Sources named in running text, built from each question's line number."""
     n = F.col("line_no").cast("string")
@@ -147,7 +207,49 @@ _PRF = f"""
     p AS (SELECT *, CASE WHEN cited = 0 THEN 0e0 ELSE correct / CAST(cited AS DOUBLE) END AS precision, CASE WHEN refs = 0 THEN 0e0 ELSE covered / CAST(refs AS DOUBLE) END AS recall FROM m),
     f AS (SELECT query_id, level, precision, recall, CASE WHEN precision + recall = 0 THEN 0e0 ELSE 2 * precision * recall / (precision + recall) END AS f1, correct > 0 AS any_correct, cited = 0 AS no_citation FROM p)"""
 
+_TWENTIETH = f"(SELECT CAST(line_no AS VARCHAR) AS query_id, chunk_ids, pages FROM {_GOLD} WHERE answerable AND len(chunk_ids) > 0 AND line_no % 20 = 0)"
+_STORED = f"""
+    f AS (SELECT query_id, chunk_id, max(rank) FILTER (WHERE strategy = 'cosseno') AS rc, max(rank) FILTER (WHERE strategy = 'bm25') AS rb FROM {R._PLACED} WHERE strategy IN ('cosseno', 'bm25') GROUP BY 1, 2),
+    s AS (SELECT *, round(coalesce(1e0 / (60 + rc), 0e0) + coalesce(1e0 / (60 + rb), 0e0), 9) AS score FROM f),
+    shown AS (SELECT query_id, chunk_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM s) WHERE rank <= 8),
+    t AS (SELECT query_id, chunk_id, text, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS passage FROM shown JOIN {R._FIRST} USING (chunk_id) WHERE query_id IN (SELECT query_id FROM {R._ASKED} WHERE query_text IS NOT NULL)),
+    a AS (SELECT query_id, substr(split_part(trim(text), chr(10), 1), 1, 200) || ' [1]' AS text FROM t WHERE passage = 1),
+    cited AS (SELECT query_id, chunk_id FROM (SELECT query_id, unnest({R._CITED}) AS passage FROM a) JOIN t USING (query_id, passage))"""
+
 SQL = {
+    "top_passages": f"""SELECT h.query_id, strategy, rank, h.chunk_id, round_even(score, 6) AS score, coalesce(list_contains(a.chunk_ids, h.chunk_id), false) AS is_reference
+        FROM (SELECT DISTINCT query_id, strategy, chunk_id, score, rank FROM resultados WHERE rank <= 8) h LEFT JOIN {_FIRST_ASKED} a USING (query_id)""",
+    "run_plan": f"""WITH q AS (SELECT CASE WHEN answerable THEN len(chunk_ids) ELSE 0 END AS k FROM {_GOLD}),
+        p(step, strategy, mode, round) AS (VALUES ('search', 'cosseno', NULL, 0), ('search', 'bm25', NULL, 0), ('search', 'reordenador', NULL, 0), ('answer', NULL, 'com', 1), ('answer', NULL, 'sem', 1), ('answer', NULL, 'com', 2), ('answer', NULL, 'sem', 2))
+        SELECT step, strategy, mode, round, count(*) AS n, CAST(sum(k) AS BIGINT) AS refs FROM q, p GROUP BY 1, 2, 3, 4""",
+    "gold_invalid_ids": r"""SELECT DISTINCT line_no, 'invalid chunk id' AS code, u AS detail FROM (SELECT line_no, unnest(regexp_split_to_array(chunks_referencia, '[\s;|,]+')) AS u FROM perguntas)
+        WHERE u <> '' AND NOT regexp_matches(u, '^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$')""",
+    "gold_usable": f"""
+        WITH q AS (SELECT * FROM {_GOLD}), e AS (
+            SELECT line_no FROM q WHERE id IS NULL OR id = '' OR coalesce(trim(pergunta), '') = '' OR answerable IS NULL OR (answerable AND len(chunk_ids) = 0)
+            UNION SELECT line_no FROM (SELECT line_no, min(line_no) OVER (PARTITION BY id) AS first FROM q WHERE id IS NOT NULL) WHERE line_no > first
+            UNION SELECT line_no FROM (SELECT line_no, unnest(chunk_ids) AS c FROM q) WHERE c NOT IN (SELECT chunk_id FROM chunks WHERE chunk_id IS NOT NULL)
+            UNION SELECT line_no FROM (SELECT line_no, unnest(regexp_split_to_array(chunks_referencia, '[\\s;|,]+')) AS u FROM perguntas) WHERE u <> '' AND NOT regexp_matches(u, '^[0-9a-fA-F]{{8}}(-[0-9a-fA-F]{{4}}){{3}}-[0-9a-fA-F]{{12}}$'))
+        SELECT line_no, id, type FROM q WHERE line_no NOT IN (SELECT line_no FROM e)""",
+    "source_report_modes": f"""
+        WITH {R._SAID}, u AS (SELECT query_id, unnest(v) AS passage FROM r), k AS (SELECT * FROM {_TWENTIETH}),
+        cc AS (SELECT u.query_id, c.chunk_id, c.book, c.page_start, c.page_end FROM u JOIN top ON top.query_id = u.query_id AND top.rank = u.passage JOIN {_FIRST_CHUNK} c ON c.chunk_id = top.chunk_id),
+        j AS (SELECT k.query_id, 'com' AS mode, any_value(k.chunk_ids) AS chunk_ids, any_value(k.pages) AS pages, coalesce(list(chunk_id) FILTER (WHERE chunk_id IS NOT NULL), []) AS cited, coalesce(list(book) FILTER (WHERE book IS NOT NULL), []) AS books,
+                coalesce(list({{'book': book, 'start': page_start, 'end': page_end}}) FILTER (WHERE page_start IS NOT NULL), []) AS intervals FROM k LEFT JOIN cc USING (query_id) GROUP BY 1
+            UNION ALL SELECT query_id, 'sem', chunk_ids, pages, [], ['jogador'], [{{'book': 'jogador', 'start': CAST((10 + length(query_text)) % 40 + 1 AS INT), 'end': CAST((10 + length(query_text)) % 40 + 1 AS INT)}}] FROM k JOIN {R._QUESTIONS} USING (query_id) WHERE query_text IS NOT NULL),
+        b AS (SELECT *, list_transform(pages, lambda p: p.book) AS ref_books FROM j),
+        mm AS (SELECT mode, 'chunk' AS level, len(list_intersect(list_distinct(cited), list_distinct(chunk_ids))) AS correct, len(list_distinct(cited)) AS cited, len(list_intersect(list_distinct(cited), list_distinct(chunk_ids))) AS covered, len(list_distinct(chunk_ids)) AS refs FROM b WHERE mode = 'com'
+            UNION ALL SELECT mode, 'page', {_MEETS.format(x='intervals', y='pages')}, len(intervals), {_MEETS.format(x='pages', y='intervals')}, len(pages) FROM b WHERE len(pages) > 0
+            UNION ALL SELECT mode, 'book', len(list_intersect(list_distinct(books), list_distinct(ref_books))), len(list_distinct(books)), len(list_intersect(list_distinct(books), list_distinct(ref_books))), len(list_distinct(ref_books)) FROM b WHERE len(pages) > 0),
+        pp AS (SELECT *, CASE WHEN cited = 0 THEN 0e0 ELSE correct / CAST(cited AS DOUBLE) END AS precision, CASE WHEN refs = 0 THEN 0e0 ELSE covered / CAST(refs AS DOUBLE) END AS recall FROM mm)
+        SELECT mode, level, count(*) AS n, round(avg(precision), 6) AS precision, round(avg(recall), 6) AS recall, round(avg(CASE WHEN precision + recall = 0 THEN 0e0 ELSE 2 * precision * recall / (precision + recall) END), 6) AS f1,
+            count(*) FILTER (WHERE correct > 0) AS any_correct, count(*) FILTER (WHERE cited = 0) AS no_citation FROM pp GROUP BY 1, 2""",
+    "per_question_cited": f"""
+        WITH {_STORED}, x AS (SELECT query_id, unnest(chunk_ids) AS chunk_id FROM {_FIRST_ASKED})
+        SELECT query_id, type, {', '.join(f"min(first_rank) FILTER (WHERE strategy = '{s}') AS {s}" for s in STRATEGIES)}, query_id IN (SELECT query_id FROM shown JOIN x USING (query_id, chunk_id)) AS in_passages, query_id IN (SELECT query_id FROM cited JOIN x USING (query_id, chunk_id)) AS is_cited
+        FROM {_RANKS} GROUP BY 1, 2""",
+    "foreign_ids": "SELECT DISTINCT doc_id AS query_id FROM documents WHERE doc_id NOT IN (SELECT line_no FROM perguntas)",
+    "sources_in_answers": f"SELECT query_id, 'jogador:' || n || ':' || n AS sources, 'jogador' AS books FROM (SELECT query_id, (10 + length(query_text)) % 40 + 1 AS n FROM {R._QUESTIONS} WHERE query_text IS NOT NULL)",
     "gold_questions": f"SELECT line_no, id, type, answerable, len(pages) AS pages, len(chunk_ids) AS chunk_ids, array_to_string(list_transform(pages, lambda p: p.book || ':' || p.\"start\" || '-' || p.\"end\"), ' ') AS intervals FROM {_GOLD}",
     "gold_relation_validate": f"""
         WITH q AS (SELECT * FROM {_GOLD}),
@@ -182,5 +284,5 @@ SQL = {
 }
 QUERIES = {f: globals()[f] for f in (
     "gold_questions gold_relation_validate interval_overlap_join reference_rank hit_by_type_grouping_sets mcnemar_pairs per_question_errors prf_by_question source_table "
-    "latency_percentiles resume_pending id_filter_unknown validation_summary free_text_sources"
+    "top_passages run_plan gold_invalid_ids gold_usable source_report_modes per_question_cited foreign_ids sources_in_answers latency_percentiles resume_pending id_filter_unknown validation_summary free_text_sources"
 ).split()}

@@ -247,6 +247,14 @@ SQL = {
     "source_renumber": f"""
         WITH c AS (SELECT chunk_id, list_filter({_DISTINCT}, lambda x: x BETWEEN 1 AND 5) AS v FROM (SELECT DISTINCT chunk_id, {_CITED} AS n FROM chunks))
         SELECT chunk_id, unnest(v) AS passage, CAST(generate_subscripts(v, 1) AS INT) AS source FROM c WHERE len(v) > 0""",
+    "answer_parts": rf"""
+        WITH c AS (SELECT DISTINCT chunk_id, text FROM chunks WHERE regexp_matches(text, '\[\s*\d+(?:\s*[,;]\s*\d+)*\s*\]')),
+        n AS (SELECT chunk_id, text, regexp_split_to_array(text, '\[\s*\d+(?:\s*[,;]\s*\d+)*\s*\]') AS plain, regexp_extract_all(text, '\[\s*\d+(?:\s*[,;]\s*\d+)*\s*\]') AS marks, {_CITED} AS n FROM c),
+        v AS (SELECT *, list_filter({_DISTINCT}, lambda x: x BETWEEN 1 AND 5) AS v FROM n),
+        u AS (SELECT *, unnest(range(1, len(plain) + 1)) AS i FROM v),
+        p AS (SELECT chunk_id, text, 2 * i AS o, plain[i] AS part, [] AS s FROM u UNION ALL
+            SELECT chunk_id, text, 2 * i + 1, '', list_transform(list_filter(list_transform(regexp_extract_all(marks[i], '\d+'), lambda x: CAST(x AS INT)), lambda x: list_contains(v, x)), lambda x: list_position(v, x)) FROM u WHERE i <= len(marks))
+        SELECT chunk_id, CAST(row_number() OVER (PARTITION BY chunk_id, text ORDER BY o) - 1 AS INT) AS pos, part AS text, array_to_string(list_filter(s, lambda x, k: list_position(s, x) = k), ',') AS sources FROM p WHERE part <> '' OR len(s) > 0""",
     "rate_limit_fixed_window": f"SELECT client, date_trunc('minute', ts) AS window_start, count(*) AS asked, least(count(*), 5) AS admitted FROM {_EVENTS} GROUP BY 1, 2",
     "daily_quota": f"SELECT event_id, day, CAST(n AS INT) AS n FROM (SELECT event_id, strftime(ts, '%Y-%m-%d') AS day, row_number() OVER (PARTITION BY CAST(ts AS DATE) ORDER BY ts, event_id) AS n FROM {_EVENTS} WHERE length(trim(question)) BETWEEN 1 AND 500) WHERE n <= 200",
     "question_validation": f"SELECT coalesce(length(trim(question)) BETWEEN 1 AND 500, false) AS valid, strftime(ts, '%Y-%m-%d') AS day, count(*) AS n FROM {_EVENTS} GROUP BY 1, 2",

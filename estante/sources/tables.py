@@ -1,11 +1,13 @@
 """Sources and sinks: Markdown, gold CSV, JSONL, chunk JSON, the vector table and the lexical index.
 
-Tables are Parquet partitioned by book; writing a book replaces its partition and no other (dynamic partition overwrite), and the job
-commit makes it all or nothing.
+Tables are Parquet partitioned by book; writing a book replaces its partition and no other (dynamic partition overwrite). A job that fails
+before its commit changes nothing; the commit itself moves one partition after the other, and the lexical index is two such writes.
 """
 
 from __future__ import annotations
 
+from decimal import ROUND_HALF_EVEN, Decimal
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,6 +16,11 @@ from estante.functions import text as X
 from estante.operators import search
 
 CHUNKS = {"chunk_id": "string", "ordinal": "int", "text": "string", "entity_name": "string", "page_start": "int", "page_end": "int", "book": "string", "strategy": "string", "is_fallback": "boolean"}
+#: Schema of the vector table.
+VECTORS = T.StructType([
+    T.StructField("chunk_id", T.StringType(), False), T.StructField("vector", T.ArrayType(T.FloatType())), T.StructField("text", T.StringType()), T.StructField("entity_name", T.StringType()),
+    T.StructField("page_start", T.IntegerType()), T.StructField("page_end", T.IntegerType()), T.StructField("is_fallback", T.BooleanType()), T.StructField("model", T.StringType()), T.StructField("book", T.StringType()),
+])
 #: Field names of a chunk in a JSON checkpoint (fixed values).
 JSON_NAMES = {"Id": "chunk_id", "Texto": "text", "NomeEntidade": "entity_name", "PaginaInicio": "page_start", "PaginaFim": "page_end", "Livro": "book", "NomeStrategy": "strategy", "IsFallback": "is_fallback"}
 GOLD = ["id", "pergunta", "tipo", "livro", "resposta_referencia", "paginas_referencia", "chunks_referencia", "respondivel"]
@@ -32,8 +39,22 @@ def read_binary(spark: SparkSession, path: str) -> DataFrame:
 
 def decode_text(content: F.Column) -> F.Column:
     """Strict UTF-8 without byte order mark, else Latin-1."""
-    utf8 = F.regexp_replace(F.decode(content, "UTF-8"), "^﻿", "")
-    return F.when(F.expr(f"is_valid_utf8(cast({content._jc.toString()} as string))"), utf8).otherwise(F.decode(content, "ISO-8859-1"))
+    utf8 = F.regexp_replace(content.cast("string"), "^\ufeff", "")
+    return F.when(is_utf8(content), utf8).otherwise(F.decode(content, "ISO-8859-1"))
+
+
+def is_utf8(content: F.Column) -> F.Column:
+    return F.is_valid_utf8(content.cast("string"))
+
+
+def encoding_warnings(spark: SparkSession, path: str) -> DataFrame:
+    """(path, warning) of files that are no UTF-8 and are read as Latin-1."""
+    return read_binary(spark, path).where(~is_utf8(F.col("content"))).select("path", F.lit("not UTF-8; read as Latin-1").alias("warning"))
+
+
+def write_raw_json(results: DataFrame, path: str, column: str = "value") -> None:
+    """Analysis results as they came, one JSON text a line."""
+    results.select(F.col(column).cast("string").alias("value")).write.mode("overwrite").text(path)
 
 
 def read_gold(spark: SparkSession, path: str) -> DataFrame:
@@ -89,6 +110,106 @@ def read_chunks_json(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(*[F.col(k).alias(v) for k, v in JSON_NAMES.items()])
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return jpath.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jpath)
+
+
+def read_books(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
+    """The chunk files of several books, each with its book and the place of its file (`file_order`). A missing file is an error that names all that are missing."""
+    missing = [f"{b} ({p})" for b, p in paths.items() if not _exists(spark, p)]
+    if missing or not paths:
+        raise FileNotFoundError("no chunks of " + ", ".join(missing or ["any book"]))
+    out = None
+    for i, (book, path) in enumerate(paths.items()):
+        one = read_chunks_json(spark, path).withColumns({"book": F.coalesce("book", F.lit(book)), "file_order": F.lit(i)})
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def chunk_file_info(spark: SparkSession, path: str) -> DataFrame:
+    """(found, chunks, modified): one row about a book's chunk file, which need not be there."""
+    if not _exists(spark, path):
+        return spark.createDataFrame([(False, 0, None)], "found boolean, chunks bigint, modified timestamp")
+    rows = spark.read.text(path).where(F.trim("value") != "").select(F.col("_metadata.file_modification_time").alias("m"))
+    return rows.agg(F.lit(True).alias("found"), F.count("*").alias("chunks"), F.max("m").alias("modified"))
+
+
+#: What a run's metadata hold.
+RUN = "started timestamp, questions int, rounds int, depth int, passages int, embedder string, generator string, chunks bigint"
+
+
+def write_run(spark: SparkSession, run: dict, path: str) -> None:
+    """One row of metadata beside a run's records."""
+    spark.createDataFrame([run], RUN).coalesce(1).write.mode("overwrite").json(path)
+
+
+def read_run(spark: SparkSession, path: str) -> dict | None:
+    if not _exists(spark, path):
+        return None
+    row = spark.read.schema(RUN).json(path).first()
+    return row.asDict() if row else None
+
+
+def check_resume(run: dict | None, embedder: str, generator: str) -> None:
+    """A run is resumed only with the models that it began with."""
+    for name, now in (("embedder", embedder), ("generator", generator)):
+        if run is not None and run.get(name) != now:
+            raise ValueError(f"the run began with {name} {run.get(name)!r}, not {now!r}; start a new one")
+
+
+# --- reports --------------------------------------------------------------------------------------------------------------
+
+
+def _fixed(value: float | None, places: int) -> str:
+    """Half-even at the place, the point as a comma, thousands by point; "—" for nothing."""
+    if value is None:
+        return "—"
+    d = Decimal(str(value)).quantize(Decimal(1).scaleb(-places), rounding=ROUND_HALF_EVEN)
+    return f"{d:,.{places}f}".translate(str.maketrans(",.", ".,"))
+
+
+def percent(share: float | None) -> str:
+    return "—" if share is None else f"{_fixed(float(Decimal(str(share)) * 100), 1)} %"
+
+
+def decimal(value: float | None) -> str:
+    return _fixed(value, 3)
+
+
+def whole(value: float | None) -> str:
+    return _fixed(value, 0)
+
+
+def milliseconds(value: float | None) -> str:
+    return "—" if value is None else f"{_fixed(value, 0)} ms"
+
+
+def seconds(value: float | None) -> str:
+    return "—" if value is None else f"{_fixed(value, 1)} s"
+
+
+def render_table(headers: list[str], rows: list[list[str]]) -> str:
+    return "\n".join("| " + " | ".join(r) + " |" for r in [headers, ["---"] * len(headers), *rows])
+
+
+def render_report(title: str, run: dict, sections: list[tuple[str, str]], notes: list[str] = ()) -> str:
+    """A Markdown report: title, what the run was, sections of tables, notes."""
+    facts = f"{run['questions']} perguntas, {run['rounds']} rodada(s), {whole(run['chunks'])} chunks, embedding `{run['embedder']}`, gerador `{run['generator']}`, profundidade {run['depth']}, {run['passages']} passagens."
+    parts = [f"# {title}", facts, *(f"## {name}\n\n{body}" for name, body in sections)]
+    return "\n\n".join(parts + (["## Notas\n\n" + "\n".join(f"- {n}" for n in notes)] if notes else [])) + "\n"
+
+
+def write_report(spark: SparkSession, report: str, path: str) -> None:
+    spark.createDataFrame([(report.removesuffix("\n"),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def progress_line(record: dict, done: int, of: int) -> str:
+    """What is printed of a record: how far the run is, the question, what it was asked by, and the time or the error."""
+    how = record.get("strategy") or f"{record.get('mode', '')} {record.get('round', 1)}".strip()
+    return f"[{done}/{of}] {record['query_id']} {how}: {record.get('error') or seconds(record.get('seconds'))}"
+
+
 def latest_file(spark: SparkSession, path: str) -> str | None:
     row = read_binary(spark, path).select("path", "modificationTime").agg(F.max_by("path", F.struct("modificationTime", "path")).alias("p")).first()
     return row["p"]

@@ -117,3 +117,39 @@ def test_chunks_of_duplicate_blocks(spark):
     df = spark.createDataFrame(rows, "doc_id string, block_idx int, kind string, page int, lines array<string>, text string")
     got = chunking.with_ids(chunking.chunk_blocks(df), F.lit("vau")).orderBy("ordinal").collect()
     assert [(r.text, r.is_fallback, r.page_start) for r in got] == [("um", True, 1), ("<table>", True, None)]
+
+
+def test_header_stops_at_another_entity_and_reaches_a_chapter():
+    far = [para(f"texto {i}") for i in range(20)]
+    chapter = [para("## OROGS", "Vivem longe."), para("texto"), para("OROG CHEFE", "Humanoide Médio, neutro e mau"), para(*STATS)]
+    got = [(name, fallback) for _, name, _, _, _, fallback in segment([para("abertura"), *chapter], CREATURE)]
+    assert got == [(None, True), ("Orog Chefe", False)]
+    first = chunking._creature_headers([para("abertura"), *chapter])
+    assert first(4) == 1  # the chapter's heading, three blocks above the type line
+    assert chunking._creature_headers([para("## OROGS"), *far, *chapter[2:]])(22) == 21  # the chapter is out of reach
+    assert chunking._creature_headers([para("## OROGS"), para("## AÇÕES"), *chapter[2:]])(3) == 2  # a sub-heading lies between
+    assert chunking._creature_headers([para("## OROGS"), para(*STATS), *chapter[2:]])(3) == 2  # another anchor lies between
+    assert chunking._creature_headers([*far[:6], para(*STATS)])(6) == 5 and chunking._creature_headers([para(*STATS)])(0) == -1
+
+
+def test_names_of_creatures_in_their_order():
+    two = [para("DRAGÃO DE", "COBRE ANCIÃO", "Dragão Enorme, caótico e bom"), para(*STATS)]
+    assert [r[1] for r in segment(two, CREATURE)] == ["Dragão de Cobre Ancião"]
+    before = [para("texto", "LESMA DO SAL"), para("Besta Média, imparcial"), para(*STATS)]
+    assert [r[1] for r in segment(before, CREATURE)] == ["Lesma do Sal"]
+    heading = [para("## LESMAS"), para("Besta Média, imparcial"), para(*STATS)]
+    assert [r[1] for r in segment(heading, CREATURE)] == ["Lesmas"]
+    assert [r[1] for r in segment([para("Besta Média, imparcial"), para(*STATS)], CREATURE)] == [None]
+
+
+def test_pages_of_pieces_by_their_words():
+    lines = [("um dois três", 1), ("um dois três", 2), ("quatro cinco", None), ("seis sete", 4)]
+    assert chunking.pages_of_pieces(["um dois três", "três um dois três quatro", "cinco seis", "nada disso"], lines) == [(1, 1), (1, 2), (4, 4), (1, 4)]
+    assert chunking.pages_of_pieces([""], lines) == [(1, 4)] and chunking.pages_of_pieces([], []) == [] and chunking.pages_of_pieces(["x"], []) == [(None, None)]
+
+
+def test_how_a_whole_text_ends(spark):
+    whole = ["Fim.", "Fim!  \n", "AÇÕES", "as ações", "9 m", "<td>", "x\n· item solto", "ele disse ”’", "(nota)"]
+    cut_off = ["o guarda e a", "REAÇÕES LENTAS", "", "reações"]
+    df = spark.createDataFrame([(t,) for t in whole + cut_off], "t string")
+    assert [r.e for r in df.select(chunking.ends_whole(F.col("t")).alias("e")).collect()] == [True] * len(whole) + [False] * len(cut_off)

@@ -79,3 +79,26 @@ def test_validation(spark):
     c = spark.createDataFrame([], "chunk_id string, book string, page_start int, page_end int")
     got = sorted((r.line_no, r.code) for r in E.validate(E.questions(q), c).collect())
     assert got == [(2, "answerable without chunks"), (3, "answerable unreadable"), (3, "id again"), (3, "no question"), (3, "unknown type")]
+
+
+def test_a_run_and_its_tables(spark):
+    asked = spark.createDataFrame([("a", True, ["x", "y"], [("b", 1, 3)], "nominal"), ("n", False, ["x"], [], "nominal")], f"query_id string, answerable boolean, chunk_ids array<string>, pages {E.INTERVALS}, type string")
+    plan = E.run_plan(asked, ["s", "t"], 2).collect()
+    assert len(plan) == 2 * (2 + 4) and {len(r.chunk_ids) for r in plan if r.query_id == "n"} == {0}
+    assert E.clamp_run(0, 3) == (1, 8) and E.clamp_run(4, 50) == (4, 50) and E.rounds_of(E.run_plan(asked, ["s"], 3)) == 3
+    hits = spark.createDataFrame([("a", "s", 1, "x", 0.1234565), ("a", "s", 9, "y", 1.0), ("n", "s", 1, "z", None)], "query_id string, strategy string, rank int, chunk_id string, score double")
+    assert sorted((r.query_id, r.chunk_id, r.score, r.is_reference) for r in E.top_passages(hits, asked).collect()) == [("a", "x", 0.123456, True), ("n", "z", None, False)]
+    cites = spark.createDataFrame([("a", "com", ["x", "z"], [("b", 3, 4)], ["b"]), ("a", "sem", [], [], ["c"]), ("n", "com", [], [], [])], f"query_id string, mode string, chunks array<string>, intervals {E.INTERVALS}, books array<string>")
+    rows = {(r.mode, r.level): r for r in E.source_report(E.source_measures(cites, asked)).collect()}
+    assert set(rows) == {("com", "chunk"), ("com", "page"), ("com", "book"), ("sem", "page"), ("sem", "book")}
+    assert rows["com", "chunk"].n == 2 and rows["com", "page"].n == 1 and rows["com", "page"].precision == 1.0 and rows["sem", "page"].no_citation == 1 and rows["sem", "book"].precision == 0.0
+    runs = spark.createDataFrame([("com", 1.0, 2.0, 10, 5, None), ("com", None, 1.0, 20, 5, 1), ("sem", None, 4.0, 1, 1, 0)], "mode string, search_seconds double, answer_seconds double, tokens_in bigint, tokens_out bigint, tokens_reasoning bigint")
+    perf = {r["mode"]: r for r in E.performance(runs, "mode").collect()}
+    assert (perf["com"].n, perf["com"].mean, perf["com"].p50, perf["com"].p95, perf["com"].tokens_in, perf["com"].mean_tokens_in) == (2, 2.0, 1.0, 3.0, 30, 15.0)
+    ranks_ = spark.createDataFrame([("a", "nominal", "s", 2), ("a", "nominal", "t", None)], "query_id string, type string, strategy string, first_rank int")
+    ids = lambda *x: spark.createDataFrame([("a", i) for i in x], "query_id string, chunk_id string")
+    assert [tuple(r) for r in E.error_table(ranks_, ["s", "t"], ids("x", "q"), ids("q"), asked).collect()] == [("a", "nominal", 2, None, True, False)]
+    raw = spark.createDataFrame([(1, "x; 6f9619ff-8b86-d011-b42d-00cf4fc964ff|x"), (2, None)], "line_no bigint, chunks_referencia string")
+    bad = E.invalid_ids(raw)
+    assert [(r.line_no, r.detail) for r in bad.collect()] == [(1, "x")]
+    assert [r.line_no for r in E.usable(raw, bad).collect()] == [2]

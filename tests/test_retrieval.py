@@ -137,3 +137,77 @@ def test_limits(spark):
 
 def test_every_query_has_a_name_and_sql_has_a_query():
     assert set(registry.SQL) <= set(registry.QUERIES)
+
+
+def test_fusion_asks_its_legs_for_fifty_and_needs_them_all(spark):
+    asked = {}
+
+    def leg(name):
+        def search_(q, k):
+            asked[name] = k
+            return q.select("query_id", F.explode(F.array(*[F.lit(f"{name}{i}") for i in range(3)] + [F.lit("both")])).alias("chunk_id")).select("*", F.lit(1.0).alias("score"), F.lit(1).alias("rank"))
+
+        return search_
+
+    why = {"b": None}
+    s = search.Strategies()
+    s.register("a", leg("a"))
+    s.register("b", leg("b"), lambda: why["b"])
+    s.register_fusion("rrf", ["a", "b"])
+    q = spark.createDataFrame([("q", "x")], "query_id string, query_text string")
+    top = s.get("rrf")(q, 3).orderBy("rank").collect()
+    assert asked == {"a": 50, "b": 50} and len(top) == 3 and top[0].chunk_id == "both" and s.preferred() == "rrf"
+    s.get("rrf")(q, 70)
+    assert asked == {"a": 70, "b": 70}
+    why["b"] = "no vectors"
+    assert s.unavailable("rrf") == "rrf: b: no vectors" and s.preferred() == "a"
+    with pytest.raises(LookupError, match="no vectors"):
+        s.get("rrf")(q, 3)
+    hits, runs = s.timed(q, 3)
+    assert [(n, note) for n, _, note in runs] == [("a", None), ("b", "b: no vectors"), ("rrf", "rrf: b: no vectors")] and hits.count() == 4 and all(t >= 0 for _, t, _ in runs)
+
+
+def test_a_failure_while_running_becomes_a_note(spark):
+    s = search.Strategies()
+    s.register("bad", lambda q, k: q.select("query_id", F.raise_error(F.lit("no service")).alias("chunk_id")))
+    hits, notes = s.compare_all(spark.createDataFrame([("q",)], "query_id string"), 3)
+    assert hits is None and "no service" in notes["bad"]
+
+
+def test_the_whole_answer(spark):
+    q = spark.createDataFrame([("a", "Quanto?"), ("b", "Onde?"), ("c", None)], "query_id string, query_text string")
+    chunks = spark.createDataFrame([("k1", "vau", 3, None, "Nome", "primeira linha"), ("k2", "vau", 4, 5, None, "outra"), ("k3", "x", None, None, None, "mais")], "chunk_id string, book string, page_start int, page_end int, entity_name string, text string")
+    hits = spark.createDataFrame([("a", 1, "k2"), ("a", 2, "k1"), ("a", 3, "gone"), ("a", 4, "k3")], "query_id string, rank int, chunk_id string")
+    said = lambda instructions, prompts: ["Sim [3], [1, 9] e [3]. " + "x" * 40 for _ in prompts]
+    out, sources = rag.respond(q, lambda asked, k: hits, chunks, said)
+    got = {r.query_id: r for r in out.collect()}
+    assert got["a"].passages == 3 and got["a"].valid == [3, 1] and got["a"].invented == [9] and "9" in got["a"].note and got["a"].warning is None
+    assert got["b"].warning == "sem-fontes" and got["b"].note == rag.NOTHING_FOUND and got["b"].answer == "" and got["c"].passages == 0
+    assert [(r.source, r.passage, r.chunk_id) for r in sources.orderBy("source").collect()] == [(1, 3, "k3"), (2, 1, "k2")]
+    short, _ = rag.respond(q.where("query_id = 'a'"), lambda asked, k: hits, chunks, said, most_tokens=2)
+    r = short.first()
+    assert r.answer == "Sim [3]," and r.warning == "cortada" and "cortada" in r.note
+    usage = rag.usage_rows(out.where("query_id = 'a'"), F.lit(1.23456), F.lit(10), F.lit(5)).first()
+    assert (usage.cited, usage.passages, usage.tokens_in, usage.seconds) == (2, 3, 10, 1.235)
+    assert spark.range(1).select(rag.is_cited(F.array(F.lit(3), F.lit(1)), 1).alias("x")).first().x and rag.clamp_passages(0) == 1 and rag.clamp_passages(99) == 20
+
+
+def test_sparse_scores_equal_the_formula(spark):
+    import math
+    import random
+
+    rng = random.Random(4)
+    vocabulary = [f"t{i}" for i in range(30)]
+    docs = [(f"d{i:02d}", " ".join(rng.choices(vocabulary, k=rng.randint(0, 25)))) for i in range(60)] + [("e", ""), ("n", None)]
+    ask = [(f"q{i}", " ".join(rng.choices(vocabulary, k=rng.randint(1, 6)))) for i in range(20)]
+    got = {(r.query_id, r.chunk_id): r.score for r in search.bm25(spark.createDataFrame(ask, "query_id string, query_text string"), spark.createDataFrame(docs, "chunk_id string, text string"), 100).collect()}
+    words = {k: (t or "").split() for k, t in docs}
+    n, avg = len(docs), sum(map(len, words.values())) / len(docs)
+    df = {t: sum(t in w for w in words.values()) for t in vocabulary}
+    want = {}
+    for q, text in ask:
+        for k, w in words.items():
+            parts = [max(math.log((n - df[t] + 0.5) / (df[t] + 0.5)), search.FLOOR) * w.count(t) * 2.2 / (w.count(t) + 1.2 * (0.25 + 0.75 * len(w) / avg)) for t in text.split() if t in w]
+            if parts:
+                want[q, k] = round(sum(parts), 6)
+    assert got.keys() == want.keys() and all(abs(got[x] - want[x]) < 2e-6 for x in want)

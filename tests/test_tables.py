@@ -67,3 +67,48 @@ def test_stream_rate_limit(spark, tmp_path):
     q.stop()
     got = spark.table("limited").collect()
     assert len(got) == 9 and {r.event_id for r in got if r.admitted} == {0, 1, 2, 3, 4, 20}
+
+
+def test_books_are_read_together_or_not_at_all(spark, tmp_path):
+    for b in ("x", "y"):
+        tables.write_chunks_json(chunks(spark, (f"{b}1", 1, "t", b)), str(tmp_path / b))
+    got = tables.read_books(spark, {"y": str(tmp_path / "y"), "x": str(tmp_path / "x")})
+    assert [(r.chunk_id, r.file_order) for r in got.orderBy("file_order").collect()] == [("y1", 0), ("x1", 1)]
+    with pytest.raises(FileNotFoundError, match="z "):
+        tables.read_books(spark, {"x": str(tmp_path / "x"), "z": str(tmp_path / "z")})
+    info = tables.chunk_file_info(spark, str(tmp_path / "x")).first()
+    assert info.found and info.chunks == 1 and info.modified is not None and not tables.chunk_file_info(spark, str(tmp_path / "z")).first().found
+
+
+def test_run_metadata_and_resuming(spark, tmp_path):
+    import datetime as dt
+
+    run = {"started": dt.datetime(2024, 1, 2, 3, 4), "questions": 50, "rounds": 1, "depth": 50, "passages": 8, "embedder": "local", "generator": "extractive", "chunks": 3185}
+    path = str(tmp_path / "run")
+    assert tables.read_run(spark, path) is None
+    tables.write_run(spark, run, path)
+    assert tables.read_run(spark, path) == run
+    tables.check_resume(run, "local", "extractive")
+    tables.check_resume(None, "local", "extractive")
+    with pytest.raises(ValueError, match="generator"):
+        tables.check_resume(run, "local", "other")
+    report = tables.render_report("Avaliação", run, [("Busca", tables.render_table(["a", "b"], [["1", "2"]]))], ["uma nota"])
+    tables.write_report(spark, report, str(tmp_path / "report"))
+    assert spark.read.text(str(tmp_path / "report"), wholetext=True).first().value == report and "3.185 chunks" in report and "| 1 | 2 |" in report
+
+
+def test_numbers_are_written_half_even():
+    assert [tables.percent(x) for x in (0.6136363, 0.0625, None, 1)] == ["61,4 %", "6,2 %", "—", "100,0 %"]
+    assert [tables.decimal(x) for x in (0.8125, 0.0625, 2)] == ["0,812", "0,062", "2,000"] and tables.whole(206811) == "206.811" and tables.milliseconds(470.5) == "470 ms" and tables.seconds(2.05) == "2,0 s"
+    assert tables.progress_line({"query_id": "q1", "strategy": "bm25", "seconds": 0.25}, 2, 9) == "[2/9] q1 bm25: 0,2 s"
+    assert tables.progress_line({"query_id": "q1", "mode": "com", "round": 2, "error": "sem resposta"}, 3, 9) == "[3/9] q1 com 2: sem resposta"
+
+
+def test_files_that_are_no_utf8_are_named(spark, tmp_path):
+    (tmp_path / "a.txt").write_bytes("é".encode())
+    (tmp_path / "b.txt").write_bytes("é".encode("latin-1"))
+    got = tables.encoding_warnings(spark, str(tmp_path)).collect()
+    assert len(got) == 1 and got[0].path.endswith("b.txt")
+    tables.write_raw_json(spark.createDataFrame([('{"a": 1}',)], "value string"), str(tmp_path / "raw"))
+    assert spark.read.json(str(tmp_path / "raw")).first().a == 1
+    assert tables.VECTORS.fieldNames()[:2] == ["chunk_id", "vector"]
