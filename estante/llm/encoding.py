@@ -37,7 +37,7 @@ _BAD = [
     (2, re.compile(r"[A-Za-zÀ-ÿ][Ͱ-ϿЀ-ӿ]|[Ͱ-ϿЀ-ӿ][A-Za-zÀ-ÿ]")),
     (2, re.compile(r"[ÃÂ√├┬╬][^\w\s\x00-\x7f]|Ãƒ|[√├┬]\w|â€|в[Ђ„‚€]|Г[Ј§©]")),
     (1, re.compile(r"(?<!\w)Ã(?!\w)|\dÂ(?!\w)")),
-    (1, re.compile(r"(?<!\w)[·‚„‡È˙](?=\s)|\d[∫™є║](?!\w)")),
+    (1, re.compile(r"(?<!\w)[·‚„‡È˙](?=\s)|(?<!\S)¿(?=\s)|\d[∫™є║](?!\w)")),
 ]
 _NO_LETTER = re.compile(_ASKED)
 #: Signs that no repair removes: the original byte is gone.
