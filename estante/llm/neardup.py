@@ -65,22 +65,34 @@ def shingle_sets(records: DataFrame, key: str, text: Column, width: int) -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             known: dict[str, int] = {}
-            keys, sids, sets = [], [], []
+            keys, flat, sizes, total = [], [], [], 0
             for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 words = _WORD.findall((t or "").lower())
                 if len(words) < width:
                     continue
-                for w in [w for w in words if w not in known]:
-                    known[w] = int.from_bytes(blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
-                ids = np.array([known[w] for w in words], dtype=np.int64)
-                grams = np.unique(_fold([ids[j : len(ids) - width + 1 + j] for j in range(width)], width))
+                try:
+                    flat += map(known.__getitem__, words)
+                except KeyError:
+                    del flat[total:]
+                    for w in [w for w in words if w not in known]:
+                        known[w] = int.from_bytes(blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+                    flat += map(known.__getitem__, words)
                 keys.append(k)
-                sids.append(int.from_bytes(blake2b(grams.tobytes(), digest_size=8).digest(), "little", signed=True))
-                sets.append(grams)
+                sizes.append(len(words))
+                total += len(words)
+            ids = np.array(flat, dtype=np.int64)
+            # runs of all texts of the batch at once; those that reach into the next text are left out below
+            runs = _fold([ids[j : len(ids) - width + 1 + j] for j in range(width)], width) if len(ids) else ids
+            sets, at = [], 0
+            for n in sizes:
+                g = np.sort(runs[at : at + n - width + 1])
+                sets.append(g[np.concatenate(([True], g[1:] != g[:-1]))])
+                at += n
+            sids = [int.from_bytes(blake2b(g.tobytes(), digest_size=8).digest(), "little", signed=True) for g in sets]
             offsets = np.zeros(len(sets) + 1, dtype=np.int32)
             np.cumsum([len(g) for g in sets], out=offsets[1:])
-            flat = np.concatenate(sets) if sets else np.empty(0, dtype=np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, b.column(0).type), pa.array(sids, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=["key", "sid", "grams"])
+            grams = np.concatenate(sets) if sets else np.empty(0, dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, b.column(0).type), pa.array(sids, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(grams))], names=["key", "sid", "grams"])
 
     kind = records.schema[key].dataType.simpleString()
     return spread(records.select(F.col(key).alias("key"), text.alias("words"))).mapInArrow(run, f"key {kind}, sid bigint, grams array<bigint>")
@@ -127,9 +139,8 @@ def _extended(tag: int, g: np.ndarray, c: np.ndarray, missing: int, classes: tup
     place = np.empty(len(g), dtype=np.int64)
     place[order] = np.arange(len(g)) - np.repeat(starts[:-1], starts[1:] - starts[:-1])
     end = int(np.searchsorted(np.cumsum(place >= ks[kind] - 1), missing)) + 1
-    g, bucket = g[:end], bucket[:end]
-    order = np.lexsort((g, bucket))
-    g, bucket = g[order], bucket[order]
+    order = order[order < end]
+    mixed, bucket = _fold([g[order]], tag), bucket[order]
     starts = _starts(bucket).tolist()
     chosen: dict[int, list[np.ndarray]] = {}
     for a, b in zip(starts, starts[1:]):
@@ -137,15 +148,16 @@ def _extended(tag: int, g: np.ndarray, c: np.ndarray, missing: int, classes: tup
         if b - a >= k:
             chosen.setdefault(k, []).append(_choose(b - a, k) + a)
     for k, places in chosen.items():
-        out.append(_fold(list(g[np.concatenate(places, axis=1)]), tag + k))
+        # a sum does not depend on the order of its parts
+        out.append(_fold([mixed[np.concatenate(places, axis=1)].sum(axis=0)], tag + k))
     return out
 
 
-def signatures(grams: np.ndarray, counts: np.ndarray, threshold: float, classes: tuple = CLASSES, small_classes: tuple = SMALL_CLASSES) -> np.ndarray:
-    """Hashes of the combinations in the extended prefix of a set, by the classes for its size and, if it may meet a smaller one, by those for that."""
+def signatures(grams: np.ndarray, counts: np.ndarray, threshold: float, classes: tuple = CLASSES, small_classes: tuple = SMALL_CLASSES, ascending: bool = False) -> np.ndarray:
+    """Hashes of the combinations in the extended prefix of a set, by the classes for its size and, if it may meet a smaller one, by those for that. ascending: the shingles are sorted."""
     n, limit, tiny = len(grams), lacking(threshold, classes), lacking(threshold, small_classes)
     missing = n - math.ceil(threshold * n - 1e-9) + 1
-    order = np.lexsort((grams, counts))
+    order = np.argsort(counts, kind="stable") if ascending else np.lexsort((grams, counts))
     g, c = grams[order], counts[order]
     out = []
     if n * threshold <= tiny + 1e-9:
@@ -208,7 +220,7 @@ def similar_sets(sets: DataFrame, threshold: float) -> DataFrame:
             sets_ = [grams.values.to_numpy() for grams in b.column(1)]
             flat = f.counts(np.concatenate(sets_)) if sets_ else np.empty(0, dtype=np.int64)
             ends = np.cumsum([len(g) for g in sets_]).tolist()
-            got = [signatures(g, flat[e - len(g) : e], threshold, f.classes, f.small_classes) for g, e in zip(sets_, ends)]
+            got = [signatures(g, flat[e - len(g) : e], threshold, f.classes, f.small_classes, True) for g, e in zip(sets_, ends)]
             n = [len(x) for x in got]
             sig = np.concatenate(got) if got else np.empty(0, dtype=np.int64)
             longs = np.repeat(np.stack([parity(g) for g in sets_], axis=1), n, axis=1) if sets_ else np.empty((LONGS, 0), dtype=np.int64)
