@@ -5,17 +5,21 @@ All of them give null for null; none is a Python function per row.
 
 from __future__ import annotations
 
+import string
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # --- fixed values ---------------------------------------------------------------------------------------------------------
-ACCENTS = "áàâãäåéèêëíìîïóòôõöúùûüçñýÿ"
-PLAIN = "aaaaaaeeeeiiiiooooouuuucnyy"
 CONNECTIVES = ["de", "do", "da", "dos", "das", "e", "ou", "a", "o", "the", "of"]
 STAT_SUBHEADINGS = ["AÇÕES", "AÇOES", "REAÇÕES", "REAÇOES", "AÇÕES LENDÁRIAS", "AÇÕES LENDARIAS", "AÇÕES DE COVIL", "AÇÕES DE COVIL E EFEITOS REGIONAIS", "EFEITOS REGIONAIS", "AÇÕES ADICIONAIS", "AÇÕES BÔNUS"]
 SIDEBARS = "VARIAÇÃO|VARIANTE|OPCIONAL|OPÇÃO"
 DISPLAY_NAMES = {"monstro": "Manual dos Monstros", "jogador": "Livro do Jogador", "mestre": "Guia do Mestre"}
 BOOK_ALIASES = {"monstros": "monstro", "manual": "monstro"}
+#: Small Latin letters with marks, and the letter that each is without them, by Unicode's own decomposition.
+ACCENTS = "".join(c for c in map(chr, (*range(0xE0, 0x250), *range(0x1E00, 0x1F00))) if c == c.lower() and unicodedata.decomposition(c)[:1] not in ("", "<") and unicodedata.normalize("NFD", c)[0] in string.ascii_lowercase)
+PLAIN = "".join(unicodedata.normalize("NFD", c)[0] for c in ACCENTS)
 HEADING = r"^#{1,6}\s+\S"
 CLEAN_NAME = r"^[\p{Lu}0-9][\p{Lu}0-9 ,'/()+\-\.À-ſ]{1,58}$"
 

@@ -217,6 +217,19 @@ def summary(asked: DataFrame) -> DataFrame:
     return asked.groupBy("type", "answerable").agg(F.count("*").cast("bigint").alias("n"), F.countDistinct("id").cast("bigint").alias("ids"))
 
 
+def require_strategies(ranks: DataFrame, strategies: list[str]) -> None:
+    """A strategy that no record has is an error."""
+    held = {r.strategy for r in ranks.where(F.col("strategy").isin(strategies)).select("strategy").distinct().collect()}
+    if missing := [s for s in strategies if s not in held]:
+        raise ValueError(f"no records of {', '.join(missing)}")
+
+
+def summary_by_book(asked: DataFrame) -> DataFrame:
+    """(book, n): questions by each book that they name, the most first; a question that names several counts for each."""
+    books = F.filter(F.split(F.coalesce("book", F.lit("")), r"\s*[;,|/]\s*"), lambda b: b != "")
+    return asked.select(F.explode(F.array_distinct(F.transform(books, T.canonical_book))).alias("book")).groupBy("book").agg(F.count("*").cast("bigint").alias("n")).orderBy(F.desc("n"), "book")
+
+
 # --- a run ----------------------------------------------------------------------------------------------------------------
 
 #: Answers with passages and without.

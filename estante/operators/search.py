@@ -37,6 +37,18 @@ def clamp_k(k: Column, most: int = 50) -> Column:
     return F.greatest(F.lit(1), F.least(F.lit(most), k))
 
 
+def clamp(k: int, most: int = 50) -> int:
+    return max(1, min(most, k))
+
+
+def notes(questions: DataFrame, hits: DataFrame) -> DataFrame:
+    """(query_id, note) of questions that found nothing: for want of a term that can be searched, or of a document that has one."""
+    found = hits.select("query_id").distinct().withColumn("found", F.lit(True))
+    empty = questions.select("query_id", "query_text").join(found, "query_id", "left").where("found is null")
+    able = F.coalesce(T.searchable(F.col("query_text")), F.lit(False))
+    return empty.select("query_id", F.when(able, "Nada encontrado.").otherwise("A pergunta não tem termo pesquisável.").alias("note"))
+
+
 def top_k(hits: DataFrame, k: int, *ties: str) -> DataFrame:
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), *ties)
     return hits.withColumn("rank", F.row_number().over(w).cast("int")).where(F.col("rank") <= k)
@@ -150,6 +162,21 @@ def bm25(questions: DataFrame, rows: DataFrame, k: int, key: str = "chunk_id", t
     return found if found is not None else terms.select("query_id").crossJoin(rows.select(key)).limit(0).selectExpr("query_id", key, "0.0D as score", "1 as rank")
 
 
+def bm25_from_index(questions: DataFrame, postings: DataFrame, lengths: DataFrame, k: int, key: str = "chunk_id") -> DataFrame:
+    """(query_id, key, score, rank) from a stored index: postings (key, term, tf), lengths (key, len). The questions' terms, bounded by what is asked, meet the
+    postings by join; partial sums are made before the shuffle by question and document."""
+    terms = cut(query_terms(questions))
+    stats = lengths.agg(F.count("*").alias("n_docs"), F.avg("len").alias("avgdl"))
+    asked = cut(terms.select("term").distinct())
+    own = cut(postings.select(key, "term", "tf").join(maybe_broadcast(asked), "term"))
+    df = own.groupBy("term").agg(F.count("*").alias("n")).join(F.broadcast(stats))  # one row
+    idf = F.log((F.col("n_docs") - F.col("n") + 0.5) / (F.col("n") + 0.5))
+    weights = terms.join(df, "term").select("query_id", "term", "avgdl", (F.col("qtf") * F.when(idf > 0, idf).otherwise(FLOOR)).alias("w"))
+    part = F.col("w") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avgdl")))
+    scored = own.join(lengths.select(key, "len"), key).join(maybe_broadcast(cut(weights)), "term").groupBy("query_id", key).agg(F.sum(part).alias("score"))
+    return top_k(scored.withColumn("score", F.round("score", PLACES)), k, key)
+
+
 # --- dense ----------------------------------------------------------------------------------------------------------------
 
 

@@ -107,17 +107,19 @@ def write_chunks_json(chunks: DataFrame, path: str, sliced: bool = False) -> Non
 def read_chunks_json(spark: SparkSession, path: str) -> DataFrame:
     ddl = ", ".join(f"{k} {CHUNKS[v]}" for k, v in JSON_NAMES.items())
     raw = spark.read.schema(ddl).option("mode", "FAILFAST").json(path)
+    if raw.isEmpty():
+        raise ValueError(f"no chunks in {path}")
     return raw.select(*[F.col(k).alias(v) for k, v in JSON_NAMES.items()])
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def exists(spark: SparkSession, path: str) -> bool:
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     return jpath.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jpath)
 
 
 def read_books(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
     """The chunk files of several books, each with its book and the place of its file (`file_order`). A missing file is an error that names all that are missing."""
-    missing = [f"{b} ({p})" for b, p in paths.items() if not _exists(spark, p)]
+    missing = [f"{b} ({p})" for b, p in paths.items() if not exists(spark, p)]
     if missing or not paths:
         raise FileNotFoundError("no chunks of " + ", ".join(missing or ["any book"]))
     out = None
@@ -129,7 +131,7 @@ def read_books(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
 
 def chunk_file_info(spark: SparkSession, path: str) -> DataFrame:
     """(found, chunks, modified): one row about a book's chunk file, which need not be there."""
-    if not _exists(spark, path):
+    if not exists(spark, path):
         return spark.createDataFrame([(False, 0, None)], "found boolean, chunks bigint, modified timestamp")
     rows = spark.read.text(path).where(F.trim("value") != "").select(F.col("_metadata.file_modification_time").alias("m"))
     return rows.agg(F.lit(True).alias("found"), F.count("*").alias("chunks"), F.max("m").alias("modified"))
@@ -145,7 +147,7 @@ def write_run(spark: SparkSession, run: dict, path: str) -> None:
 
 
 def read_run(spark: SparkSession, path: str) -> dict | None:
-    if not _exists(spark, path):
+    if not exists(spark, path):
         return None
     row = spark.read.schema(RUN).json(path).first()
     return row.asDict() if row else None
@@ -200,6 +202,21 @@ def render_report(title: str, run: dict, sections: list[tuple[str, str]], notes:
     return "\n\n".join(parts + (["## Notas\n\n" + "\n".join(f"- {n}" for n in notes)] if notes else [])) + "\n"
 
 
+def render_comparison(ranked: list[dict], strategies: list[str], seconds_of: dict[str, float]) -> str:
+    """Side by side, a row a rank and a column a strategy, "—" where a list is shorter, and a last row of times. ranked: rows of `search.compare`, in any order."""
+    rows = [[str(r["rank"]), *(r.get(s) or "—" for s in strategies)] for r in sorted(ranked, key=lambda r: r["rank"])]
+    times = ["tempo", *(milliseconds(1000 * seconds_of[s]) if s in seconds_of else "—" for s in strategies)]
+    return render_table(["#", *strategies], [*rows, times])
+
+
+def listing(chunks: DataFrame, most: int = 40) -> str:
+    """The first rows by ordinal, one a line: id, page, name and the start of the text; then how many more there are. A report: only it is cut."""
+    label = F.concat_ws(" · ", "chunk_id", X.page_label(F.col("page_start"), F.col("page_end")), "entity_name", X.preview(F.col("text")))
+    lines = [r.line for r in chunks.orderBy("ordinal", "chunk_id").limit(most).select(label.alias("line")).collect()]
+    more = chunks.count() - len(lines)
+    return "\n".join(lines + ([f"… e mais {more}"] if more > 0 else []))
+
+
 def write_report(spark: SparkSession, report: str, path: str) -> None:
     spark.createDataFrame([(report.removesuffix("\n"),)], "value string").coalesce(1).write.mode("overwrite").text(path)
 

@@ -81,6 +81,24 @@ def test_validation(spark):
     assert got == [(2, "answerable without chunks"), (3, "answerable unreadable"), (3, "id again"), (3, "no question"), (3, "unknown type")]
 
 
+def test_missing_strategies_and_books(spark):
+    import pytest
+
+    E.require_strategies(ranks(spark), ["bm25", "rrf"])
+    with pytest.raises(ValueError, match="outra"):
+        E.require_strategies(ranks(spark), ["bm25", "outra"])
+    asked = spark.createDataFrame([("monstro",), ("Monstros; jogador",), (None,), ("",)], "book string")
+    assert [tuple(r) for r in E.summary_by_book(asked).collect()] == [("monstro", 2), ("jogador", 1)]
+
+
+def test_accents_of_all_latin_letters(spark):
+    from estante.functions import text as X
+
+    words = {"Ação": "acao", "Ştefan": "stefan", "Łódź": "łodz", "ṩ": "s", "e\u0301": "e", "ČŘŽ": "crz", "ñandú": "nandu", "ǖ": "u"}
+    got = {r.w: r.n for r in spark.createDataFrame([(w,) for w in words], "w string").select("w", X.norm(F.col("w")).alias("n")).collect()}
+    assert got == words and len(X.ACCENTS) == len(X.PLAIN) > 200
+
+
 def test_a_run_and_its_tables(spark):
     asked = spark.createDataFrame([("a", True, ["x", "y"], [("b", 1, 3)], "nominal"), ("n", False, ["x"], [], "nominal")], f"query_id string, answerable boolean, chunk_ids array<string>, pages {E.INTERVALS}, type string")
     plan = E.run_plan(asked, ["s", "t"], 2).collect()

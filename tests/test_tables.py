@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from estante.operators import search
 from estante.sources import tables
 from estante.streaming.limits import rate_limited_stream
 
@@ -112,3 +113,40 @@ def test_files_that_are_no_utf8_are_named(spark, tmp_path):
     tables.write_raw_json(spark.createDataFrame([('{"a": 1}',)], "value string"), str(tmp_path / "raw"))
     assert spark.read.json(str(tmp_path / "raw")).first().a == 1
     assert tables.VECTORS.fieldNames()[:2] == ["chunk_id", "vector"]
+
+
+def test_stores_and_catalogue(spark, tmp_path):
+    from estante.sources.stores import Catalogue, LexicalIndex, VectorStore
+
+    c = chunks(spark, ("a", 1, "Ação e ação", "x"), ("b", 2, "torre azul", "y"), ("d", 3, "torre e ação", "y"))
+    v = VectorStore(spark, str(tmp_path / "v"), 2)
+    assert v.unavailable() and v.count().count() == 0
+    v.save(c, spark.createDataFrame([("a", [1.0, 0.0], "m"), ("b", [0.0, 1.0], "m")], "chunk_id string, vector array<float>, model string"))
+    q = spark.createDataFrame([("q", [1.0, 0.1])], "query_id string, qvec array<double>")
+    assert v.unavailable() is None and [r.chunk_id for r in v.similar(q, 1).collect()] == ["a"] and {(r.book, r.n) for r in v.count().collect()} == {("x", 1), ("y", 1)}
+    i = LexicalIndex(spark, str(tmp_path / "i"))
+    assert i.unavailable()
+    i.save(c)
+    asked = spark.createDataFrame([("q", "AÇÃO torre torre"), ("r", "?!"), ("s", "nada")], "query_id string, query_text string")
+    got, live = ({(r.query_id, r.chunk_id): (r.score, r["rank"]) for r in df.collect()} for df in (i.search(asked, 5), search.bm25(asked, c, 5)))
+    assert got == live and {q for q, _ in got} == {"q"} and i.unavailable() is None and i.count().count() == 2
+    assert {r.query_id: r.note[:4] for r in search.notes(asked, i.search(asked, 5)).collect()} == {"r": "A pe", "s": "Nada"}
+    (tmp_path / "dados").mkdir()
+    (tmp_path / "sub" / "mais").mkdir(parents=True)
+    k = Catalogue.above(str(tmp_path / "sub" / "mais"), "dados", {"monstro": "m.md", "outro": "o.md"})
+    assert k.path("monstro") == str(tmp_path / "dados" / "m.md") and k.chunks_path("outro").endswith("o.chunks") and k.rules_for("monstro").name == "entity-aware/monstro" and k.rules_for("outro") is None
+    with pytest.raises(KeyError):
+        k.path("nenhum")
+    with pytest.raises(FileNotFoundError):
+        Catalogue.above(str(tmp_path), "nenhuma", {})
+
+
+def test_listing_and_comparison(spark, tmp_path):
+    text = tables.listing(chunks(spark, *[(f"c{i:02d}", i, f"texto  {i}", "x") for i in range(5)]), 3)
+    assert text.splitlines() == ["c00 · texto 0", "c01 · texto 1", "c02 · texto 2", "… e mais 2"]
+    shown = tables.render_comparison([{"rank": 2, "a": "y", "b": None}, {"rank": 1, "a": "x", "b": "z"}], ["a", "b"], {"a": 0.25})
+    assert shown.splitlines()[2:] == ["| 1 | x | z |", "| 2 | y | — |", "| tempo | 250 ms | — |"]
+    (tmp_path / "empty").mkdir()
+    (tmp_path / "empty" / "a.json").write_text("")
+    with pytest.raises(ValueError, match="no chunks"):
+        tables.read_chunks_json(spark, str(tmp_path / "empty"))
