@@ -41,7 +41,7 @@ def comment_and_tag_strip(spark, d):
 
 def markdown_blocks(spark, d):
     once = search.first_by_id(table(spark, d, "chunks"), "chunk_id", "ordinal")
-    return preprocess.blocks(once, "chunk_id")
+    return preprocess.blocks(once, "chunk_id").select("chunk_id", "block_idx", "kind", "page", F.size("lines").alias("n_lines"), "text")
 
 
 def token_estimate_budget(spark, d):
@@ -63,6 +63,22 @@ chunk_spells = _chunked(chunking.SPELL)
 chunk_items = _chunked(chunking.ITEM)
 
 
+def _chunk_words(rules):
+    """What no way of cutting may change: how many different words a document's chunks hold."""
+
+    def run(spark, d):
+        words = chunking.chunk_blocks(table(spark, d, "blocos"), rules).select("doc_id", F.explode(F.split("text", r"\s+")).alias("w")).where("w <> ''")
+        return words.groupBy("doc_id").agg(F.countDistinct("w").cast("bigint").alias("words"))
+
+    return run
+
+
+chunk_words_paragraph_token = _chunk_words(None)
+chunk_words_creatures = _chunk_words(chunking.CREATURE)
+chunk_words_spells = _chunk_words(chunking.SPELL)
+chunk_words_items = _chunk_words(chunking.ITEM)
+
+
 def caps_name_and_title_case(spark, d):
     firsts = table(spark, d, "blocos").where("kind = 'paragraph'").select(F.get("lines", F.lit(0)).alias("line")).distinct()
     name = F.col("line")
@@ -132,6 +148,8 @@ def substring_search(spark, d):
 _LINES = "SELECT {key}, generate_subscripts(l, 1) AS line_no, unnest(l) AS line FROM (SELECT {key}, string_split(regexp_replace(text, '\\r\\n?', chr(10), 'g'), chr(10)) AS l FROM {source} WHERE text IS NOT NULL)"
 _CLEAN = r"""trim(regexp_replace(regexp_replace(CASE WHEN len(list_filter(regexp_split_to_array(trim(regexp_extract(line, '(?i)<!--\s*Page(?:Header|Footer)\s*=\s*"([^"]*)"\s*-->', 1)), '\s+'), lambda w: w <> '')) >= 3
     THEN regexp_replace(line, '(?i)<!--\s*Page(?:Header|Footer)\s*=\s*"([^"]*)"\s*-->', '\1', 'g') ELSE line END, '<!--.*?-->', '', 'g'), '(?i)</?(figure|figcaption|i|b|em|strong|sub|sup|u|span|mark|br|small)\s*/?>', '', 'g'))"""
+_BLANKS = "concat(chr(32), chr(9), chr(10), chr(11), chr(12), chr(13), chr(160), chr(8195), chr(8201), chr(8239), chr(12288))"
+_STRIP = "trim({}, " + _BLANKS + ")"
 _FIRST = "(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY ordinal) AS rn FROM chunks) WHERE rn = 1)"
 _GUID = "concat(substr(h,7,2),substr(h,5,2),substr(h,3,2),substr(h,1,2),'-',substr(h,11,2),substr(h,9,2),'-',substr(h,15,2),substr(h,13,2),'-',substr(h,17,4),'-',substr(h,21,12))"
 _TERMS = "list_filter(regexp_split_to_array(" + ACCENT_FOLD + ", '[^\\p{L}\\p{Nd}]+'), lambda t: t <> '')"
@@ -157,6 +175,25 @@ SQL = {
         pages AS (SELECT chunk_id, seg, arg_min(number, line_no) FILTER (WHERE number IS NOT NULL) AS n FROM marked GROUP BY 1, 2),
         carried AS (SELECT chunk_id, seg, last_value(n IGNORE NULLS) OVER w + seg - last_value(CASE WHEN n IS NOT NULL THEN seg END IGNORE NULLS) OVER w AS page FROM pages WINDOW w AS (PARTITION BY chunk_id ORDER BY seg ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
         SELECT chunk_id AS doc_id, CAST(page AS INT) AS page, count(*) AS lines FROM marked JOIN carried USING (chunk_id, seg) GROUP BY 1, 2""",
+    # the scan's state goes from line to line; paragraphs are runs of lines, tables run from their opening
+    "markdown_blocks": f"""
+        WITH RECURSIVE raw AS ({_LINES.format(key='chunk_id', source=_FIRST)}),
+        marked AS (SELECT *, coalesce(sum(CAST(regexp_matches(line, '(?i)<!--\\s*PageBreak\\s*-->') AS INT)) OVER (PARTITION BY chunk_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS seg,
+            try_cast(nullif(regexp_extract(line, '(?i)<!--\\s*PageNumber\\s*=\\s*"(\\d+)"\\s*-->', 1), '') AS INT) AS number FROM raw),
+        pages AS (SELECT chunk_id, seg, arg_min(number, line_no) FILTER (WHERE number IS NOT NULL) AS n FROM marked GROUP BY 1, 2),
+        carried AS (SELECT chunk_id, seg, last_value(n IGNORE NULLS) OVER w + seg - last_value(CASE WHEN n IS NOT NULL THEN seg END IGNORE NULLS) OVER w AS page FROM pages WINDOW w AS (PARTITION BY chunk_id ORDER BY seg ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+        l AS (SELECT chunk_id, line_no, line, CAST(page AS INT) AS page, {_STRIP.format('lower(line)')} AS low, {_STRIP.format(_CLEAN)} AS clean FROM marked JOIN carried USING (chunk_id, seg)),
+        o AS (SELECT *, CASE WHEN starts_with(low, '<table') THEN 'table' WHEN starts_with(low, '<figure') AND NOT contains(low, '</figure>') THEN 'figure' ELSE 'text' END AS opens FROM l),
+        scan AS (SELECT chunk_id, line_no, opens AS mode, CASE WHEN opens <> 'text' AND contains(low, '</' || opens || '>') THEN 'text' ELSE opens END AS after, line_no AS began FROM o WHERE line_no = 1 UNION ALL
+            SELECT o.chunk_id, o.line_no, CASE WHEN after = 'text' THEN opens ELSE after END, CASE WHEN after = 'text' AND opens = 'text' THEN 'text' WHEN contains(low, '</' || CASE WHEN after = 'text' THEN opens ELSE after END || '>') THEN 'text' WHEN after = 'text' THEN opens ELSE after END,
+                CASE WHEN after = 'text' THEN o.line_no ELSE began END FROM scan JOIN o ON o.chunk_id = scan.chunk_id AND o.line_no = scan.line_no + 1),
+        held AS (SELECT chunk_id, line_no, page, mode, CASE WHEN mode = 'table' THEN rtrim(regexp_replace(line, '<!--.*?-->', '', 'g'), {_BLANKS}) ELSE clean END AS t,
+            CASE WHEN mode = 'table' THEN began ELSE line_no - row_number() OVER (PARTITION BY chunk_id, mode ORDER BY line_no) + 1 END AS island FROM scan JOIN l USING (chunk_id, line_no) WHERE mode = 'table' OR (mode = 'text' AND clean <> '')),
+        b AS (SELECT chunk_id, mode, min(line_no) AS first_line, arg_min(page, line_no) AS page, count(*) AS n, string_agg(t, chr(10) ORDER BY line_no) AS t FROM held GROUP BY chunk_id, mode, island)
+        SELECT chunk_id, CAST(row_number() OVER (PARTITION BY chunk_id ORDER BY first_line) - 1 AS INT) AS block_idx, CASE mode WHEN 'table' THEN 'table' ELSE 'paragraph' END AS kind, page,
+            CAST(CASE mode WHEN 'table' THEN 0 ELSE n END AS INT) AS n_lines, CASE mode WHEN 'table' THEN {_STRIP.format('t')} ELSE t END AS text FROM b""",
+    **{f"chunk_words_{x}": r"""SELECT doc_id, count(DISTINCT w) AS words FROM (SELECT doc_id, unnest(regexp_split_to_array(coalesce(CASE kind WHEN 'table' THEN text ELSE array_to_string(lines, chr(10)) END, ''), '\s+')) AS w FROM blocos)
+        WHERE w <> '' GROUP BY 1""" for x in ("paragraph_token", "creatures", "spells", "items")},
     "comment_and_tag_strip": f"SELECT clean, count(*) AS n FROM (SELECT line, {_CLEAN} AS clean FROM (SELECT unnest(string_split(regexp_replace(text, '\\r\\n?', chr(10), 'g'), chr(10))) AS line FROM chunks)) WHERE clean <> trim(line) GROUP BY 1",
     "token_estimate_budget": "SELECT book, CAST(sum(length(text) // 4) AS BIGINT) AS tokens, max(length(text) // 4) AS longest, count(*) FILTER (WHERE length(text) // 4 > 512) AS over_budget FROM chunks GROUP BY 1",
     "chunk_diagnostics": f"SELECT book, count(*) FILTER (WHERE is_table) AS is_table, count(*) FILTER (WHERE is_cut_table) AS is_cut_table, count(*) FILTER (WHERE is_clean_name) AS is_clean_name, count(*) AS n FROM ({_FLAGS}) GROUP BY 1",
@@ -201,6 +238,6 @@ SQL = {
     "substring_search": f"SELECT chunk_id, ordinal FROM chunks WHERE contains({ACCENT_FOLD % 'trim(text)'}, 'guardia das mares')",
 }
 QUERIES = {f: globals()[f] for f in (
-    "chunk_content_id dedup_first_by_id line_explode_slice page_number_carry_forward comment_and_tag_strip markdown_blocks token_estimate_budget chunk_paragraph_token chunk_creatures chunk_spells chunk_items "
+    "chunk_content_id dedup_first_by_id line_explode_slice page_number_carry_forward comment_and_tag_strip markdown_blocks token_estimate_budget chunk_paragraph_token chunk_creatures chunk_spells chunk_items chunk_words_paragraph_token chunk_words_creatures chunk_words_spells chunk_words_items "
     "caps_name_and_title_case chunk_diagnostics boundary_lead_check chunk_run_stats chunk_run_report chunk_problems chunk_boundaries filter_type_and_text page_labels hashed_embedding book_counts_status page_lookup page_lookup_all substring_search"
 ).split()}
