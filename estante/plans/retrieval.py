@@ -12,7 +12,7 @@ from estante.operators import embedding, rag, search
 from estante.plans.documents import _FIRST, _TERMS
 from estante.runtime import table
 
-DEPTH, SHOWN = 50, 8
+SHOWN = 8
 LISTS = ["cosseno", "bm25", "reordenador"]
 
 

@@ -93,6 +93,13 @@ def read_jsonl(spark: SparkSession, path: str, schema: T.StructType | str) -> Da
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
+def read_keys(spark: SparkSession, path: str, key: str = "query_id") -> DataFrame:
+    """The keys of the records that are there, nothing else of them being parsed; none if nothing was written yet."""
+    if not exists(spark, path):
+        return spark.createDataFrame([], f"{key} string")
+    return read_jsonl(spark, path, f"{key} string").where(F.col(key).isNotNull()).distinct()
+
+
 def append_jsonl(records: DataFrame, path: str) -> None:
     records.write.mode("append").json(path)
 

@@ -120,3 +120,33 @@ def test_a_run_and_its_tables(spark):
     bad = E.invalid_ids(raw)
     assert [(r.line_no, r.detail) for r in bad.collect()] == [(1, "x")]
     assert [r.line_no for r in E.usable(raw, bad).collect()] == [2]
+
+
+def test_a_whole_run_and_its_resuming(spark, tmp_path):
+    import pytest
+
+    from estante.operators import run, search
+    from estante.sources import tables
+
+    chunks = spark.createDataFrame([("k1", "monstro", 3, None, "Nome", "o dragão azul [2]"), ("k2", "jogador", 9, 10, None, "a torre"), ("k3", "mestre", None, None, None, "dragão e torre")], "chunk_id string, book string, page_start int, page_end int, entity_name string, text string")
+    asked = spark.createDataFrame([("a", "dragão azul?", "nominal", True, ["k1"], [("monstro", 3, 3)]), ("b", "torre?", "parafrase", True, ["k9"], []), ("n", "nada?", "nominal", False, ["k1"], [])], f"query_id string, query_text string, type string, answerable boolean, chunk_ids array<string>, pages {E.INTERVALS}")
+    s = search.Strategies()
+    s.register("bm25", lambda q, k: search.bm25(q, chunks, k))
+    s.register_fusion("rrf", ["bm25"])
+    names = {"Livro do Jogador": "jogador", "Manual dos Monstros": "monstro"}
+    got = run.evaluate(asked, s, ["bm25", "rrf"], chunks, names, rounds=2)
+    assert {(r.query_id, r.strategy): r.first_rank for r in got.ranks.collect()} == {("a", "bm25"): 1, ("a", "rrf"): 1, ("b", "bm25"): None, ("b", "rrf"): None}
+    answers = {(r.query_id, r.mode, r.round): r for r in got.answers.collect()}
+    assert set(answers) == {(q, m, r) for q in "abn" for m in ("com", "sem") for r in (1, 2)} and set(got.seconds) == {"bm25", "rrf", "com 1", "sem 1", "com 2", "sem 2"}
+    assert answers["a", "com", 1].chunks == ["k3", "k1"] or answers["a", "com", 1].chunks[0] in ("k1", "k3")
+    assert answers["n", "com", 1].answer == "" and answers["n", "com", 1].chunks == [] and answers["a", "sem", 2].books == ["jogador"]
+    assert [(r.chunk_id, r.is_reference) for r in got.passages.where("query_id = 'a' and strategy = 'bm25' and rank = 1").collect()] == [("k1", True)]
+    assert E.source_measures(got.answers.where("round = 1"), asked.where("answerable")).count() == 2 + 2 + 2
+    path = str(tmp_path / "records")
+    assert tables.read_keys(spark, path).count() == 0
+    tables.append_jsonl(got.ranks.where("query_id = 'a'"), path)
+    rest = run.evaluate(asked, s, ["bm25"], chunks, names, done=tables.read_keys(spark, path))
+    assert {r.query_id for r in rest.answers.collect()} == {"b", "n"}
+    s.register("dense", lambda q, k: q, lambda: "no vectors")
+    with pytest.raises(LookupError, match="no vectors"):
+        run.evaluate(asked, s, ["bm25", "dense"], chunks, names)
