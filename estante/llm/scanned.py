@@ -425,7 +425,8 @@ def repair_text(text: str, moved: set[int], wrong: list[tuple[str, str]], joins:
         if " " in a or "\n" in a:  # the letters of a word, apart; one-letter words beside it stay
             letters = [re.escape(c) for c in b]
             out = re.sub(r"(?<!\w)" + r"[ \n]{1,2}".join(letters) + r"(?!\w)", b, out)
-    out = _LINE_HYPHEN.sub(lambda m: m[1] + m[2] if (m[1] + m[2]).lower() in joins else f"{m[1]}-{m[2]}", out)
+    if _LINE_END.search(out):
+        out = _LINE_HYPHEN.sub(lambda m: m[1] + m[2] if (m[1] + m[2]).lower() in joins else f"{m[1]}-{m[2]}", out)
     for a, b in wrong:
         if " " not in a and "\n" not in a:
             cased = b.capitalize() if a[:1].isupper() else b
@@ -454,10 +455,12 @@ def repaired(blocos: DataFrame, chunks: DataFrame, livros: DataFrame | None = No
     found = Found(rows, livros)
     by = ["tabela", "chave"]
     once = rows.groupBy(*by).agg(F.min("texto").alias("texto"))
-    marks = found.lines.groupBy(*by).agg(F.collect_set("i").alias("moveis"))
-    words = found.words.groupBy(*by).agg(F.collect_set(F.struct("wrong", "right")).alias("palavras"))
-    joins = found.joined.groupBy(*by).agg(F.collect_set("joined").alias("juntas"))
-    noisy = once.join(marks, by, "left").join(words, by, "left").join(joins, by, "left")
+    # the repairs of all kinds in one table, so that texts meet them in one join
+    none = {"i": "int", "palavra": "struct<wrong:string,right:string>", "junta": "string"}
+    own = [found.lines.select(*by, "i"), found.words.select(*by, F.struct("wrong", "right").alias("palavra")), found.joined.select(*by, F.col("joined").alias("junta"))]
+    every = reduce(DataFrame.unionByName, [d.select(*by, *[F.col(c) if c in d.columns else F.lit(None).cast(t).alias(c) for c, t in none.items()]) for d in own])
+    repairs = every.groupBy(*by).agg(F.collect_set("i").alias("moveis"), F.collect_set("palavra").alias("palavras"), F.collect_set("junta").alias("juntas"))
+    noisy = once.join(merged(repairs), by, "left")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
