@@ -21,11 +21,12 @@ from pyspark.sql import functions as F
 #: (encoding that was wrongly used, encoding that was meant). Western European text; all pairs are tried at every layer.
 PAIRS = [(w, "utf-8") for w in ("cp1252", "mac_roman", "cp437", "cp850", "cp1251", "cp1250")] + [(w, "cp1252") for w in ("mac_roman", "cp1251", "cp437", "cp850", "cp1250", "cp1253")]
 LAYERS = 3
-#: Java patterns of text worth a look (SUSPECT is either): any sign outside ASCII and ordinary Portuguese letters, an accented capital after a small letter, a lone capital A with tilde.
+#: Java patterns of text worth a look (either of _SIGNS and _ASKED): any sign outside ASCII and ordinary Portuguese letters, an accented capital after a small letter, a lone capital A with tilde.
 _SIGNS = "[^\\x00-\\x7FáàâãéêíóôõúüçÁÀÂÃÉÊÍÓÔÕÚÜÇºª–—]|\\p{Ll}[À-Þ]|(?<!\\p{L})Ã(?!\\p{L})"
 #: Question marks that stand for lost letters, in Java and Python alike: inside a word, at its start, at its end before a comma or the like, or for a word before a small letter.
 _ASKED = r"(?<=[A-Za-zÀ-ÿ])\?+(?!\w*=)(?=[a-zß-ÿ])|(?<=[A-ZÀ-Þ])\?+(?=[A-ZÀ-Þ])|(?<![^\s(\['-])\?+(?=[A-Za-zÀ-ÿ])|(?<=[A-Za-zÀ-ÿ0-9])\?{2,}(?=[,;:])|(?<!\S)\?{2,}(?=\s+[a-zß-ÿ])"
-SUSPECT = f"{_SIGNS}|{_ASKED}"
+#: What every text with such a question mark has: one that no blank follows.
+_MAYBE_ASKED = r"\?\S"
 
 _FOREIGN = "ƒıŒœŸŽžŠšþÞðÐßøØåÅæÆÌÈÙÛÒËÏìîïûëòùäÄÿÝýʼ˙ˆ˜ĂăÎŞşŢţŁłĐđŐőŰűŔŕěĚřŘťŤůŮńŃ"
 _BAD = [
@@ -131,7 +132,8 @@ def garbled(df: DataFrame, key: str = "line_no", fields: tuple[str, ...] = ("per
     """(line_no, campo, texto, restored, layers) of every garbled field; `restored` is null where the original is lost. Only suspect texts leave the JVM."""
     pairs = F.array(*[F.struct(F.lit(f).alias("campo"), F.col(f).cast("string").alias("texto")) for f in fields])
     long = df.select(F.col(key).cast("bigint").alias("line_no"), F.explode(pairs).alias("p")).select("line_no", "p.campo", "p.texto")
-    return long.where(F.col("texto").rlike(SUSPECT)).mapInPandas(_judge, "line_no bigint, campo string, texto string, restored string, layers int")
+    suspect = F.col("texto").rlike(_SIGNS) | (F.col("texto").rlike(_MAYBE_ASKED) & F.col("texto").rlike(_ASKED))
+    return long.where(suspect).mapInPandas(_judge, "line_no bigint, campo string, texto string, restored string, layers int")
 
 
 def garbled_found(df: DataFrame) -> DataFrame:
