@@ -71,6 +71,26 @@ def merged(df: DataFrame) -> DataFrame:
     return df.hint("merge")
 
 
+def lowest_by_hash(df: DataFrame, n: int, key: str, of: int | None = None, spare: int = 4) -> DataFrame:
+    """The `n` rows of the lowest hash of a key: a bounded sample, the same whatever the partitions. Only about `spare` times as many rows as wanted reach the ordering, so
+    that partitions, however many, do not each send `n` rows. of: the number of rows, if it is known or a table's own is to stand for those of a filter on it (then with more to spare)."""
+    rows = df.count() if of is None else of
+    h = F.xxhash64(key)
+    thin = df if rows <= 2 * spare * n else df.where(h < F.lit(int(-(2**63) + 2**64 * (spare * n / rows))))
+    return thin.orderBy(h, key).limit(n)
+
+
+def greatest(df: DataFrame, n: int, by: str, key: str) -> DataFrame:
+    """The `n` rows with the greatest positive numbers. A histogram by powers of two, at most 64 rows, tells which can be among them."""
+    powers = sorted(((r.p, r.k) for r in df.groupBy(F.floor(F.log2(by)).cast("int").alias("p")).agg(F.count("*").alias("k")).collect()), reverse=True)
+    held, least = 0, 0
+    for p, k in powers:
+        held, least = held + k, p
+        if held >= n:
+            break
+    return df.where(F.col(by) >= F.lit(2.0) ** least).orderBy(F.desc(by), key).limit(n)
+
+
 def cores(spark: SparkSession) -> int:
     return max(spark.sparkContext.defaultParallelism, 1)
 

@@ -150,3 +150,14 @@ def test_listing_and_comparison(spark, tmp_path):
     (tmp_path / "empty" / "a.json").write_text("")
     with pytest.raises(ValueError, match="no chunks"):
         tables.read_chunks_json(spark, str(tmp_path / "empty"))
+
+
+def test_samples_are_bounded_before_they_are_ordered(spark):
+    from estante import runtime
+
+    df = spark.range(5000).selectExpr("id", "concat('k', id) AS k", "1 + id * id AS n").repartition(8)
+    whole = [r.k for r in df.orderBy(F.xxhash64("k")).limit(40).collect()]
+    assert [r.k for r in runtime.lowest_by_hash(df, 40, "k").collect()] == whole and runtime.lowest_by_hash(df, 40, "k").count() == 40
+    assert [r.k for r in runtime.lowest_by_hash(df.where("id % 2 = 0"), 40, "k", of=5000, spare=16).collect()] == [r.k for r in df.where("id % 2 = 0").orderBy(F.xxhash64("k")).limit(40).collect()]
+    assert [r.id for r in runtime.greatest(df, 7, "n", "k").collect()] == list(range(4999, 4992, -1))
+    assert runtime.greatest(df.limit(0), 7, "n", "k").count() == 0 and runtime.lowest_by_hash(df.limit(0), 7, "k").count() == 0 and runtime.greatest(df, 9000, "n", "k").count() == 5000
