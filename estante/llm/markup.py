@@ -27,10 +27,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from estante.llm.boosting import BoostedTrees
-from estante.runtime import cut, spread
+from estante.runtime import cut, lowest_by_hash, spread
 
 NOTATIONS = ("html", "markdown", "wiki", "latex")
-TRAIN_TEXTS, SEED = 700, 11
+TRAIN_TEXTS, AMONG, SEED = 700, 32, 11
 #: Java pattern of a text that could hold markup; the others never leave the JVM.
 COULD = r"[<>&`\\{}\[\]|$#*=]|''|__|(?<![\p{L}\p{N}_])_(?=[^\s_])|(?m)^[ \t]*[-+][ \t]+\S|^[ \t]*-{3,}[ \t]*$"
 
@@ -309,9 +309,9 @@ def texts(chunks: DataFrame, blocos: DataFrame) -> DataFrame:
 
 
 def fitted(rows: DataFrame) -> BoostedTrees:
-    """Trees fitted on `TRAIN_TEXTS` clean texts, chosen by hash of the key."""
+    """Trees fitted on at most `TRAIN_TEXTS` clean texts, chosen by hash of the key among the `AMONG` times as many texts of the lowest hash."""
     plain = rows.where(F.col("texto").isNotNull() & ~F.col("texto").rlike(COULD) & (F.length("texto") > 60)).select("chave", "texto")
-    some = plain.orderBy(F.xxhash64("chave")).limit(TRAIN_TEXTS).toPandas()
+    some = lowest_by_hash(plain, TRAIN_TEXTS, "chave", of=rows.count(), spare=AMONG).toPandas()
     return train(list(some["texto"]) or ["texto de exemplo sem marcação alguma, para dados sem texto limpo"] * 50)
 
 

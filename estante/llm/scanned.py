@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from estante.llm.perceptron import Averaged, Editor, edit
-from estante.runtime import cut, fits, maybe_broadcast, merged
+from estante.runtime import cut, fits, greatest, lowest_by_hash, maybe_broadcast, merged
 
 RATIO, SURE_RATIO, TRAIN_RATIO, TRAIN_FREQUENT, TRAIN_RARE, TRAIN_LINES = 12, 3, 30, 20_000, 6_000, 2_000
 _HYPHEN = "[-\\u00AD\\u00AC\\u2010]"
@@ -93,14 +93,14 @@ def mined_pairs(frequent: dict[str, int], rare: dict[str, int], ratio: int = TRA
 
 def train_editor(words: DataFrame, seed: int = 1) -> Editor:
     common = words.where(F.col("low") >= 0.3 * F.col("n"))
-    top = common.where(F.length("form") >= 3).orderBy(F.desc("n"), "form").limit(TRAIN_FREQUENT).toPandas()
+    top = greatest(common.where(F.length("form") >= 3), TRAIN_FREQUENT, "n", "form").toPandas()
     frequent = dict(zip(top["form"], top["n"]))
-    some = common.where(F.length("form") >= 4).orderBy(F.xxhash64("form")).limit(TRAIN_RARE).toPandas()
+    some = lowest_by_hash(common.where(F.length("form") >= 4), TRAIN_RARE, "form").toPandas()
     pairs = mined_pairs(frequent, dict(zip(some["form"], some["n"])))
     # an operation is learnt from correct words too: those to which no mined pair points as misread
     wrong = {u for u, _ in pairs}
     known = [w for w in list(frequent)[: TRAIN_FREQUENT // 5] if w not in wrong and w.isalpha()]
-    sample = words.where(F.col("n") >= 2).orderBy(F.xxhash64("form")).limit(TRAIN_RARE).toPandas()
+    sample = lowest_by_hash(words.where(F.col("n") >= 2), TRAIN_RARE, "form").toPandas()
     rng = random.Random(seed)
     apart = [rng.choices(known, k=rng.randint(1, 3)) for _ in range(min(400, 5 * len(known)))] if known else []
     return Editor().train(pairs, known, broken_words(dict(zip(sample["form"], sample["n"])), rng), apart)
@@ -340,9 +340,9 @@ def labelled(templates: DataFrame) -> DataFrame:
 def furniture(lines: DataFrame, livros: DataFrame | None) -> DataFrame:
     """(template, edge, on_page, flow) of the lines that are furniture."""
     templates = cut(templates_of(lines, livros))
-    known, alone = labelled(templates).orderBy(F.xxhash64("template")), F.col("total") == 1
+    known, alone = labelled(templates), F.col("total") == 1
     data, seen = [], set()
-    parts = [known.where((F.col("label") == label) & some).limit(TRAIN_LINES) for label, some in (("furniture", F.lit(True)), ("text", alone), ("text", ~alone))]
+    parts = [lowest_by_hash(known.where((F.col("label") == label) & some), TRAIN_LINES, "template") for label, some in (("furniture", F.lit(True)), ("text", alone), ("text", ~alone))]
     for t in reduce(DataFrame.unionByName, parts).toPandas().itertuples(index=False):
         seen |= {t.title} if t.label == "furniture" else set()
         data += [(line_features(t.template, *p, t.total, t.title), t.label) for p in t.places]
