@@ -155,7 +155,8 @@ SOURCE = r"(?i)({names})\s*[,:\-–—]?\s*(?:pp?\.|p[áa]gs?\.|p[áa]ginas?)\s*
 
 
 def free_text_sources(answer: Column, names: dict[str, str]) -> Column:
-    """Distinct (book, start, end) from text such as "Livro do Jogador, p. 95-96 e 98". names: from a book's name to its alias."""
+    """Distinct (book, start, end) from text such as "Livro do Jogador, p. 95-96 e 98", pages as bigint: running text holds numbers of any size. Where one is beyond that, the book is
+    kept with both pages null, a source that meets no reference. names: from a book's name to its alias."""
     book = "|".join(names)
     source = SOURCE.replace("{names}", book)
     alias = F.create_map(*[F.lit(x) for k, v in names.items() for x in (k.lower(), v)])
@@ -163,11 +164,15 @@ def free_text_sources(answer: Column, names: dict[str, str]) -> Column:
     def one(m: Column) -> Column:
         b = alias[F.lower(F.regexp_extract(m, rf"(?i)^({book})", 1))]
         tail = F.regexp_replace(m, rf"(?i)^({book})", "")
-        return F.transform(F.regexp_extract_all(tail, F.lit(PAGE), F.lit(0)), lambda x: interval(b, x))
+        numbers = F.transform(F.regexp_extract_all(tail, F.lit(PAGE), F.lit(0)), lambda x: F.struct(number(x, r"^(\d+)").alias("a"), number(x, r"(\d+)$").alias("z")))
+        return F.transform(numbers, lambda n: interval(b, n["a"], n["z"]))
 
-    def interval(b: Column, x: Column) -> Column:
-        a, z = F.regexp_extract(x, r"^(\d+)", 1).cast("int"), F.regexp_extract(x, r"(\d+)$", 1).cast("int")
-        return F.struct(b.alias("book"), a.alias("start"), F.greatest(a, z).alias("end"))
+    def number(x: Column, pattern: str) -> Column:
+        return F.regexp_extract(x, pattern, 1).try_cast("bigint")
+
+    def interval(b: Column, a: Column, z: Column) -> Column:
+        read = a.isNotNull() & z.isNotNull()
+        return F.struct(b.alias("book"), F.when(read, a).alias("start"), F.when(read, F.greatest(a, z)).alias("end"))
 
     return F.array_distinct(F.flatten(F.transform(F.regexp_extract_all(answer, F.lit(source), F.lit(0)), one)))
 

@@ -68,6 +68,20 @@ def test_sources_in_running_text(spark):
     assert [tuple(x) for x in r.s] == [("jogador", 95, 96), ("jogador", 98, 98), ("mestre", 7, 7), ("mestre", 3, 3), ("mestre", 9, 9)] and r.b == ["jogador", "mestre"]
 
 
+def test_sources_with_pages_beyond_int(spark, tmp_path):
+    from estante.plans import evaluation as P
+
+    text = "Livro do Jogador, p. 3000000001-3000000003 e 7; Guia do Mestre, págs. 99999999999999999999, 4, 5-99999999999999999999; Guia do Mestre, p. 2147483648"
+    s = E.free_text_sources(F.col("t"), P.NAMES)
+    cited = spark.createDataFrame([(text,)], "t string").select(s.alias("s"), E.prf_pages(s, F.from_json(F.lit('[{"book": "mestre", "start": 4, "end": 4}]'), E.INTERVALS)).alias("m")).first()
+    assert [tuple(x) for x in cited.s] == [("jogador", 3000000001, 3000000003), ("jogador", 7, 7), ("mestre", None, None), ("mestre", 4, 4), ("mestre", 2147483648, 2147483648)]
+    assert (cited.m.precision, cited.m.recall) == (0.2, 1.0)
+    lines = [7, 2147483645, 2147483646, 2147483647, 3000000001, 92000000004218]
+    spark.createDataFrame([(n,) for n in lines], "line_no bigint").write.parquet(str(tmp_path / "perguntas.parquet"))
+    got = {r.line_no: (r.sources, r.books) for r in P.free_text_sources(spark, str(tmp_path)).collect()}
+    assert got == {n: (f"jogador:{n}:{n + 2} jogador:7:7 mestre:3:3 mestre:4:4", "jogador monstro") for n in lines}
+
+
 def test_nearest_rank(spark):
     df = spark.createDataFrame([("a", float(x)) for x in range(1, 21)], "g string, v double")
     r = E.latency_table(df, "g", "v").first()
